@@ -98,6 +98,10 @@ def _searcher(pivots: dict[int, np.ndarray], k: int, posted: int, min_shared: in
     return run
 
 
+def _spread(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, posted: int = POSTED, min_shared: int = MIN_SHARED, keep: int = KEEP) -> DataFrame:
     """The k nearest found of each query by cosine: query_id, rank (from 1), vec_id, score.
 
@@ -119,8 +123,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOT
     for r in chosen:  # at most `pivots` vectors of each dimension
         by_dim.setdefault(r["dim"], []).append(r["embedding"])
     centres = {d: unit(np.array(v)) for d, v in by_dim.items()}
-    left = entries.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    left = entries.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards))).withColumn("block", _spread(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", _spread(shards))
     keys = ("dim", "block", "shard")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searcher(centres, k, posted, min_shared, keep), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
