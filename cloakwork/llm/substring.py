@@ -6,7 +6,8 @@ grams inside the window) form one path, about a seventh as many rows as windows.
 minimizers, so only paths that meet under one minimizer can repeat anything:
 
 1. Paths are shuffled by minimizer. A path whose whole word content came earlier is nonbranching there and
-   collapses onto its first occurrence: all of its windows are repeats.
+   collapses onto its first occurrence: all of its windows are repeats. Copies within a batch of documents collapse
+   before the shuffle.
 2. First occurrences that meet *other* content under their minimizer (the graph branches) are opened into windows by
    joining their source coordinates back to the texts, and every window is ranked by its source coordinate.
    The earliest occurrence of any window lies in the first occurrence of its path's content, so nothing is missed.
@@ -108,6 +109,18 @@ def paths(hashes: np.ndarray, width: int, rolling: _Rolling, grain: int = GRAIN)
     return least[start], content, start, count
 
 
+def repeats(m: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Which paths have the content of a path that starts earlier among these."""
+    order = np.lexsort((p, d, c, m))
+    m, c, d, p = m[order], c[order], d[order], p[order]
+    same = np.zeros(len(m), dtype=bool)
+    same[1:] = (m[1:] == m[:-1]) & (c[1:] == c[:-1])
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(m))))
+    out = np.zeros(len(m), dtype=bool)
+    out[order] = same & ((d != d[first]) | (p >> 8 != p[first] >> 8))
+    return out
+
+
 def _find_paths(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rolling = _WordHashes(), _Rolling(_ODD[0])
@@ -120,7 +133,10 @@ def _find_paths(width: int):
                     parts.append((least, content, np.full(len(start), doc, dtype=np.int64), start << 8 | count))
             if parts:
                 m, c, d, p = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p)], names=["m", "c", "doc_id", "pos"])
+                again = repeats(m, c, d, p)
+                # they have no more to find: a key of their own spreads them over all tasks
+                m[again], c[again] = _mix(d[again].view(np.uint64) ^ m[again]), _mix(p[again].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p), pa.array(again)], names=["m", "c", "doc_id", "pos", "again"])
 
     return run
 
@@ -202,13 +218,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
         raise ValueError("width must be between 2 and 199")
     rest = list(carry or [])
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", *rest)
-    found = map_batches(docs.select("doc_id", "text"), _find_paths(width), "m long, c long, doc_id long, pos long")
+    found = map_batches(docs.select("doc_id", "text"), _find_paths(width), "m long, c long, doc_id long, pos long, again boolean")
     meet = Window.partitionBy("m")
     met = (
         found.withColumn("run", F.rank().over(Window.partitionBy("m", "c").orderBy("doc_id", "pos")))
         .withColumn("branches", F.min("c").over(meet) != F.max("c").over(meet))
-        .where("run > 1 or branches")
-        .select("doc_id", "pos", (F.col("run") > 1).alias("again"))
+        .where("again or run > 1 or branches")
+        .select("doc_id", "pos", (F.col("again") | (F.col("run") > 1)).alias("again"))
     )
     spots = met.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("again"), F.col("pos"))).alias("spots"), F.collect_list(F.when(~F.col("again"), F.col("pos"))).alias("open")
