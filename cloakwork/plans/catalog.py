@@ -1,15 +1,303 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries and their SQL oracles (DuckDB)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakwork.kernels import bioes, captoken, chunk, jsonwalk
+from cloakwork.operators import redaction, requests
+from cloakwork.operators.detect import RULES
+from cloakwork.operators.redaction import EngineConf
+from cloakwork.sources.models import catalog_table
+from cloakwork.streaming.restore import restore_batch
+
+NONCE = b"cloakwork-nonce!"  # fixed, so that results can be compared
+CONF = EngineConf(NONCE)
+_RULES_SQL = ", ".join(f"({n}, '{kind}', '{pattern}')" for n, (kind, pattern) in enumerate(RULES))
+_CTE = f"""
+WITH rules(n, class, pattern) AS (VALUES {_RULES_SQL}),
+found AS (SELECT doc_id, lang, source, n, class, unnest(regexp_extract_all(text, pattern)) AS value FROM documents, rules),
+first_class AS (SELECT doc_id, value, arg_min(class, n) AS class FROM found WHERE strlen(value) >= 3 GROUP BY ALL)"""
+_TOKEN_SQL = f"'OG_' || upper(class) || '_' || substr(sha256('{NONCE.decode()}' || value), 1, 6)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _matches(n: int, kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("class"), v.alias("value")))
+
+
+def rule_matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, source, n, class, value) of every rule match, by built-in expressions."""
+    found = F.array(*(_matches(n, kind, pattern) for n, (kind, pattern) in enumerate(RULES)))
+    return docs.select("doc_id", "lang", "source", F.inline(F.flatten(found)))
+
+
+def distinct_values(docs: DataFrame) -> DataFrame:
+    """One row per document and value, with the class of the first rule that finds it."""
+    return rule_matches(docs).where(F.octet_length("value") >= 3).groupBy("doc_id", "value").agg(F.min_by("class", "n").alias("class"))
+
+
+def route_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 5 == 0, "GET").otherwise("POST").alias("method"),
+        F.concat(F.element_at(F.array(*map(F.lit, ("/v1/messages", "/v1/chat/completions/", "/api/v1/responses//", "/backend-api/codex/responses", "/v1/models"))), (F.col("user_id") % 5 + 1).cast("int"))).alias("path"),
+        F.col("props").alias("body"),
+    )
+    return requests.routed(made).select("event_id", "kind", "redactable", "status")
+
+
+def key_path_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("/_k/t", "/v1/x", "/_k/t/v1/m", "/_k/", "/_kx/"))), (F.col("event_id") % 5 + 1).cast("int")), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", requests.key_path(path).alias("k")).select("event_id", "k.*")
+
+
+def restore_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("anthropic", "passthrough"))), (F.col("event_id") % 2 + 1).cast("int"))
+    content = F.element_at(F.array(*map(F.lit, ("text/event-stream; charset=utf-8", "application/json", "text/plain"))), (F.col("user_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", requests.restore_mode(kind, content, F.col("event_id") % 4).alias("mode"))
+
+
+def error_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", requests.error_body(F.col("event_type")).alias("body"))
+
+
+def tiny_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), (F.octet_length("text") >= 3).alias("detectable"))
+
+
+def rule_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_matches(table(spark, sf_dir, "documents")).groupBy("class", "lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_values(table(spark, sf_dir, "documents")).select("doc_id", "class", "value", redaction.placeholder(F.col("class"), F.col("value"), NONCE).alias("placeholder"))
+
+
+def placeholder_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a document whose placeholders are equal: those cannot both be restored."""
+    return placeholders(spark, sf_dir).groupBy("doc_id", "placeholder").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def guarded_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(redaction.protected_blobs(F.col("text"))).alias("blob"))
+
+
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
+    return out.select("doc_id", "redacted", F.size("mapping").cast("long").alias("n_pairs"), "status")
+
+
+def redact_unguarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conf = EngineConf(NONCE, guard=False)
+    return redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), conf).select("doc_id", "redacted")
+
+
+def residual_after_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are in the mapping and still in the text, because they stand in a guarded blob."""
+    out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
+    return out.select("doc_id", "redacted", F.explode("mapping").alias("p")).where(F.expr("contains(redacted, p.from)")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_residual"))
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
+    return out.select("doc_id", redaction.restore(F.col("redacted"), F.col("mapping")).alias("text"))
+
+
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's chunks cover it without a gap, and their largest size."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"), redaction.chunks(F.col("text")).alias("c"))
+    ends = F.transform("c", lambda c: c["start"] + F.octet_length(c["text"]))
+    follows = F.forall(F.zip_with(F.slice("c", 2, 1_000_000_000), ends, lambda c, e: c.isNull() | (c["start"] <= e)), lambda x: x)
+    return parts.select("doc_id", (follows & (F.element_at(ends, -1) == F.col("n")) & (F.element_at("c", 1)["start"] == 0)).alias("covered"), (F.array_max(F.transform("c", lambda c: F.octet_length(c["text"]))) <= chunk.TARGET).alias("fits"))
+
+
+def chunk_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "documents").select(F.explode(redaction.chunks(F.col("text"))).alias("c")).select(F.sha2("c.text", 256).alias("h"))
+    return parts.agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("h").alias("n_distinct"))
+
+
+def spans_by_distinct_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.detect_distinct_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF, ["doc_id"]).select("doc_id", "start", "end", "class")
+
+
+def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.merge_spans(_line_spans(table(spark, sf_dir, "lineitem")), ["l_orderkey"])
+
+
+def _line_spans(lines: DataFrame) -> DataFrame:
+    start = F.col("l_partkey") % 50
+    return lines.select(
+        "l_orderkey",
+        (F.col("l_linenumber") % 3).alias("chunk_ord"),
+        ((F.col("l_linenumber") % 3) * 40).cast("long").alias("chunk_start"),
+        F.lit(64).cast("long").alias("chunk_bytes"),
+        (F.col("l_linenumber") % 3 > 0).alias("hard_left"),
+        (F.col("l_linenumber") % 2 > 0).alias("hard_right"),
+        (F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("span_ord"),
+        start.alias("start"),
+        F.least(F.lit(64), start + 3 + F.col("l_suppkey") % 12).cast("long").alias("end"),
+        F.col("l_returnflag").alias("class"),
+        F.round(F.col("l_discount"), 2).alias("score"),
+    )
+
+
+def _bodies(rows: DataFrame) -> DataFrame:
+    """Chat requests, one per conversation turn, of the three families in turn."""
+    said = F.col("text")
+    anthropic = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(F.col("role"), F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content"))).alias("messages")))
+    chat = F.to_json(F.struct(F.lit(0.5).alias("temperature"), F.array(F.struct(F.col("role"), said.alias("content"))).alias("messages")))
+    answers = F.to_json(F.struct(said.alias("input")))
+    family = F.col("turn") % 3
+    body = F.when(family == 0, anthropic).when(family == 1, chat).otherwise(answers)
+    kind = F.when(family == 0, jsonwalk.ANTHROPIC).when(family == 1, jsonwalk.CHAT).otherwise(jsonwalk.RESPONSES)
+    return rows.select("conv_id", "turn", kind.alias("kind"), body.alias("body"))
+
+
+def conversation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _bodies(table(spark, sf_dir, "conversations"))
+    return made.select("conv_id", "turn", F.explode(redaction.extract_fields(F.col("kind"), F.col("body"))).alias("f")).select("conv_id", "turn", F.col("f.text").alias("text"))
+
+
+def request_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as request bodies: redacted, and the text of the restored body."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), (F.col("doc_id") % 3).alias("turn"), F.lit("user").alias("role"), "text")
+    out = redaction.redact_requests(_bodies(docs), CONF)
+    back = out.select("conv_id", F.explode(redaction.extract_fields(F.col("kind"), F.col("body"))).alias("f"), "mapping")
+    return back.select(F.col("conv_id").alias("doc_id"), redaction.restore(F.col("f.text"), F.col("mapping")).alias("text"))
+
+
+def json_string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct("event_id", F.col("event_type").alias("a"), F.struct(F.col("props").alias("b"), F.lit("").alias("empty")).alias("c")))
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(redaction.json_strings(body)).alias("ord", "value"))
+
+
+def sse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents cut into deltas of seven characters, restored as event streams and put together again."""
+    out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
+    some = out.where((F.size("mapping") > 0) & (F.length("redacted") < 4000))
+    parts = some.select("doc_id", "mapping", F.posexplode(F.regexp_extract_all("redacted", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "part"))
+    event = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("part").alias("text")).alias("delta")))
+    lines = parts.select(F.col("doc_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), event).alias("line"), F.lit(False).alias("closes"), F.lit(jsonwalk.ANTHROPIC).alias("kind"), "mapping")
+    ends = some.select(F.col("doc_id").cast("string"), F.lit(1 << 40).cast("long"), F.lit(None).cast("string"), F.lit(True), F.lit(jsonwalk.ANTHROPIC), "mapping").toDF(*lines.columns)
+    back = restore_batch(lines.unionAll(ends)).where(F.col("line").startswith("data: "))
+    said = F.get_json_object(F.substring(F.col("line"), 7, 1 << 30), "$.delta.text")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ord", said.alias("t")))), lambda x: x["t"]), "")
+    return back.groupBy(F.col("stream_id").cast("long").alias("doc_id")).agg(whole.alias("text"))
+
+
+def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIOES decoding of vectors read as logits: five tags, twelve tokens each."""
+    labels = ["O", "B-secret", "I-secret", "E-secret", "S-secret"]
+
+    @F.pandas_udf("int")
+    def n_spans(vectors):  # noqa: ANN001, ANN202
+        decoder = bioes.Decoder(labels)
+        return vectors.map(lambda v: len(decoder.spans([[float(x) * 20 for x in v[5 * k : 5 * k + 5]] for k in range(12)], [(k, k + 1) for k in range(12)])))
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", n_spans("embedding").alias("n_spans"))
+
+
+def catalog_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_table(spark).select("name", F.size("files").cast("long").alias("n_files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"]).alias("bytes"))
+
+
+def token_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens minted for every customer, some spoilt, and what verification says of them."""
+    secret, now = b"s" * 32, 1_700_000_000
+
+    @F.pandas_udf("struct<status:string,pid:int>")
+    def check(keys):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        fresh, old = captoken.Minter(3600, secret, lambda: now), captoken.Minter(60, secret, lambda: now - 100)
+        foreign = captoken.Minter(3600, b"x" * 32, lambda: now)
+        made = [(fresh, old, foreign)[k % 3].mint(int(k)) for k in keys]
+        got = [captoken.verify(t if k % 7 else t[:-4], secret, now) for k, t in zip(keys, made)]
+        return pd.DataFrame([(g.status, g.pid) for g in got], columns=["status", "pid"]).astype({"pid": "Int32"})
+
+    return table(spark, sf_dir, "customer").select("c_custkey", check("c_custkey").alias("v")).select("c_custkey", "v.status")
+
+
+def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by language, source and class with subtotals; no value appears."""
+    found = rule_matches(table(spark, sf_dir, "documents"))
+    return found.rollup("lang", "source", "class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def documents_without_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id").join(rule_matches(docs).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    made = (
+        route_kinds, key_path_split, restore_modes, error_bodies, tiny_texts, rule_class_counts, placeholders, placeholder_collisions, guarded_blobs,
+        redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
+        conversation_fields, request_round_trip, json_string_values, sse_round_trip, viterbi_tags, catalog_sizes, token_verify, pii_report, documents_without_findings,
+    )
+    return {f.__name__: f for f in made}
+
+
+_PAIRS_SQL = f"""{_CTE},
+pairs AS (SELECT doc_id, list({{'v': value, 't': {_TOKEN_SQL}, 'acc': ''}} ORDER BY strlen(value) DESC, n, value) AS ps
+          FROM first_class JOIN (SELECT doc_id, value, min(n) AS n FROM found GROUP BY ALL) USING (doc_id, value) GROUP BY doc_id)"""
+_GUARD_RE = '"([A-Za-z0-9+/_-]+={0,2})"'
+#: One pair applied to a text in the pieces between its guarded blobs.
+_GUARDED_STEP = f"""list_reduce(list_prepend({{'b': '', 'o': '', 'r': @ACC@}}, list_transform(list_filter(regexp_extract_all(@ACC@, '{_GUARD_RE}'), lambda b: strlen(b) >= 42), lambda b: {{'b': b, 'o': '', 'r': ''}})),
+  lambda s, e: {{'b': '', 'o': s.o || replace(s.r[1:strpos(s.r, e.b) - 1], @V@, @T@) || e.b, 'r': s.r[strpos(s.r, e.b) + length(e.b):]}})"""
+
+
+def _fold(guard: bool) -> str:
+    if not guard:
+        step = "replace(a.acc, p.v, p.t)"
+    else:
+        inner = _GUARDED_STEP.replace("@ACC@", "a.acc").replace("@V@", "p.v").replace("@T@", "p.t")
+        step = f"list_transform([{inner}], lambda z: z.o || replace(z.r, p.v, p.t))[1]"
+    start = "list_prepend({'v': '', 't': '', 'acc': text}, ps)"
+    return f"list_reduce({start}, lambda a, p: {{'v': '', 't': '', 'acc': {step}}}).acc"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    paths = "['/v1/messages', '/v1/chat/completions/', '/api/v1/responses//', '/backend-api/codex/responses', '/v1/models']"
+    texts = "SELECT doc_id, text FROM documents"
+    return {
+        "route_kinds": f"""SELECT event_id, kind, kind <> 'passthrough' AS redactable, 'ok' AS status FROM (SELECT event_id,
+            CASE WHEN event_id % 5 = 0 THEN 'passthrough' WHEN p LIKE '%/v1/messages' THEN 'anthropic' WHEN p LIKE '%/v1/chat/completions' THEN 'openai_chat'
+            WHEN p LIKE '%/v1/responses' OR p LIKE '%/backend-api/codex/responses' THEN 'openai_responses' ELSE 'passthrough' END AS kind
+            FROM (SELECT event_id, rtrim({paths}[user_id % 5 + 1], '/') AS p FROM events))""",
+        "key_path_split": """SELECT event_id, CASE WHEN ok THEN split_part(path[5:], '/', 1) ELSE '' END AS token,
+            CASE WHEN NOT ok THEN path WHEN strpos(path[5:], '/') = 0 THEN '/' ELSE path[4 + strpos(path[5:], '/'):] END AS rest, ok
+            FROM (SELECT event_id, path, starts_with(path, '/_k/') AS ok FROM (SELECT event_id, ['/_k/t', '/v1/x', '/_k/t/v1/m', '/_k/', '/_kx/'][event_id % 5 + 1] || CAST(user_id AS VARCHAR) AS path FROM events))""",
+        "restore_modes": """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'passthrough' WHEN user_id % 3 = 0 OR (event_id % 2 = 0 AND user_id % 3 <> 1) THEN 'stream-restore' ELSE 'buffered-restore' END AS mode FROM events""",
+        "error_bodies": """SELECT event_id, '{"error":{"message":"' || event_type || '"}}' AS body FROM events""",
+        "tiny_texts": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) >= 3 AS detectable FROM documents",
+        "rule_class_counts": f"{_CTE} SELECT class, lang, count(*) AS n, count(DISTINCT value) AS n_values FROM found GROUP BY ALL",
+        "placeholders": f"{_CTE} SELECT doc_id, class, value, {_TOKEN_SQL} AS placeholder FROM first_class",
+        "placeholder_collisions": f"{_CTE} SELECT doc_id, {_TOKEN_SQL} AS placeholder, count(*) AS n FROM first_class GROUP BY ALL HAVING count(*) > 1",
+        "guarded_blobs": f"SELECT doc_id, blob FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_GUARD_RE}', 1)) AS blob FROM documents) WHERE strlen(blob) >= 40",
+        "redact_documents": f"{_PAIRS_SQL} SELECT doc_id, CASE WHEN ps IS NULL THEN text ELSE {_fold(True)} END AS redacted, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_pairs, 'ok' AS status FROM documents LEFT JOIN pairs USING (doc_id)",
+        "redact_unguarded": f"{_PAIRS_SQL} SELECT doc_id, CASE WHEN ps IS NULL THEN text ELSE {_fold(False)} END AS redacted FROM documents LEFT JOIN pairs USING (doc_id)",
+        "residual_after_guard": f"{_PAIRS_SQL} SELECT doc_id, count(*) AS n_residual FROM (SELECT doc_id, {_fold(True)} AS redacted, unnest(ps).v AS v FROM documents JOIN pairs USING (doc_id)) WHERE contains(redacted, v) GROUP BY doc_id",
+        "round_trip": texts,
+        "chunk_cover": "SELECT doc_id, true AS covered, true AS fits FROM documents",
+        "merge_spans": """WITH s AS (SELECT l_orderkey, l_linenumber % 3 AS co, (l_linenumber % 3) * 40 AS cs, l_linenumber % 3 > 0 AS hl, l_linenumber % 2 > 0 AS hr, l_suppkey * 100 + l_linenumber AS so,
+              l_partkey % 50 AS a, least(64, l_partkey % 50 + 3 + l_suppkey % 12) AS b, l_returnflag AS class, round(l_discount, 2) AS score FROM lineitem),
+            m AS (SELECT l_orderkey, co, so, cs + a AS "start", cs + b AS "end", class, score FROM s WHERE NOT (hr AND b = 64) AND NOT (hl AND a = 0)),
+            w AS (SELECT *, max("end") OVER (PARTITION BY l_orderkey ORDER BY "start", "end" DESC, co, so ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_,
+              max(score) OVER (PARTITION BY l_orderkey, "start", "end", class) AS best FROM m)
+            SELECT l_orderkey, "start", "end", class, best AS score FROM w WHERE before_ IS NULL OR "end" > before_""",
+        "conversation_fields": "SELECT conv_id, turn, text FROM conversations",
+        "request_round_trip": texts,
+        "json_string_values": "SELECT event_id, CAST(0 AS INTEGER) AS ord, event_type AS value FROM events UNION ALL SELECT event_id, 1, props FROM events",
+        "catalog_sizes": "SELECT * FROM (VALUES ('openai/privacy-filter', CAST(6 AS BIGINT), CAST(837099555 AS BIGINT)), ('knowledgator/gliner-pii-small-v1.0', 5, 330429965)) t(name, n_files, bytes)",
+        "pii_report": f"{_CTE} SELECT lang, source, class, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM found GROUP BY ROLLUP (lang, source, class)",
+        "documents_without_findings": f"{_CTE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
+        "token_verify": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'malformed' WHEN c_custkey % 3 = 0 THEN 'ok' WHEN c_custkey % 3 = 1 THEN 'expired' ELSE 'bad_signature' END AS status FROM customer""",
+    }
