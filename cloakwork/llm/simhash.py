@@ -81,8 +81,8 @@ def local_links(marks: np.ndarray) -> list[tuple[int, int]]:
     """Links (member, smallest of its local group) among distinct fingerprints that share a variant.
 
     A breadth-first search over the members not reached yet; each is compared in blocks. In a group over
-    ``DENSE_GROUP`` the search looks only among members that share a byte with the one at hand, which any two
-    within three bits do (eight bytes, at most three of them touched).
+    ``DENSE_GROUP`` the search looks only among members that share a 16-bit quarter with the
+    one at hand, which any two within three bits do.
     """
     marks = np.sort(marks.view(np.uint64))
     n = len(marks)

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-LENGTH = 3
-DECAY = 0.7
+LENGTH = 4
+DECAY = 0.8
+#: The kernel is raised to this power, which sharpens it and leaves it a kernel.
+POWER = 2
 LANDMARKS = 32
 LABELLED = 4000
 THRESHOLD = 0.7
@@ -102,7 +104,7 @@ def similarity(strings: list[str], landmarks: list[str], own: np.ndarray) -> np.
     owners = np.array(owner)
     for at in range(0, len(order), _CHUNK):  # words of like length together
         part = order[at : at + _CHUNK]
-        np.maximum.at(out, owners[part], np.minimum(kernel([pieces[k] for k in part], landmarks) / own, 1.0))
+        np.maximum.at(out, owners[part], np.minimum(kernel([pieces[k] for k in part], landmarks) / own, 1.0) ** POWER)
     return out
 
 
@@ -201,7 +203,7 @@ def fit(samples: list[tuple[int, set[str]]]) -> Model:
         return Model([], np.zeros(0), np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)) if share else -50.0)
     gram = kernel(landmarks, landmarks).astype(np.float64)
     own = np.diag(gram).copy()
-    gram /= np.sqrt(own[:, None] * own[None, :])
+    gram = (gram / np.sqrt(own[:, None] * own[None, :])) ** POWER
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T  # the Nystroem map
     model = Model(landmarks, own.astype(np.float32), np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
