@@ -16,12 +16,11 @@ SF = "/root/testdata/sf0.001"
 CONF = EngineConf(b"n" * 16, ScriptedDetector([("Bob", "private_person"), ("secret", "secret")]))
 
 
-class Broken:
-    def detect(self, text):
-        raise RuntimeError("model lost")
-
-
 def test_documents_keep_their_columns_and_fail_closed(spark):
+    class Broken:
+        def detect(self, text):
+            raise RuntimeError("model lost")
+
     docs = spark.createDataFrame([(1, "Bob has a secret", "x"), (2, None, "y"), (3, "", None), (4, "é Bob", "z")], "id long, text string, mapping_note string")
     got = {r["id"]: r for r in redaction.redact_documents(docs, CONF).collect()}
     assert "Bob" not in got[1]["redacted"] and len(got[1]["mapping"]) == 2 and got[1]["mapping_note"] == "x"
