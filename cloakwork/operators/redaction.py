@@ -117,7 +117,7 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """
     cut = (F.col("hard_right") & (F.col("end") == F.col("chunk_bytes"))) | (F.col("hard_left") & (F.col("start") == 0))
     moved = spans.where(~cut).select(*keys, "chunk_ord", "span_ord", (F.col("chunk_start") + F.col("start")).alias("start"), (F.col("chunk_start") + F.col("end")).alias("end"), "class", "score")
-    order = Window.partitionBy(*keys).orderBy("start", F.desc("end"), "chunk_ord", "span_ord")
+    order = Window.partitionBy(*keys).orderBy("start", F.desc("end"), "chunk_ord", "span_ord", "class")
     same = Window.partitionBy(*keys, "start", "end", "class")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     best = moved.withColumn("before", before).withColumn("score", F.max("score").over(same))

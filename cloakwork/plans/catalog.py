@@ -290,7 +290,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_spans": """WITH s AS (SELECT l_orderkey, l_linenumber % 3 AS co, (l_linenumber % 3) * 40 AS cs, l_linenumber % 3 > 0 AS hl, l_linenumber % 2 > 0 AS hr, l_suppkey * 100 + l_linenumber AS so,
               l_partkey % 50 AS a, least(64, l_partkey % 50 + 3 + l_suppkey % 12) AS b, l_returnflag AS class, round(l_discount, 2) AS score FROM lineitem),
             m AS (SELECT l_orderkey, co, so, cs + a AS "start", cs + b AS "end", class, score FROM s WHERE NOT (hr AND b = 64) AND NOT (hl AND a = 0)),
-            w AS (SELECT *, max("end") OVER (PARTITION BY l_orderkey ORDER BY "start", "end" DESC, co, so ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_,
+            w AS (SELECT *, max("end") OVER (PARTITION BY l_orderkey ORDER BY "start", "end" DESC, co, so, class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_,
               max(score) OVER (PARTITION BY l_orderkey, "start", "end", class) AS best FROM m)
             SELECT l_orderkey, "start", "end", class, best AS score FROM w WHERE before_ IS NULL OR "end" > before_""",
         "conversation_fields": "SELECT conv_id, turn, text FROM conversations",
