@@ -1,10 +1,13 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nystroem landmarks.
 
 The kernel counts common subsequences of ``LENGTH`` characters, each weighted by ``DECAY`` for every character it
-spans in either string, so inserted and skipped characters weaken a match instead of breaking it. Landmarks are the words and word
-beginnings of the labelled sample that tell the labels apart best. A word is mapped to its kernel values against the
-landmarks, a text to the largest over its words; the Nystroem map (the inverse root of the landmarks' own kernel
-matrix) turns that into the features of a linear machine, and a logistic curve turns its margin into a score.
+spans in either string, so inserted and skipped characters weaken a match instead of breaking it. Words carry a mark in front, so that
+the kernel knows where they begin. Landmarks are the words and word beginnings of the labelled sample that tell the
+labels apart best, by standing in a text at all or in two words of it. A word is mapped to its kernel values against the landmarks; a
+text, read as its set of words, to the largest value of each landmark, to the number of words near it, and to their
+share, because a common stem says something only where it is frequent for the text's length. The Nystroem map (the inverse root of the
+landmarks' own kernel matrix) turns each of the three into features of a linear machine, and a logistic curve turns its
+margin into a score.
 
 Scale: labels are sampled by a hash of the id, at most ``LABELLED`` rows, which is the one bound here; scoring is one
 scan without a shuffle over whole texts. Kernel values are computed once for each distinct word that a task
@@ -30,10 +33,16 @@ LENGTH = 4
 DECAY = 0.8
 #: The kernel is raised to this power, which sharpens it and leaves it a kernel.
 POWER = 2
-LANDMARKS = 32
+LANDMARKS = 24
+#: Kernel shares from which a word counts as near a landmark, rising to a whole count at 1.
+NEAR = 0.75
+#: Words that every text counts as having beside its own, when shares of words are taken.
+SHARE_PRIOR = 20
 LABELLED = 4000
 THRESHOLD = 0.7
 WORD_SPAN = 24
+#: Stands before every word; no letter.
+START = "^"
 _LANDMARK_SPAN = 10
 _CACHE_WORDS = 300_000
 _CHUNK = 4096
@@ -92,19 +101,21 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def similarity(strings: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
-    """Kernel values as shares of each landmark's own, at most 1; long strings by their best window."""
+    """Kernel values of marked words as shares of each landmark's own, at most 1; long words by their best window."""
     out = np.zeros((len(strings), len(landmarks)), dtype=np.float32)
     pieces, owner = [], []
     for n, s in enumerate(strings):
+        s = START + s
         steps = range(0, max(1, len(s) - WORD_SPAN // 2), WORD_SPAN // 2) if len(s) > WORD_SPAN else (0,)
         for at in steps:
             pieces.append(s[at : at + WORD_SPAN])
             owner.append(n)
     order = np.argsort([len(p) for p in pieces], kind="stable")
     owners = np.array(owner)
+    marked = [START + landmark for landmark in landmarks]
     for at in range(0, len(order), _CHUNK):  # words of like length together
         part = order[at : at + _CHUNK]
-        np.maximum.at(out, owners[part], np.minimum(kernel([pieces[k] for k in part], landmarks) / own, 1.0) ** POWER)
+        np.maximum.at(out, owners[part], np.minimum(kernel([pieces[k] for k in part], marked) / own, 1.0))
     return out
 
 
@@ -126,44 +137,47 @@ class WordTable:
     """Similarities of words to the landmarks, remembered."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.place, self.rows = model, {}, np.zeros((0, len(model.landmarks)), dtype=np.float16)
+        self.model, self.place, self.rows = model, {}, np.zeros((0, len(model.landmarks)), dtype=np.float32)
 
-    def learn(self, lists: list[list[str]]) -> None:
-        new = list({w for ws in lists for w in ws} - self.place.keys())
+    def learn(self, sets: list[set[str]]) -> None:
+        new = list({w for ws in sets for w in ws} - self.place.keys())
         if len(self.place) + len(new) > _CACHE_WORDS:
             self.place, self.rows = {}, self.rows[:0]
-            new = list({w for ws in lists for w in ws})
+            new = list({w for ws in sets for w in ws})
         if new:
             start = len(self.rows)
-            self.rows = np.concatenate([self.rows, similarity(new, self.model.landmarks, self.model.own).astype(np.float16)])
+            self.rows = np.concatenate([self.rows, similarity(new, self.model.landmarks, self.model.own)])
             self.place.update(zip(new, range(start, start + len(new))))
 
-    def pooled(self, ws: list[str]) -> np.ndarray:
+    def pooled(self, ws: set[str]) -> np.ndarray:
+        """Largest power of the kernel, words near (as a logarithm) and their share, for each landmark; zero without words."""
         if not ws:
-            return np.zeros(len(self.model.landmarks), dtype=np.float16)
-        return self.rows[np.fromiter(map(self.place.__getitem__, ws), dtype=np.int64, count=len(ws))].max(axis=0)
+            return np.zeros(3 * len(self.model.landmarks), dtype=np.float32)
+        near = self.rows[np.fromiter(map(self.place.__getitem__, ws), dtype=np.int64, count=len(ws))]
+        count = np.maximum(near - NEAR, 0).sum(axis=0) / (1 - NEAR)
+        return np.concatenate([near.max(axis=0) ** POWER, np.log1p(count), np.log1p(count * (100 / (len(ws) + SHARE_PRIOR)))])
 
 
 def choose_landmarks(samples: list[tuple[int, set[str]]], most: int = LANDMARKS) -> list[str]:
-    """Words and word beginnings whose presence tells the labels apart best, none inside another."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """Words and word beginnings that tell the labels apart best, none the beginning of another."""
+    seen: dict[tuple[int, int], Counter] = {(label, least): Counter() for label in (0, 1) for least in (1, 2)}
     sizes = [0, 0]
     for label, ws in samples:
         sizes[label] += 1
-        parts = {w for w in ws if 4 <= len(w) <= _LANDMARK_SPAN}
-        parts |= {w[:n] for w in ws for n in range(4, min(len(w), 8))}
-        seen[label].update(parts)
-    ranked = []
-    for part, n in seen[1].items():
-        if n >= 2:
-            gain = n * (math.log((n + 0.5) / (sizes[1] + 1)) - math.log((seen[0][part] + 0.5) / (sizes[0] + 1)))
-            if gain > 0:
-                ranked.append((-gain, -len(part), part))
+        parts = Counter(w[:n] for w in ws for n in range(3, min(len(w), _LANDMARK_SPAN) + 1))
+        for least in (1, 2):  # in how many texts at all, and in two words
+            seen[label, least].update(p for p, n in parts.items() if n >= least)
+    best: dict[str, float] = {}
+    for least in (1, 2):
+        for part, n in seen[1, least].items():
+            if n >= 2:
+                gain = n * (math.log((n + 0.5) / (sizes[1] + 1)) - math.log((seen[0, least][part] + 0.5) / (sizes[0] + 1)))
+                best[part] = max(gain, best.get(part, 0.0))
     out: list[str] = []
-    for _, _, part in sorted(ranked):
+    for _, _, part in sorted((-gain, -len(part), part) for part, gain in best.items() if gain > 0):
         if len(out) == most:
             break
-        if not any(part in o or o in part for o in out):
+        if not any(part.startswith(o) or o.startswith(part) for o in out):
             out.append(part)
     return out
 
@@ -201,17 +215,18 @@ def fit(samples: list[tuple[int, set[str]]]) -> Model:
     if not landmarks:
         share = (ones + 1) / (len(samples) + 2) if samples else 0.0
         return Model([], np.zeros(0), np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)) if share else -50.0)
-    gram = kernel(landmarks, landmarks).astype(np.float64)
+    marked = [START + landmark for landmark in landmarks]
+    gram = kernel(marked, marked).astype(np.float64)
     own = np.diag(gram).copy()
     gram = (gram / np.sqrt(own[:, None] * own[None, :])) ** POWER
     values, vectors = np.linalg.eigh(gram)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T  # the Nystroem map
-    model = Model(landmarks, own.astype(np.float32), np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
+    root = np.kron(np.eye(3), vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T)  # the Nystroem map
+    model = Model(landmarks, own.astype(np.float32), np.zeros(3 * len(landmarks)), 0.0, 1.0, 0.0)
     table, rows = WordTable(model), []
     for at in range(0, len(samples), 500):
-        lists = [list(ws) for _, ws in samples[at : at + 500]]
-        table.learn(lists)
-        rows += [table.pooled(ws) for ws in lists]
+        sets = [ws for _, ws in samples[at : at + 500]]
+        table.learn(sets)
+        rows += [table.pooled(ws) for ws in sets]
     pooled = np.array(rows, dtype=np.float64)
     positive = np.array([label == 1 for label, _ in samples])
     weights, model.bias = _machine(pooled @ root, np.where(positive, 1.0, -1.0))
@@ -250,9 +265,9 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(model)
         for batch in batches:
-            lists = [words(t) for t in batch.column("text").to_pylist()]
-            table.learn(lists)
-            score = model.probability(np.array([table.pooled(ws) for ws in lists], dtype=np.float64).reshape(len(lists), -1))
+            sets = [set(words(t)) for t in batch.column("text").to_pylist()]
+            table.learn(sets)
+            score = model.probability(np.array([table.pooled(ws) for ws in sets], dtype=np.float64).reshape(len(sets), -1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     scored = map_batches(docs, run, "doc_id long, score double")

@@ -290,6 +290,20 @@ def test_toxicity(spark, docs):
     assert toxicity.classify(docs.limit(0), marks, fold("doc_id", 3) == 1).count() == 0
 
 
+def test_toxicity_by_stems_that_clean_texts_hold_too():
+    rnd = random.Random(9)
+    samples = []
+    for n in range(600):
+        stems = ["bomente" + prose(5000 + 10 * n + k, 1) for k in range(rnd.randint(3, 6) if n % 5 == 0 else rnd.random() < 0.2)]
+        samples.append((int(n % 5 == 0), {*prose(9000 + n, 80).split(), *stems}))
+    model = toxicity.fit(samples[:400])
+    assert any("bomente".startswith(m) or m.startswith("bomente") for m in model.landmarks)
+    table = toxicity.WordTable(model)
+    table.learn([ws for _, ws in samples[400:]])
+    score = model.probability(np.array([table.pooled(ws) for _, ws in samples[400:]]))
+    assert np.mean((score >= toxicity.THRESHOLD) == [label == 1 for label, _ in samples[400:]]) > 0.95
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
