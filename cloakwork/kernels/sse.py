@@ -1,6 +1,7 @@
 """Restoring placeholders in a server-sent event stream, though one may be cut over several events.
 
-The state of a stream is four values, so it fits a streaming state store.
+The state of a stream is four values, so it fits a streaming state store. Neither a placeholder nor a guarded blob holds
+a blank, so text up to the last blank is settled once it is out: only what follows is kept and restored again.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from .jsonwalk import Bad as BadJson
 from .text import Pair, partial_suffix, restore
 
 DATA = "data: "
+BLANKS = (" ", "\n")
 
 
 @dataclass
 class State:
     raw: str = ""  # an unfinished line
-    content: str = ""  # text of the block so far, placeholders and all
-    sent: int = 0  # bytes of the restored block that went out
+    content: str = ""  # unsettled text of the block, placeholders and all
+    sent: int = 0  # bytes of it, restored, that went out
     last: str = ""  # payload of the latest delta, to write the held rest with
 
 
@@ -78,6 +80,7 @@ class Restorer:
     def __init__(self, kind: str, pairs: list[Pair], state: State | None = None, guard: bool = True) -> None:
         self.kind, self.pairs, self.state, self.guard = kind, pairs, state or State(), guard
         self.placeholders = [p for _, p in pairs if len(p.encode()) >= 2]
+        self.settles = not any(blank in p for _, p in pairs for blank in BLANKS)
 
     def feed(self, data: str) -> list[str]:
         """Whole lines that ``data`` finishes, restored; the rest waits."""
@@ -109,8 +112,18 @@ class Restorer:
         safe = len(data) - partial_suffix(whole, self.placeholders)
         fresh = data[state.sent : safe].decode(errors="replace") if safe > state.sent else ""
         state.sent = max(state.sent, safe)
+        if self.settles:
+            self._settle()
         return DATA + self._with(payload, event.place, fresh)
 
+    def _settle(self) -> None:
+        """Forgets the text up to the last blank, which is out, as what is held back never reaches over a blank."""
+        state = self.state
+        cut = max(map(state.content.rfind, BLANKS)) + 1
+        if cut:
+            state.sent -= len(restore(state.content[:cut], self.pairs, self.guard).encode())
+            state.content = state.content[cut:]
+
     @staticmethod
     def _with(payload: str, place: tuple[int, int], text: str) -> str:
         return payload[: place[0]] + json.dumps(text, ensure_ascii=False) + payload[place[1] :]

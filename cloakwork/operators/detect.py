@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -10,6 +12,10 @@ from cloakwork.kernels import bioes, text
 from cloakwork.kernels.text import Span
 
 
+#: Fixed value: how many texts a worker remembers.
+CAPACITY = 8192
+
+
 class Detector(Protocol):
     def detect(self, text: str) -> list[Span]: ...
 
@@ -82,6 +88,38 @@ class OnnxDetector:
         return text.trim(said.encode(), self.decoder.spans(logits, bioes.byte_offsets(said, coded.offsets)))
 
 
+class RecentDetector:
+    """Another detector whose spans are remembered by the hash of the text, the latest used ``capacity`` of them.
+
+    Every Python worker has a memory of its own, which is enough for repeated chunks that lie near each other and costs no
+    shuffle; ``detect_distinct_chunks`` is the way that meets every repeat. Failures are not remembered.
+    """
+
+    def __init__(self, detector: Detector, capacity: int = CAPACITY) -> None:
+        if capacity <= 0:
+            raise ValueError("the capacity must be positive")
+        self.detector, self.capacity, self.seen = detector, capacity, OrderedDict()
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "seen": OrderedDict()}  # memories do not travel
+
+    def __len__(self) -> int:
+        return len(self.seen)
+
+    def purge(self) -> None:
+        self.seen.clear()
+
+    def detect(self, said: str) -> list[Span]:
+        key = hashlib.sha256(said.encode()).digest()
+        if key in self.seen:
+            self.seen.move_to_end(key)
+            return self.seen[key]
+        found = self.seen[key] = self.detector.detect(said)
+        if len(self.seen) > self.capacity:
+            self.seen.popitem(last=False)
+        return found
+
+
 _FACTORIES: dict[str, Callable[..., Detector]] = {"rules": RuleDetector, "scripted": ScriptedDetector, "onnx": OnnxDetector}
 
 

@@ -64,6 +64,17 @@ def strip_hop_headers(headers: Column) -> Column:
     return F.map_filter(headers, lambda name, _: ~F.lower(name).isin(*HOP_HEADERS))
 
 
+def upstream_headers(headers: Column) -> Column:
+    """A request's headers as they go on: no hop headers, no length, and an answer that is not compressed."""
+    kept = F.map_filter(strip_hop_headers(headers), lambda name, _: ~F.lower(name).isin("content-length", "accept-encoding", "host"))
+    return F.map_concat(kept, F.create_map(F.lit("Accept-Encoding"), F.lit("identity")))
+
+
+def answer_headers(headers: Column) -> Column:
+    """An answer's headers as they go back: all but the length, which restoring changes."""
+    return F.map_filter(headers, lambda name, _: F.lower(name) != "content-length")
+
+
 def error_body(message: Column) -> Column:
     return F.to_json(F.struct(F.struct(message.alias("message")).alias("error")))
 

@@ -16,6 +16,7 @@ from cloakwork.streaming.restore import restore_batch
 
 NONCE = b"cloakwork-nonce!"  # fixed, so that results can be compared
 CONF = EngineConf(NONCE)
+DELTA = 32  # characters of a streamed event; most placeholders are cut
 _RULES_SQL = ", ".join(f"({n}, '{kind}', '{pattern}')" for n, (kind, pattern) in enumerate(RULES))
 _CTE = f"""
 WITH rules(n, class, pattern) AS (VALUES {_RULES_SQL}),
@@ -64,6 +65,21 @@ def restore_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", requests.restore_mode(kind, content, F.col("event_id") % 4).alias("mode"))
 
 
+def header_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the headers that go upstream and back, in order."""
+    names = ("Connection", "TE", "Content-Length", "accept-encoding", "X-Trace", "Content-Type")
+    headers = F.map_from_entries(F.transform(F.slice(F.array(*map(F.lit, names)), F.lit(1), (F.col("event_id") % 7).cast("int")), lambda n: F.struct(n, F.col("event_type"))))
+    made = table(spark, sf_dir, "events").select("event_id", headers.alias("h"))
+    return made.select("event_id", *(F.array_join(F.array_sort(F.map_keys(f(F.col("h")))), ",").alias(n) for n, f in (("upstream", requests.upstream_headers), ("answer", requests.answer_headers))))
+
+
+def request_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mapping per order from the pairs of its lines: of equal values the first line's placeholder stays."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    pairs = lines.select("l_orderkey", F.col("l_linenumber").alias("field_ord"), F.lit(0).alias("pair_ord"), (F.col("part") % 4).cast("string").alias("from"), F.col("supp").cast("string").alias("to"))
+    return redaction.request_mapping(pairs, ["l_orderkey"]).select("l_orderkey", F.inline("mapping"))
+
+
 def error_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", requests.error_body(F.col("event_type")).alias("body"))
 
@@ -179,13 +195,13 @@ def json_string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted documents cut into deltas of seven characters, restored as event streams and put together again."""
+    """Redacted documents cut into deltas of a few characters, restored as event streams and put together again."""
     out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
-    some = out.where((F.size("mapping") > 0) & (F.length("redacted") < 4000))
-    parts = some.select("doc_id", "mapping", F.posexplode(F.regexp_extract_all("redacted", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "part"))
+    parts = out.select("doc_id", "mapping", F.posexplode(F.regexp_extract_all("redacted", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))).alias("seq", "part"))
     event = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("part").alias("text")).alias("delta")))
-    lines = parts.select(F.col("doc_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), event).alias("line"), F.lit(False).alias("closes"), F.lit(jsonwalk.ANTHROPIC).alias("kind"), "mapping")
-    ends = some.select(F.col("doc_id").cast("string"), F.lit(1 << 40).cast("long"), F.lit(None).cast("string"), F.lit(True), F.lit(jsonwalk.ANTHROPIC), "mapping").toDF(*lines.columns)
+    lines = parts.select(F.col("doc_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), event).alias("line"), F.lit(False).alias("closes"), F.lit(jsonwalk.ANTHROPIC).alias("kind"), F.when(F.col("seq") == 0, F.col("mapping")).alias("mapping"))
+    stop = F.lit('data: {"type":"content_block_stop"}')
+    ends = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.lit(1 << 40).cast("long"), stop, F.lit(True), F.lit(jsonwalk.ANTHROPIC), F.lit(None).cast(redaction.PAIRS)).toDF(*lines.columns)
     back = restore_batch(lines.unionAll(ends)).where(F.col("line").startswith("data: "))
     said = F.get_json_object(F.substring(F.col("line"), 7, 1 << 30), "$.delta.text")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ord", said.alias("t")))), lambda x: x["t"]), "")
@@ -238,7 +254,7 @@ def documents_without_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        route_kinds, key_path_split, restore_modes, error_bodies, tiny_texts, rule_class_counts, placeholders, placeholder_collisions, guarded_blobs,
+        route_kinds, key_path_split, restore_modes, header_maps, request_mappings, error_bodies, tiny_texts, rule_class_counts, placeholders, placeholder_collisions, guarded_blobs,
         redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
         conversation_fields, request_round_trip, json_string_values, sse_round_trip, viterbi_tags, catalog_sizes, token_verify, pii_report, documents_without_findings,
     )
@@ -254,6 +270,30 @@ _GUARDED_STEP = f"""list_reduce(list_prepend({{'b': '', 'o': '', 'r': @ACC@}}, l
   lambda s, e: {{'b': '', 'o': s.o || replace(s.r[1:strpos(s.r, e.b) - 1], @V@, @T@) || e.b, 'r': s.r[strpos(s.r, e.b) + length(e.b):]}})"""
 
 
+#: Byte spans of every rule match: what stands before a match is the pieces and the matches before it.
+_SPANS_SQL = f"""WITH rules(n, class, pattern) AS (VALUES {_RULES_SQL}),
+met AS (SELECT doc_id, n, class, regexp_extract_all(text, pattern) AS vs, string_split_regex(text, pattern) AS gaps FROM documents, rules),
+ranked AS (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM met),
+s AS (SELECT doc_id, n, class, CAST(list_sum(list_transform(gaps[:k], lambda g: strlen(g))) + coalesce(list_sum(list_transform(vs[:k - 1], lambda v: strlen(v))), 0) AS INTEGER) AS "start", CAST(strlen(vs[k]) AS INTEGER) AS size FROM ranked),
+w AS (SELECT *, "start" + size AS "end", max("start" + size) OVER (PARTITION BY doc_id ORDER BY "start", size DESC, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM s WHERE size >= 3)
+SELECT doc_id, "start", "end", class FROM w WHERE before_ IS NULL OR "end" > before_"""
+
+
+def _viterbi_sql(n_tokens: int = 12) -> str:
+    """Best BIOES path over five tags (O, B, I, E, S), its score and finished spans carried for each last tag."""
+
+    def logit(k: int, tag: int) -> str:
+        return f"CAST(embedding[{5 * k + tag + 1}] AS DOUBLE) * 20"
+
+    ctes = [f"t0 AS (SELECT vec_id, embedding, {logit(0, 0)} AS o, {logit(0, 1)} AS b, CAST('-Infinity' AS DOUBLE) AS i, CAST('-Infinity' AS DOUBLE) AS e, {logit(0, 4)} AS s, 0 AS no, 0 AS nb, 0 AS ni, 0 AS ne, 1 AS ns FROM embeddings)"]
+    for k in range(1, n_tokens):
+        free, n_free = "greatest(o, e, s)", "CASE WHEN o >= e AND o >= s THEN no WHEN e >= s THEN ne ELSE ns END"
+        open_, n_open = "greatest(b, i)", "CASE WHEN b >= i THEN nb ELSE ni END"
+        ctes.append(f"t{k} AS (SELECT vec_id, embedding, {free} + {logit(k, 0)} AS o, {free} + {logit(k, 1)} AS b, {open_} + {logit(k, 2)} AS i, {open_} + {logit(k, 3)} AS e, {free} + {logit(k, 4)} AS s, {n_free} AS no, {n_free} AS nb, {n_open} AS ni, {n_open} + 1 AS ne, {n_free} + 1 AS ns FROM t{k - 1})")
+    best = "greatest(o, b, i, e, s)"
+    return f"WITH {', '.join(ctes)} SELECT vec_id, CAST(CASE {best} WHEN o THEN no WHEN b THEN nb WHEN i THEN ni WHEN e THEN ne ELSE ns END AS INTEGER) AS n_spans FROM t{n_tokens - 1}"
+
+
 def _fold(guard: bool) -> str:
     if not guard:
         step = "replace(a.acc, p.v, p.t)"
@@ -276,6 +316,13 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN NOT ok THEN path WHEN strpos(path[5:], '/') = 0 THEN '/' ELSE path[4 + strpos(path[5:], '/'):] END AS rest, ok
             FROM (SELECT event_id, path, starts_with(path, '/_k/') AS ok FROM (SELECT event_id, ['/_k/t', '/v1/x', '/_k/t/v1/m', '/_k/', '/_kx/'][event_id % 5 + 1] || CAST(user_id AS VARCHAR) AS path FROM events))""",
         "restore_modes": """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'passthrough' WHEN user_id % 3 = 0 OR (event_id % 2 = 0 AND user_id % 3 <> 1) THEN 'stream-restore' ELSE 'buffered-restore' END AS mode FROM events""",
+        "header_maps": """SELECT event_id, array_to_string(list_sort(list_append(list_filter(h, lambda n: n IN ('X-Trace', 'Content-Type')), 'Accept-Encoding')), ',') AS upstream,
+            array_to_string(list_sort(list_filter(h, lambda n: n <> 'Content-Length')), ',') AS answer
+            FROM (SELECT event_id, ['Connection', 'TE', 'Content-Length', 'accept-encoding', 'X-Trace', 'Content-Type'][:event_id % 7] AS h FROM events)""",
+        "request_mappings": """SELECT l_orderkey, "from", arg_min("to", l_linenumber) AS "to" FROM (SELECT l_orderkey, l_linenumber, CAST(min(l_partkey) % 4 AS VARCHAR) AS "from", CAST(min(l_suppkey) AS VARCHAR) AS "to" FROM lineitem GROUP BY ALL) GROUP BY ALL""",
+        "spans_by_distinct_chunk": _SPANS_SQL,
+        "viterbi_tags": _viterbi_sql(),
+        "sse_round_trip": texts,
         "error_bodies": """SELECT event_id, '{"error":{"message":"' || event_type || '"}}' AS body FROM events""",
         "tiny_texts": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) >= 3 AS detectable FROM documents",
         "rule_class_counts": f"{_CTE} SELECT class, lang, count(*) AS n, count(DISTINCT value) AS n_values FROM found GROUP BY ALL",

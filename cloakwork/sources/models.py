@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "name string, repo string, revision string, files array<struct<path:string,size:bigint,sha256:string>>"
 #: The public models that a detector can load, with their files' sizes; the first is the default.
@@ -28,6 +29,23 @@ def cache_root(env: Mapping[str, str] = os.environ) -> Path:
     return Path(env.get("XDG_CACHE_HOME") or Path(env.get("HOME", "~")).expanduser() / ".cache") / "cloakwork"
 
 
+def write_manifest(name: str, root: Path) -> Path:
+    """Notes that the catalog's revision of a model is in its folder; whole or not at all."""
+    revision = next(r for n, r, _ in CATALOG if n == name)
+    folder = root / "models" / name
+    folder.mkdir(parents=True, exist_ok=True)
+    fresh = folder / "manifest.json.new"
+    fresh.write_text(json.dumps({"revision": revision}))
+    return fresh.replace(folder / "manifest.json")
+
+
+def list_models(spark: SparkSession, root: Path) -> DataFrame:
+    """The catalog with each model's total size, and whether this machine has it."""
+    here = spark.createDataFrame([(name, is_cached(name, root)) for name, *_ in CATALOG], "name string, cached boolean")
+    sizes = catalog_table(spark).select("name", F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"]).alias("bytes"))
+    return sizes.join(F.broadcast(here), "name")
+
+
 def is_cached(name: str, root: Path) -> bool:
     """Whether a manifest of the catalog's revision is there and every file has its size."""
     revision, files = next((r, f) for n, r, f in CATALOG if n == name)

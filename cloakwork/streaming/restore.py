@@ -1,11 +1,13 @@
 """Restoring of event streams: in batch by stream, and as a stateful streaming query.
 
 Rows are (stream_id, seq, line, closes, kind, mapping); a line is text of one stream, in the order of seq, and the
-row that closes a stream flushes what is held. The state of a stream is its block so far.
+row that closes a stream flushes what is held. The first row of a stream brings its kind and mapping; later ones need none. The state of a
+stream is these and the unsettled end of its block.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,11 +17,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cloakwork.kernels.sse import Restorer, State
 
 OUT = "stream_id string, seq long, ord int, line string"
-STATE = "raw string, content string, sent int, last string, next long"
+STATE = "raw string, content string, sent int, last string, seq long, kind string, pairs string"
+IDLE_MS = 3_600_000
 
 
-def _restorer(row, state: State | None = None) -> Restorer:
-    return Restorer(row["kind"], [(p["from"], p["to"]) for p in (row["mapping"] if row["mapping"] is not None else ())], state)
+def _pairs(row) -> list[tuple[str, str]]:
+    return [(p["from"], p["to"]) for p in (row["mapping"] if row["mapping"] is not None else ())]
 
 
 def _play(restorer: Restorer, row) -> list[str]:
@@ -33,33 +36,39 @@ def restore_batch(lines: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         restorer, out = None, []
         for row in rows.sort_values("seq").to_dict("records"):
-            restorer = restorer or _restorer(row)
+            restorer = restorer or Restorer(row["kind"], _pairs(row))
             out += [(key[0], row["seq"], n, line) for n, line in enumerate(_play(restorer, row))]
         return pd.DataFrame(out, columns=["stream_id", "seq", "ord", "line"])
 
     return lines.groupBy("stream_id").applyInPandas(run, OUT)
 
 
-def restore_stream(lines: DataFrame, timeout: str = "ProcessingTimeTimeout") -> DataFrame:
+def restore_stream(lines: DataFrame, timeout: str = GroupStateTimeout.ProcessingTimeTimeout, idle_ms: int = IDLE_MS) -> DataFrame:
     """The same on a stream. Rows of a batch are sorted by seq; a stream's rows must not arrive in a later batch than
-    higher ones of it. State goes when the closing row comes, or an hour after the last row."""
+    higher ones of it. State goes when the closing row comes, or ``idle_ms`` after the last row; either way what is
+    held goes out first."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("seq").to_dict("records")
-        held = state.get if state.exists else ("", "", 0, "", 0)
-        restorer, out, closed = _restorer(rows[0], State(*held[:4])), [], False
+        held = state.get if state.exists else None
+        rows = [] if state.hasTimedOut else pd.concat(list(frames)).sort_values("seq").to_dict("records")
+        if held is not None:
+            kind, pairs, seq = held[5], [tuple(p) for p in json.loads(held[6])], held[4]
+        else:
+            kind, pairs, seq = rows[0]["kind"], _pairs(rows[0]), rows[0]["seq"]
+        restorer, out, closed = Restorer(kind, pairs, State(*held[:4]) if held is not None else None), [], state.hasTimedOut
         for row in rows:
-            out += [(key[0], row["seq"], n, line) for n, line in enumerate(_play(restorer, row))]
+            seq = int(row["seq"])
+            out += [(key[0], seq, n, line) for n, line in enumerate(_play(restorer, row))]
             closed = closed or bool(row["closes"])
+        if state.hasTimedOut:  # numbered after the lines of the last row
+            out += [(key[0], seq, (1 << 30) + n, line) for n, line in enumerate(restorer.close())]
         if closed:
             state.remove()
         else:
             s = restorer.state
-            state.update((s.raw, s.content, s.sent, s.last, int(rows[-1]["seq"]) + 1))
-            state.setTimeoutDuration(3600 * 1000)
+            state.update((s.raw, s.content, s.sent, s.last, int(seq), kind, json.dumps(pairs)))
+            if timeout == GroupStateTimeout.ProcessingTimeTimeout:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "ord", "line"])
 
-    return lines.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout == "ProcessingTimeTimeout" else timeout)
+    return lines.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", timeout)

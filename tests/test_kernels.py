@@ -156,6 +156,19 @@ def test_stream_split_anywhere(kind):
         assert not any("OG_" in t for t in texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["OG_P_1", "OG_", "P_1", "O", "G_P_12", " ", "\n", '"', "A" * 45, "é", "x"]), max_size=30))
+def test_settled_text_changes_nothing(parts):
+    pairs = [("Bob Lee", "OG_P_1"), ('say "O', "OG_P_12"), ("OG", "OG_P_1é")]
+    event = lambda t: "data: " + json.dumps({"type": "content_block_delta", "delta": {"type": "text_delta", "text": t}}) + "\n"
+    short, long = sse.Restorer(jsonwalk.ANTHROPIC, pairs), sse.Restorer(jsonwalk.ANTHROPIC, pairs)
+    long.settles = False
+    for part in parts:
+        assert short.feed(event(part)) == long.feed(event(part))
+        assert not any(blank in short.state.content for blank in sse.BLANKS)
+    assert short.close() == long.close()
+
+
 def test_other_lines_and_terminal_events():
     restorer = sse.Restorer(jsonwalk.CHAT, [("Bob", "OG_PERSON_1")])
     assert restorer.feed("event: x\ndata: [DONE]\ndata:OG_PERSON_1\n") == ["event: x", "data: [DONE]", "data:OG_PERSON_1"]

@@ -1,4 +1,6 @@
 import json
+import pickle
+import time
 
 import duckdb
 import pytest
@@ -7,9 +9,10 @@ from pyspark.sql import functions as F
 from cloakwork.functions.sql import register
 from cloakwork.kernels import jsonwalk
 from cloakwork.operators import redaction, requests
-from cloakwork.operators.detect import DetectorUnavailable, ScriptedDetector, get_detector
+from cloakwork.operators.detect import DetectorUnavailable, RecentDetector, ScriptedDetector, get_detector
 from cloakwork.operators.redaction import EngineConf
 from cloakwork.plans import catalog
+from cloakwork.sources import models
 from cloakwork.streaming.restore import restore_batch, restore_stream
 
 SF = "/root/testdata/sf0.001"
@@ -89,7 +92,7 @@ def _said(rows):
 
 def test_streams(spark, tmp_path):
     lines = _lines(spark)
-    assert _said(restore_batch(lines).collect()) == "hi Bob!"
+    assert _said(restore_batch(lines.withColumn("mapping", F.when(F.col("seq") == 0, F.col("mapping")))).collect()) == "hi Bob!"
     lines.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
     query = restore_stream(source).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
@@ -97,13 +100,67 @@ def test_streams(spark, tmp_path):
     assert _said(spark.table("restored").collect()) == "hi Bob!"
 
 
-@pytest.mark.parametrize("name", ["route_kinds", "key_path_split", "restore_modes", "placeholders", "redact_documents", "merge_spans", "request_round_trip", "pii_report"])
+@pytest.mark.parametrize("name", ["route_kinds", "key_path_split", "restore_modes", "placeholders", "redact_documents", "merge_spans", "request_round_trip", "pii_report", "header_maps", "request_mappings", "spans_by_distinct_chunk", "viterbi_tags", "sse_round_trip"])
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "events", "lineitem", "customer"):
+    for t in ("documents", "conversations", "events", "lineitem", "customer", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalog.queries()[name](spark, SF)
     columns = sorted(got.columns)
     want = con.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({catalog.oracle_sql()[name]})").fetchall()
     key = lambda r: tuple(str(v) for v in r)
     assert sorted((tuple(r) for r in got.select(*columns).collect()), key=key) == sorted(want, key=key)
+
+
+def test_recent_detector():
+    class Counted:
+        calls = 0
+
+        def detect(self, text):
+            self.calls += 1
+            if text == "bad":
+                raise RuntimeError("model lost")
+            return [(0, 3, "secret", 1.0)]
+
+    inner = Counted()
+    recent = RecentDetector(inner, 2)
+    for said in ("one", "two", "one", "six", "one", "two"):
+        assert recent.detect(said) == [(0, 3, "secret", 1.0)]
+    assert inner.calls == 4 and len(recent) == 2
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            recent.detect("bad")
+    assert inner.calls == 6 and len(pickle.loads(pickle.dumps(RecentDetector(ScriptedDetector([("a", "secret")]))))) == 0
+    recent.purge()
+    assert len(recent) == 0
+    with pytest.raises(ValueError):
+        RecentDetector(inner, 0)
+
+
+def test_model_list(spark, tmp_path):
+    assert {r["cached"] for r in models.list_models(spark, tmp_path).collect()} == {False}
+    name, _, files = models.CATALOG[1]
+    for path, size in files:
+        place = tmp_path / "models" / name / path
+        place.parent.mkdir(parents=True, exist_ok=True)
+        with place.open("wb") as file:
+            file.truncate(size)  # sparse
+    assert not models.is_cached(name, tmp_path)
+    models.write_manifest(name, tmp_path)
+    assert {r["name"]: r["cached"] for r in models.list_models(spark, tmp_path).collect()} == {name: True, models.CATALOG[0][0]: False}
+
+
+def test_idle_stream_lets_go_of_what_it_holds(spark, tmp_path):
+    lines = _lines(spark)
+    lines.where("seq < 2").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
+    query = restore_stream(source, idle_ms=500).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            said = _said(spark.table("idle").collect())
+            if said == "hi OG_P_":
+                break
+        assert said == "hi OG_P_"
+    finally:
+        query.stop()
