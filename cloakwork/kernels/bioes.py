@@ -32,6 +32,14 @@ def parse_biases(text: str, point: str = "default") -> Biases:
     return Biases(*(float(values[f"transition_bias_{f.name}"]) for f in fields(Biases)))
 
 
+def parse_labels(text: str) -> list[str]:
+    """Labels of a model's configuration in the order of its outputs; numbers left out are background."""
+    named = {int(n): label for n, label in json.loads(text)["id2label"].items()}
+    if not named or min(named) < 0:
+        raise ValueError("the configuration names no labels")
+    return [named.get(n, "O") for n in range(max(named) + 1)]
+
+
 def parse_tag(label: str) -> tuple[str, str]:
     """(prefix, class) of a label; labels without a dash are background."""
     prefix, dash, kind = label.partition("-")

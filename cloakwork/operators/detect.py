@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
+from pathlib import Path
 from typing import Protocol
 
 from cloakwork.kernels import bioes, text
@@ -76,6 +77,18 @@ class OnnxDetector:
         names = [i.name for i in self.session.get_inputs()]
         self.inputs = sorted((n for n in names if n in ("input_ids", "attention_mask")), key=lambda n: n != "input_ids")
 
+    @classmethod
+    def from_folder(cls, folder: str, model: str = "onnx/model_q4f16.onnx", point: str = "default") -> OnnxDetector:
+        """The detector of a downloaded model: its labels from ``config.json``, its biases from the calibration if it has one."""
+        place = Path(folder)
+        try:
+            labels = bioes.parse_labels((place / "config.json").read_text())
+            calibration = place / "viterbi_calibration.json"
+            biases = bioes.parse_biases(calibration.read_text(), point) if calibration.exists() else bioes.Biases()
+        except (OSError, ValueError, KeyError) as error:
+            raise DetectorUnavailable(f"the model in {folder} is missing or incomplete: {error}") from error
+        return cls(str(place / model), str(place / "tokenizer.json"), labels, biases)
+
     def detect(self, said: str) -> list[Span]:
         import numpy as np
 
@@ -120,7 +133,7 @@ class RecentDetector:
         return found
 
 
-_FACTORIES: dict[str, Callable[..., Detector]] = {"rules": RuleDetector, "scripted": ScriptedDetector, "onnx": OnnxDetector}
+_FACTORIES: dict[str, Callable[..., Detector]] = {"rules": RuleDetector, "scripted": ScriptedDetector, "onnx": OnnxDetector, "model": OnnxDetector.from_folder}
 
 
 def get_detector(name: str, **options) -> Detector:

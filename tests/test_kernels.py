@@ -101,6 +101,13 @@ def test_viterbi_against_brute_force():
         assert abs(score - brute_path(decoder, logits)[0]) < 1e-9
 
 
+def test_labels():
+    assert bioes.parse_labels('{"id2label":{"10":"S-x","0":"O","2":"B-x","1":"I-x"}}') == ["O", "I-x", "B-x", *["O"] * 7, "S-x"]
+    for bad in ("{}", '{"id2label":{}}', '{"id2label":{"-1":"O"}}'):
+        with pytest.raises((KeyError, ValueError)):
+            bioes.parse_labels(bad)
+
+
 def test_spans_and_trim():
     decoder = bioes.Decoder(["O", "B-x", "I-x", "E-x", "S-x"])
     hot = lambda *tags: [[9.0 if k == t else 0.0 for k in range(5)] for t in tags]

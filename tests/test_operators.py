@@ -164,3 +164,11 @@ def test_idle_stream_lets_go_of_what_it_holds(spark, tmp_path):
         assert said == "hi OG_P_"
     finally:
         query.stop()
+
+
+def test_a_model_folder_without_its_files_is_no_detector(tmp_path):
+    with pytest.raises(DetectorUnavailable):
+        get_detector("model", folder=str(tmp_path))
+    (tmp_path / "config.json").write_text('{"id2label":{"0":"O"}}')
+    with pytest.raises(DetectorUnavailable):
+        get_detector("model", folder=str(tmp_path))
