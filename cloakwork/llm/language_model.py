@@ -8,8 +8,7 @@ windows, so a document's log-likelihood is that of the whole text.
 
 Scale: counts cover all training documents and are written once. Driver and broadcasts hold ``HEAD`` words, the
 ``COUNTED`` most frequent counts, class sums and one parameter vector; counts of rarer words meet the documents in a join, so
-every count is exact. ``SHARE`` is the part of the training documents that the gradient sees (one in so
-many, by a hash of the id), a share of the input at every size. Parameters are averaged by a grouped sum, never gathered.
+every count is exact. The gradient sees every training document, once in each round. Parameters are averaged by a grouped sum, never gathered.
 """
 
 from __future__ import annotations
@@ -32,7 +31,6 @@ HIDDEN = 24
 WINDOW = 32
 LANES = 64
 ROUNDS = 2
-SHARE = 16
 COUNTED = 200_000
 RATE = 0.01
 _HELD = 400_000
@@ -193,46 +191,75 @@ def likelihood(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def gradient(p: dict, ids: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Truncated backpropagation through one window (lanes x steps); returns the mean gradient and the state after it."""
     flat = np.zeros(sum(v.size for v in p.values()), dtype=np.float32)
-    g = unpack(flat)
-    steps, before, kept = ids.shape[1], [], []
+    g, kind, (lanes, steps) = unpack(flat), p["G"].dtype, ids.shape
+    inputs = p["G"][ids.T]  # all that follows is steps x lanes
+    states = np.empty((steps + 1, lanes, HIDDEN), dtype=kind)
+    gates, n, u = np.empty((steps, lanes, 2 * HIDDEN), dtype=kind), np.empty_like(states[1:]), np.empty_like(states[1:])
+    states[0] = h
     for t in range(steps):
-        before.append(h)
-        h, *rest = step(p, ids[:, t], h)
-        kept.append(rest)
-    states = np.stack(before, 1)
-    live = mask.ravel()
-    x, y, total = states.reshape(-1, HIDDEN)[live], ids.ravel()[live], max(1, int(live.sum()))
+        b = states[t] @ p["U"]
+        gate, new, after = gates[t], n[t], states[t + 1]
+        np.add(inputs[t, :, : 2 * HIDDEN], b[:, : 2 * HIDDEN], out=gate)
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        u[t] = b[:, 2 * HIDDEN :]
+        np.multiply(gate[:, :HIDDEN], u[t], out=new)
+        new += inputs[t, :, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        np.subtract(states[t], new, out=after)
+        after *= gate[:, HIDDEN:]
+        after += new
+    before, live = states[:-1], mask.T.ravel()
+    x, y, total = before.reshape(-1, HIDDEN)[live], ids.T.ravel()[live], max(1, int(live.sum()))
     classes = class_of(y)
     error = _softmax(x @ p["C"] + p["c"])
     error[np.arange(len(y)), classes] -= 1
     g["C"][:], g["c"][:] = x.T @ error, error.sum(axis=0)
     back = error @ p["C"].T
-    for k in np.unique(classes[classes < HEAD_CLASSES]):
-        mine, words = np.flatnonzero(classes == k), slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-        inner = _softmax(x[mine] @ p["W"][words].T + p["w"][words])
-        inner[np.arange(len(mine)), y[mine] % CLASS_SIZE] -= 1
-        g["W"][words], g["w"][words] = inner.T @ x[mine], inner.sum(axis=0)
-        back[mine] += inner @ p["W"][words]
-    wide = np.zeros((ids.size, HIDDEN), dtype=np.float32)
+    order = np.argsort(y.astype(np.int16), kind="stable")
+    order = order[: np.searchsorted(y[order], HEAD)]  # head words, class by class
+    if len(order):
+        mine, sorted_x = classes[order], x[order]
+        cuts = np.searchsorted(mine, np.arange(HEAD_CLASSES + 1))
+        present = np.flatnonzero(np.diff(cuts))
+        inner, sorted_back = p["w"].reshape(HEAD_CLASSES, CLASS_SIZE)[mine], np.empty_like(sorted_x)
+        for k in present:
+            rows = slice(cuts[k], cuts[k + 1])
+            inner[rows] += sorted_x[rows] @ p["W"][k * CLASS_SIZE : (k + 1) * CLASS_SIZE].T
+        inner = _softmax(inner)
+        inner[np.arange(len(order)), y[order] % CLASS_SIZE] -= 1
+        g["w"].reshape(HEAD_CLASSES, CLASS_SIZE)[present] = np.add.reduceat(inner, cuts[present], axis=0)
+        for k in present:
+            rows, words = slice(cuts[k], cuts[k + 1]), slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
+            g["W"][words] = inner[rows].T @ sorted_x[rows]
+            np.matmul(inner[rows], p["W"][words], out=sorted_back[rows])
+        back[order] += sorted_back
+    wide = np.zeros((steps * lanes, HIDDEN), dtype=kind)
     wide[live] = back
-    wide = wide.reshape(*ids.shape, HIDDEN)
-    ahead, into = np.zeros_like(before[0]), []
+    wide = wide.reshape(steps, lanes, HIDDEN)
+    # what a step hands on is linear in what reaches it, so its factors are taken for all steps at once
+    r, z = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    into_n = (1 - z) * (1 - n * n)
+    factors = np.stack([into_n * u * r * (1 - r), (before - n) * z * (1 - z), into_n * r], axis=2)
+    db, reached = np.empty_like(factors), np.empty_like(wide)
+    back_u, ahead = np.ascontiguousarray(p["U"].T), np.zeros((lanes, HIDDEN), dtype=kind)
     for t in range(steps - 1, -1, -1):
-        r, z, n, u = kept[t]
-        dn = ahead * (1 - z) * (1 - n * n)
-        dz = ahead * (before[t] - n) * z * (1 - z)
-        dr = dn * u * r * (1 - r)
-        db = np.concatenate([dr, dz, dn * r], 1)
-        into.append(np.concatenate([dr, dz, dn], 1))
-        g["U"] += before[t].T @ db
-        ahead = ahead * z + db @ p["U"].T + wide[:, t]
-    words = ids[:, ::-1].T.ravel()  # as the steps went back
-    order = np.argsort(words, kind="stable")
+        reached[t] = ahead
+        np.multiply(ahead[:, None], factors[t], out=db[t])
+        ahead = ahead * z[t]
+        ahead += db[t].reshape(lanes, 3 * HIDDEN) @ back_u
+        ahead += wide[t]
+    g["U"][:] = before.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
+    db[:, :, 2] = reached * into_n  # the input meets the candidate without the reset gate
+    words = ids.T.ravel()
+    order = np.argsort(words.astype(np.int16), kind="stable")
     first = np.flatnonzero(np.diff(words[order], prepend=-1))
-    g["G"][words[order][first]] = np.add.reduceat(np.concatenate(into)[order], first, axis=0)
+    g["G"][words[order][first]] = np.add.reduceat(db.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     flat /= total
     norm = float(np.linalg.norm(flat))
-    return flat * (1.0 / norm if norm > 1.0 else 1.0), h
+    return flat * (1.0 / norm if norm > 1.0 else 1.0), states[-1]
 
 
 def train_locally(flat: np.ndarray, documents: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
@@ -311,7 +338,7 @@ def score_documents(p: dict, coded: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
     Learns from the rows that are not held out. A null text is empty and has its end as only token. Repeated rows and null
@@ -339,7 +366,6 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, share: int =
 
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    chosen = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(flat)
 
@@ -350,7 +376,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, share: int =
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(after))), pa.array(after.astype(np.float64) * seen), pa.array(np.full(len(after), seen))], names=["at", "value", "seen"])
 
-        mean = map_batches(chosen, learn, "at long, value double, seen long").groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow()
+        mean = map_batches(training.select("text"), learn, "at long, value double, seen long").groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow()
         if mean.num_rows:
             flat = flat.copy()
             flat[mean.column("at").to_numpy()] = mean.column("value").to_numpy().astype(np.float32)

@@ -222,6 +222,15 @@ def test_language_model(spark, docs):
     assert language_model.score(docs.limit(0), fold("doc_id", 7) == 2).count() == 0
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    ids = spark.range(400).where((F.pmod(F.xxhash64("id"), F.lit(16)) != 0) & (fold("id", 7) != 2))  # none that a sample of one in 16 by this hash has
+    table = ids.select(F.col("id").alias("doc_id"), F.lit("one two three four five six " * 20).alias("text"))
+    held_out = fold("doc_id", 7) == 2
+    before = {r["doc_id"]: r["score"] for r in language_model.score(table, held_out, rounds=0).collect()}
+    after = {r["doc_id"]: r["score"] for r in language_model.score(table, held_out).collect()}
+    assert before.keys() == after.keys() and all(after[d] > before[d] + 1 for d in before)
+
+
 def test_language_model_gradient_and_norm():
     random_ = np.random.default_rng(0)
     flat = language_model.initial(np.ones(language_model.HEAD), np.ones(language_model.CLASSES)).astype(np.float64)
