@@ -8,7 +8,9 @@ windows, so a document's log-likelihood is that of the whole text.
 
 Scale: counts cover all training documents and are written once. Driver and broadcasts hold ``HEAD`` words, the
 ``COUNTED`` most frequent counts, class sums and one parameter vector; counts of rarer words meet the documents in a join, so
-every count is exact. The gradient sees every training document, once in each round. Parameters are averaged by a grouped sum, never gathered.
+every count is exact. The gradient sees every training document, once in each round. For that the documents are
+coded once and dealt out by a hash, about ``LEARNED`` words to a task, in the order of the hash: how the table is split has no say in
+what a task learns, and the number of tasks follows the counted words. Parameters are averaged by a grouped sum over blocks of them, never gathered.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, texts
+from .common import durable, map_batches, shuffle_parts, texts
 
 HEAD = 1024
 CLASS_SIZE = 32
@@ -31,7 +34,11 @@ HIDDEN = 24
 WINDOW = 32
 LANES = 64
 ROUNDS = 2
+#: Words that one task learns from in a round, at every size; a little under what train_locally() sorts at once.
+LEARNED = 1_500_000
 COUNTED = 200_000
+#: Parameters in one row, as tasks hand them on.
+BLOCK = 1024
 RATE = 0.01
 _HELD = 400_000
 #: Words whose documents are scored, or learned from, together.
@@ -315,6 +322,19 @@ def train_locally(flat: np.ndarray, documents: Iterator[np.ndarray]) -> tuple[np
     return flat, seen
 
 
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of tasks' parameters, each counted once for each word that its task saw; all rows of a block are in one partition."""
+    sums: dict[int, np.ndarray] = {}
+    seen: Counter = Counter()
+    for batch in batches:
+        for at, value, n in zip(*(batch.column(k).to_pylist() for k in ("at", "value", "seen"))):
+            part = np.frombuffer(value, dtype=np.float32).astype(np.float64) * n
+            sums[at] = sums[at] + part if at in sums else part
+            seen[at] += n
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary()), pa.array([seen[at] for at in sums], pa.int64())], names=["at", "value", "seen"])
+
+
 def score_documents(p: dict, coded: list[np.ndarray]) -> np.ndarray:
     """Natural-log likelihood of each document under the network, all of its words, the state carried along."""
     order = sorted(range(len(coded)), key=lambda k: -len(coded[k]))
@@ -338,7 +358,21 @@ def score_documents(p: dict, coded: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
+def deal_out(training: DataFrame, shared: Broadcast, n_tokens: int, words: int = LEARNED) -> DataFrame:
+    """Input ids of the words of each row of ``training`` (doc_id, text), about ``words`` of them in a partition, sorted there."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(shared.value)
+        for batch in batches:
+            ids = [rows[:, 0].astype(np.uint16).tobytes() for rows in coder.code([tokens(t) for t in texts(batch)])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
+
+    # with the text, as null doc_ids and repeated ones must not meet in one task
+    coded = map_batches(training.select(F.xxhash64("doc_id", "text").alias("key"), "text"), code, "key long, ids binary")
+    return durable(coded.repartition(max(1, -(-n_tokens // words)), "key").sortWithinPartitions("key", "ids")).select("ids")
+
+
+def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, words: int = LEARNED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
     Learns from the rows that are not held out. A null text is empty and has its end as only token. Repeated rows and null
@@ -366,20 +400,23 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
 
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
+    dealt = deal_out(training, shared, n_tokens, words) if rounds else None
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(flat)
 
         def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            coder = Coder(shared.value)
-            coded = (rows[:, 0].astype(np.int32) for batch in batches for rows in coder.code([tokens(t) for t in texts(batch)]))
+            coded = (np.frombuffer(ids, dtype=np.uint16) for batch in batches for ids in batch.column("ids").to_pylist())
             after, seen = train_locally(now.value, coded)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(after))), pa.array(after.astype(np.float64) * seen), pa.array(np.full(len(after), seen))], names=["at", "value", "seen"])
-
-        mean = map_batches(training.select("text"), learn, "at long, value double, seen long").groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow()
-        if mean.num_rows:
-            flat = flat.copy()
-            flat[mean.column("at").to_numpy()] = mean.column("value").to_numpy().astype(np.float32)
+                cuts = range(0, len(after), BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.int64()), pa.array([after[at : at + BLOCK].tobytes() for at in cuts], pa.binary()), pa.array([seen] * len(cuts), pa.int64())], names=["at", "value", "seen"])
+
+        kind = "at long, value binary, seen long"
+        sums = map_batches(map_batches(dealt, learn, kind).repartition(shuffle_parts(spark), "at"), _sum_blocks, kind).collect()
+        flat = flat.copy()
+        for r in sums:
+            total = np.frombuffer(r["value"])
+            flat[r["at"] : r["at"] + len(total)] = total / r["seen"]
     final = spark.sparkContext.broadcast(flat)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,6 +231,22 @@ def test_language_model_learns_from_every_training_document(spark):
     assert before.keys() == after.keys() and all(after[d] > before[d] + 1 for d in before)
 
 
+def test_language_model_learns_alike_however_the_table_is_split(spark):
+    random_ = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    rows = [(n if n % 10 else None, " ".join(random_.choices(words, k=random_.randint(0, 60)))) for n in range(300)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    split = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)
+    held_out = fold("doc_id", 7) == 2
+    for more in ({}, {"words": 2000}):  # one task, then several
+        a, b = (sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in language_model.score(t, held_out, **more).collect()) for t in (whole, split))
+        assert np.allclose(a, b, rtol=1e-5, atol=0)
+    shared = spark.sparkContext.broadcast(language_model.Vocabulary([], np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    n_tokens = sum(len(t.split()) + 1 for _, t in rows)
+    dealt = language_model.deal_out(split, shared, n_tokens, 2000).rdd.glom().map(lambda p: sum(len(r["ids"]) // 2 for r in p)).collect()
+    assert len(dealt) == -(-n_tokens // 2000) and sum(dealt) == n_tokens and 1000 < min(dealt) <= max(dealt) < 4000
+
+
 def test_language_model_gradient_and_norm():
     random_ = np.random.default_rng(0)
     flat = language_model.initial(np.ones(language_model.HEAD), np.ones(language_model.CLASSES)).astype(np.float64)
