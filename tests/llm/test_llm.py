@@ -241,33 +241,81 @@ def test_language_model_learns_alike_however_the_table_is_split(spark):
     for more in ({}, {"words": 2000}):  # one task, then several
         a, b = (sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in language_model.score(t, held_out, **more).collect()) for t in (whole, split))
         assert np.allclose(a, b, rtol=1e-5, atol=0)
-    shared = spark.sparkContext.broadcast(language_model.Vocabulary([], np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    n_tokens = sum(len(t.split()) + 1 for _, t in rows)
-    dealt = language_model.deal_out(split, shared, n_tokens, 2000).rdd.glom().map(lambda p: sum(len(r["ids"]) // 2 for r in p)).collect()
-    assert len(dealt) == -(-n_tokens // 2000) and sum(dealt) == n_tokens and 1000 < min(dealt) <= max(dealt) < 4000
+    coded = split.select(F.xxhash64("doc_id", "text").alias("key"), F.encode("text", "UTF-8").alias("ids"))
+    n_tokens = sum(len(t) // 2 for _, t in rows)
+    parts = [deal.rdd.glom().map(lambda p: sum(len(r["ids"]) // 2 for r in p)).collect() for deal in (language_model.deal_out(coded, n_tokens, turn, 2, 2000) for turn in (0, 1))]
+    assert all(len(p) == -(-n_tokens // 4000) for p in parts) and sum(map(sum, parts)) == n_tokens
+
+
+def slow_score(p, ids):
+    """log-likelihood of one coded text, word by word, in plain formulas."""
+    h, total, rational = np.zeros(language_model.HIDDEN), 0.0, lambda x: x / (1 + np.abs(x))
+    units = language_model.HIDDEN
+    for word in ids:
+        logits = h @ p["C"] + p["c"]
+        k = word // language_model.CLASS_SIZE if word < language_model.HEAD else language_model.HEAD_CLASSES + word - language_model.HEAD
+        total += logits[k] - np.log(np.exp(logits).sum())
+        if word < language_model.HEAD:
+            first = k * language_model.CLASS_SIZE
+            logits = p["W"][first : first + language_model.CLASS_SIZE] @ h + p["w"][first : first + language_model.CLASS_SIZE]
+            total += logits[word - first] - np.log(np.exp(logits).sum())
+        gate = 0.5 + 0.5 * rational(p["G"][word, :units] + p["V"][:units] * h)
+        h = gate * h + (1 - gate) * rational(p["G"][word, units:] + p["V"][units:] * h)
+    return total
+
+
+def noisy_parameters(random_):
+    flat = language_model.initial(np.ones(language_model.HEAD), np.ones(language_model.CLASSES)).astype(np.float64)
+    return flat + random_.normal(0, 0.05, flat.shape)
+
+
+def test_language_model_scores_texts_of_many_windows():
+    random_ = np.random.default_rng(4)
+    p = language_model.unpack(noisy_parameters(random_))
+    ids = [random_.integers(0, language_model.HEAD + language_model.TAIL_CLASSES, n) for n in (1, 5, 16, 17, 700, 3 * 64 * language_model.WINDOW + 3)]
+    got = language_model.score_documents({k: v.astype(np.float32) for k, v in p.items()}, ids)
+    assert np.allclose(got, [slow_score(p, x) for x in ids], rtol=1e-4)
+
+
+def test_language_model_score_is_the_network_times_the_shares_in_classes(spark):
+    rows = [(n, " ".join(f"w{(n * k) % 1500}" for k in range(n % 90))) for n in range(1, 300)]
+    table, held_out = spark.createDataFrame(rows, "doc_id long, text string"), fold("doc_id", 7) == 2
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in language_model.tokens(t.encode()))
+    top = sorted(counts, key=lambda w: (-counts[w], language_model._key(w)))
+    head = [language_model.END, *[w for w in top[: language_model.HEAD - 1] if w != language_model.END]][: language_model.HEAD]
+    place = {w: n for n, w in enumerate(head)}
+    tails = {k: [w for w in counts if w not in place and language_model.tail_class(w) == k] for k in range(language_model.TAIL_CLASSES)}
+    by_class = [sum(counts[w] for w in head[n : n + language_model.CLASS_SIZE]) for n in range(0, language_model.HEAD, language_model.CLASS_SIZE)]
+    by_class += [sum(counts[w] for w in ws) for ws in tails.values()]
+    p = language_model.unpack(language_model.initial(np.array([counts[w] for w in head] + [0] * (language_model.HEAD - len(head))), np.array(by_class)))
+    for r in language_model.score(table, held_out, rounds=0).collect():
+        words = language_model.tokens(rows[r["doc_id"] - 1][1].encode())
+        classes = [language_model.tail_class(w) for w in words]
+        want = slow_score(p, [place.get(w, language_model.HEAD + k) for w, k in zip(words, classes)]) / math.log(10)
+        want += sum(math.log10((counts[w] + 1) / (sum(counts[v] + 1 for v in tails[k]) + 1)) for w, k in zip(words, classes) if w not in place)
+        assert math.isclose(r["score"], want, rel_tol=1e-4)
 
 
 def test_language_model_gradient_and_norm():
     random_ = np.random.default_rng(0)
-    flat = language_model.initial(np.ones(language_model.HEAD), np.ones(language_model.CLASSES)).astype(np.float64)
-    flat += random_.normal(0, 0.05, flat.shape)
+    flat = noisy_parameters(random_)
     p = language_model.unpack(flat)
-    ids, mask = random_.integers(0, language_model.HEAD + language_model.TAIL_CLASSES, (3, 5)), np.ones((3, 5), bool)
+    ids, mask = random_.integers(0, language_model.HEAD + language_model.TAIL_CLASSES, (5, 3)), np.ones((5, 3), bool)
+    mask[3:, 2] = False
     h = np.zeros((3, language_model.HIDDEN))
 
     def loss(values):
-        q, state, total = language_model.unpack(values), h, 0.0
-        for t in range(5):
-            total -= language_model.likelihood(q, state, ids[:, t]).sum()
-            state = language_model.step(q, ids[:, t], state)[0]
-        return total / 15
+        q = language_model.unpack(values)
+        before = language_model.states(q, ids, h)[0][:-1]
+        return -language_model.likelihood(q, before[mask], ids[mask]).sum() / mask.sum()
 
     grad = language_model.gradient(p, ids, mask, h)[0].astype(np.float64)
-    way = random_.normal(size=flat.shape)
-    slope = (loss(flat + 1e-5 * way) - loss(flat - 1e-5 * way)) / 2e-5
-    full = float(grad @ way)
-    assert abs(slope) < 1e-3 or 0.2 < full / slope <= 1.05  # the gradient is scaled down to norm 1 at most
-    state = random_.normal(size=(1, language_model.HIDDEN))
+    for _ in range(5):
+        way = random_.normal(size=flat.shape)
+        slope = (loss(flat + 1e-5 * way) - loss(flat - 1e-5 * way)) / 2e-5
+        full = float(grad @ way)
+        assert abs(slope) < 1e-3 or 0.2 < full / slope <= 1.05  # the gradient is scaled down to norm 1 at most
+    state = random_.uniform(-1, 1, size=(1, language_model.HIDDEN))
     every = np.arange(language_model.HEAD + language_model.TAIL_CLASSES)
     assert abs(np.exp(language_model.likelihood(p, np.repeat(state, len(every), 0), every)).sum() - 1) < 1e-6
 
