@@ -496,6 +496,17 @@ def learn_round(dealt: DataFrame, flat: np.ndarray) -> np.ndarray:
     return flat
 
 
+def frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The words of ``counted`` (word, n) from some count on, ``most`` of them at most. Eighths of powers of two are the counts to choose from."""
+    step = F.floor(F.log2(F.col("n")) * 8)
+    room, least = most, None
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred at most
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["step"]
+    return counted.where(step >= least) if least is not None else counted.limit(0)
+
+
 def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, words: int = LEARNED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
@@ -509,10 +520,10 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, words: int =
     counted = map_batches(coded.where("words is not null").select("words", "kinds", "counts"), _dictionary_counts, "word long, class int, n long")
     counted = durable(counted.groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class")))
     n_tokens, n_words = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(COUNTED).toArrow()  # bounded
-    top_words, top_counts = top.column("word").to_numpy(), top.column("n").to_numpy()
-    vocabulary = Vocabulary(top_words[: HEAD - 1].tolist(), top_words, top_counts)
-    held = dict(zip(top_words[:HEAD].tolist(), top_counts[:HEAD].tolist()))
+    first = counted.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    held = {r["word"]: r["n"] for r in first}
+    top = frequent(counted, COUNTED).select("word", "n").toArrow()
+    vocabulary = Vocabulary([r["word"] for r in first[: HEAD - 1]], top.column("word").to_numpy(), top.column("n").to_numpy())
     head_counts = np.array([held.get(w, 0) for w in vocabulary.head] + [0] * (HEAD - len(vocabulary.head)), dtype=np.float64)
     by_class = {r["class"]: (r["n"], r["words"]) for r in counted.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}
     tail = np.array([by_class.get(k, (0, 0)) for k in range(TAIL_CLASSES)], dtype=np.float64).reshape(TAIL_CLASSES, 2)
