@@ -204,6 +204,29 @@ def test_neighbours(spark):
     share = np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 5 for q in want])
     assert share >= 0.9 and [v for v, _ in got[150]] == [v for v, _ in want[150]]
     assert neighbours.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert neighbours.search(table, F.lit(False)).count() == 0
+
+
+def test_neighbours_over_shards_and_blocks(spark):
+    random_ = np.random.default_rng(5)
+    x = random_.normal(size=(1500, 12))
+    x[::3] = x[0]  # a third of all rows
+    x[1], x[2], x[4], x[5] = x[7] * 1e200, x[7] * 1e-200, x[8] * 1e-300, x[8] * 1e300
+    table = spark.createDataFrame([(n, [float(v) for v in x[n]], "clash") for n in range(1500)], "vec_id long, embedding array<double>, rank string").repartition(5)
+    got = {}
+    for r in neighbours.search(table, F.col("vec_id") % 25 == 7, shard_rows=300, query_block=16, keep=48).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    asked = list(range(7, 1500, 25))
+    want = neighbours.brute_force(list(range(1500)), neighbours.scaled(x), asked)
+    assert got.keys() == want.keys() and all(len(v) == 5 and all(-1.001 < s < 1.001 for _, s in v) for v in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 5 for q in asked]) >= 0.9
+    assert {v for v, _ in got[7][:2]} == {1, 2} and all(abs(got[q][0][1] - want[q][0][1]) < 1e-9 for q in asked if q % 3 == 0)
+
+
+def test_neighbours_of_few_vectors(spark):
+    table = spark.createDataFrame([(n, [float(n % 3 + 1), float(n)]) for n in range(4)], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") == 0).collect()
+    assert sorted(r["vec_id"] for r in got) == [1, 2, 3]
 
 
 def test_language_model(spark, docs):
