@@ -19,6 +19,7 @@ ROUTES = (("/v1/messages", ANTHROPIC), ("/v1/chat/completions", CHAT), ("/v1/res
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
+_LONE = re.compile("[\ud800-\udfff]")
 _OTHER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null", re.ASCII)
 
 
@@ -26,6 +27,11 @@ class Bad(ValueError):
     """A request that must not be forwarded."""
 
 
+def said(literal: str) -> str:
+    """The text of a JSON string literal; halves of surrogate pairs that stand alone become U+FFFD."""
+    return _LONE.sub("\ufffd", json.loads(literal))
+
+
 class Node(NamedTuple):
     kind: str  # object, array, string, other
     start: int
@@ -83,7 +89,7 @@ def _key(text: str, at: int, stack: list) -> int:
     colon = _SPACE.match(text, match.end()).end() if match else -1
     if not match or text[colon : colon + 1] != ":":
         raise Bad("invalid JSON")
-    stack[-1] = (kind, start, items, json.loads(match[0]))
+    stack[-1] = (kind, start, items, said(match[0]))
     return _SPACE.match(text, colon + 1).end()
 
 
@@ -121,7 +127,7 @@ class Extractor:
         self.body, self.fields = body, []
 
     def value(self, node: Node) -> str:
-        return json.loads(self.body[node.start : node.end])
+        return said(self.body[node.start : node.end])
 
     def text(self, node: Node, inner: tuple[int, int] | None = None, text: str | None = None) -> None:
         self.fields.append(Field(node.start, node.end, self.value(node) if text is None else text, inner))
@@ -145,12 +151,12 @@ class Extractor:
         except Bad:
             return self.text(node)
         for s in strings(tree):
-            said = json.loads(source[s.start : s.end])
-            if said:
-                self.text(node, (s.start, s.end), said)
+            text = said(source[s.start : s.end])
+            if text:
+                self.text(node, (s.start, s.end), text)
 
     def content(self, node: Node | None, kinds: tuple[str, ...], tools: dict | None = None) -> None:
-        """A string, or blocks of which those of the given kinds hold a text."""
+        """A string, or blocks of which those of the given kinds hold a text. A null block is an empty one, a null text an empty text."""
         if node is None:
             return
         if node.kind == "string":
@@ -158,24 +164,34 @@ class Extractor:
         if node.kind != "array":
             return
         for block in node.items:
-            if block.kind != "object":
-                raise Bad("a content block is not an object")
+            block = self.object(block, "a content block")
             kind = _get(block, "type")
             name = self.value(kind) if kind is not None and kind.kind == "string" else None
             if name in kinds:
                 text = _get(block, "text")
-                if text is None or text.kind != "string":
+                if text is None or (text.kind != "string" and not self.null(text)):
                     raise Bad("a text block without text")
-                self.text(text)
+                self.text(text, text="" if self.null(text) else None)
             elif tools and name in tools:
                 tools[name](block)
 
+    def null(self, node: Node) -> bool:
+        return node.kind == "other" and self.body[node.start : node.end] == "null"
+
+    def object(self, node: Node, what: str) -> Node:
+        """The node if it is an object; a null is an object without members."""
+        if self.null(node):
+            return Node("object", node.start, node.end, [])
+        if node.kind != "object":
+            raise Bad(f"{what} is not an object")
+        return node
+
     def objects(self, node: Node | None, what: str) -> list[Node]:
-        if node is None or self.body[node.start : node.end] == "null":
+        if node is None or self.null(node):
             return []
-        if node.kind != "array" or any(x.kind != "object" for x in node.items):
-            raise Bad(f"{what} is not a list of objects")
-        return node.items
+        if node.kind != "array":
+            raise Bad(f"{what} is not a list")
+        return [self.object(x, f"one of {what}") for x in node.items]
 
     def anthropic(self, root: Node) -> None:
         def use(block: Node) -> None:
@@ -192,12 +208,9 @@ class Extractor:
             self.content(_get(message, "content"), ("text",))
             for call in self.objects(_get(message, "tool_calls"), "tool_calls"):
                 if (function := _get(call, "function")) is not None:
-                    self.arguments(_get(function, "arguments"))
-            call = _get(message, "function_call")
-            if call is not None and self.body[call.start : call.end] != "null":
-                if call.kind != "object":
-                    raise Bad("function_call is not an object")
-                self.arguments(_get(call, "arguments"))
+                    self.arguments(_get(self.object(function, "a function"), "arguments"))
+            if (call := _get(message, "function_call")) is not None:
+                self.arguments(_get(self.object(call, "function_call"), "arguments"))
 
     def openai_responses(self, root: Node) -> None:
         kinds = ("input_text", "output_text")
@@ -206,8 +219,7 @@ class Extractor:
         if given is None or given.kind != "array":
             return self.content(given, kinds)
         for item in given.items:
-            if item.kind != "object":
-                raise Bad("an input item is not an object")
+            item = self.object(item, "an input item")
             kind = _get(item, "type")
             name = self.value(kind) if kind is not None and kind.kind == "string" else None
             if name == "function_call":
@@ -224,10 +236,8 @@ def extract(kind: str, body: str) -> list[Field]:
     """Fields of a body of the given family; a passthrough has none. A malformed body is an error."""
     if kind == PASSTHROUGH:
         return []
-    root = parse(body)
-    if root.kind != "object":
-        raise Bad("the body is not an object")
     found = Extractor(body)
+    root = found.object(parse(body), "the body")
     {ANTHROPIC: found.anthropic, CHAT: found.openai_chat, RESPONSES: found.openai_responses}[kind](root)
     return found.fields
 
@@ -248,7 +258,7 @@ def reassemble(body: str, fields: list[Field], texts: list[str]) -> str:
         else:
             nested.setdefault((field.start, field.end), []).append((field.inner, text))
     for place, changes in nested.items():
-        source = json.loads(body[place[0] : place[1]])
+        source = said(body[place[0] : place[1]])
         whole[place] = _literal(_splice(source, [(p, _literal(t)) for p, t in changes]))
     return _splice(body, list(whole.items()))
 

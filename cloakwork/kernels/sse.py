@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from .jsonwalk import ANTHROPIC, CHAT, RESPONSES, Node, parse
+from .jsonwalk import ANTHROPIC, CHAT, RESPONSES, Node, parse, said
 from .jsonwalk import Bad as BadJson
 from .text import Pair, partial_suffix, restore
 
@@ -54,23 +54,23 @@ def decode(kind: str, payload: str) -> Event | None:
 
     def value(*path: str | int) -> str | None:
         node = _member(root, *path)
-        return json.loads(payload[node.start : node.end]) if node is not None and node.kind == "string" else None
+        return said(payload[node.start : node.end]) if node is not None and node.kind == "string" else None
 
     def delta(*path: str | int) -> Event:
         node = _member(root, *path)
         return Event("delta", value(*path), (node.start, node.end)) if node is not None and node.kind == "string" else Event("other")
 
-    said = value("type")
+    named = value("type")
     if kind == ANTHROPIC:
-        if said == "content_block_delta" and value("delta", "type") == "text_delta":
+        if named == "content_block_delta" and value("delta", "type") == "text_delta":
             return delta("delta", "text")
-        return Event({"content_block_stop": "stop", "message_stop": "done"}.get(said, "other"))
+        return Event({"content_block_stop": "stop", "message_stop": "done"}.get(named, "other"))
     if kind == CHAT:
         return delta("choices", 0, "delta", "content")
     if kind == RESPONSES:
-        if said == "response.output_text.delta":
+        if named == "response.output_text.delta":
             return delta("delta")
-        return Event({"response.output_text.done": "stop", "response.completed": "done"}.get(said, "other"))
+        return Event({"response.output_text.done": "stop", "response.completed": "done"}.get(named, "other"))
     return Event("other")
 
 
@@ -93,7 +93,7 @@ class Restorer:
         return [*(self.line(rest) if rest else []), *self.flush()]
 
     def line(self, line: str) -> list[str]:
-        if not line.startswith(DATA):
+        if not self.pairs or not line.startswith(DATA):
             return [line]
         end = "\r" if line.endswith("\r") else ""
         payload = line[len(DATA) : len(line) - len(end)]
@@ -135,6 +135,6 @@ class Restorer:
             rest = restore(state.content, self.pairs, self.guard).encode()[state.sent :]
             if rest:
                 event = decode(self.kind, state.last)
-                out = [DATA + self._with(state.last, event.place, rest.decode(errors="replace")), ""]
+                out = [DATA + self._with(state.last, event.place, rest.decode(errors="replace"))]
         state.content, state.sent, state.last = "", 0, ""
         return out

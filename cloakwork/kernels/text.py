@@ -39,7 +39,7 @@ def _replace(data: bytes, old: bytes, new: bytes, guard: bool) -> tuple[bytes, i
         while r < len(ranges) and ranges[r][1] <= at:
             r += 1
         if r < len(ranges) and ranges[r][0] <= at:
-            at = data.find(old, at + 1)
+            at = data.find(old, at + len(old))
             continue
         out += [data[done:at], new]
         done, count = at + len(old), count + 1

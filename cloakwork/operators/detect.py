@@ -63,20 +63,33 @@ class ScriptedDetector:
 
 
 class OnnxDetector:
-    """A token-classification model: tokenizer, session and labels are loaded once in each worker."""
+    """A token-classification model, by paths or as bytes and JSON. It is tried on the driver and loaded once in each worker."""
 
-    def __init__(self, model_path: str, tokenizer_path: str, labels: Sequence[str], biases: bioes.Biases = bioes.Biases()) -> None:
+    def __init__(self, model_path: str | bytes, tokenizer_path: str, labels: Sequence[str], biases: bioes.Biases = bioes.Biases()) -> None:
+        self.model, self.words, self.decoder = model_path, tokenizer_path, bioes.Decoder(labels, biases)
+        self.load()
+
+    def load(self) -> None:
         try:
             import onnxruntime
             from tokenizers import Tokenizer
 
-            self.session, self.tokenizer = onnxruntime.InferenceSession(model_path), Tokenizer.from_file(tokenizer_path)
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads = options.inter_op_num_threads = 1  # a task has one core
+            self.session = onnxruntime.InferenceSession(self.model, options, providers=["CPUExecutionProvider"])
+            self.tokenizer = Tokenizer.from_str(self.words) if self.words.lstrip().startswith("{") else Tokenizer.from_file(self.words)
         except Exception as error:
             raise DetectorUnavailable(f"the model cannot be loaded: {error}") from error
-        self.decoder = bioes.Decoder(labels, biases)
         names = [i.name for i in self.session.get_inputs()]
         self.inputs = sorted((n for n in names if n in ("input_ids", "attention_mask")), key=lambda n: n != "input_ids")
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("session", "tokenizer", "inputs")}  # sessions do not travel
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.load()
+
     @classmethod
     def from_folder(cls, folder: str, model: str = "onnx/model_q4f16.onnx", point: str = "default") -> OnnxDetector:
         """The detector of a downloaded model: its labels from ``config.json``, its biases from the calibration if it has one."""

@@ -7,6 +7,7 @@ than a shuffle.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,13 +24,16 @@ SPANS = "array<struct<start:int,end:int,class:string,score:float>>"
 CHUNKS = "array<struct<ord:int,start:int,text:string,hard_left:boolean,hard_right:boolean>>"
 FIELDS = "array<struct<ord:int,text:string>>"
 FAILED = "redaction failed"
+NONCE_BYTES = 16
+#: Whole documents in one Arrow batch at most.
+BATCH_ROWS = 128
 
 
 @dataclass(frozen=True)
 class EngineConf:
-    """What a job fixes once: the nonce is chosen on the driver, so retried tasks give equal placeholders."""
+    """What a job fixes once: the nonce is chosen on the driver, at random unless given, so retried tasks give equal placeholders."""
 
-    nonce: bytes
+    nonce: bytes = field(default_factory=lambda: secrets.token_bytes(NONCE_BYTES))
     detector: Detector = field(default_factory=RuleDetector)
     chunk_target: int = chunk.TARGET
     chunk_overlap: int = chunk.OVERLAP
@@ -71,24 +75,47 @@ class _Redactor:
             return None, [], FAILED
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for functions over whole documents: Spark bounds Arrow batches by rows only, so a session that allows more than ``BATCH_ROWS`` is held to that from here on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def _free(columns: list[str], made: tuple[str, ...]) -> None:
+    """An error if a column would stand beside a made one of the same name."""
+    if clash := sorted({c for c in columns if c.lower() in made}):
+        raise ValueError(f"rename the columns {clash} first: the result has columns of these names")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns called by their places, as Spark hands over no names with dots."""
+    return df.toDF(*(f"c{n}" for n in range(len(df.columns))))
+
+
 def _pairs(pairs: list[text.Pair]) -> list[dict]:
     return [{"from": a, "to": b} for a, b in pairs]
 
 
 def redact_documents(docs: DataFrame, conf: EngineConf, text_col: str = "text") -> DataFrame:
-    """``docs`` with redacted, mapping and status instead of the text column; every other column as it is."""
+    """``docs`` with redacted, mapping and status instead of the text column; every other column as it is.
+
+    Null texts stay null, empty ones empty; rows may repeat. A column already called redacted, mapping or status is an error.
+    """
     rest = [c for c in docs.columns if c != text_col]
-    plain = docs.select(*rest, F.col(text_col).alias("_text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields if f.name != "_text")
+    _free(rest, ("redacted", "mapping", "status"))
+    plain = small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _Redactor(conf)
         for batch in batches:
-            out = [worker.one(t) for t in batch.column("_text").to_pylist()]
+            out = [worker.one(t) for t in batch.column(len(rest)).to_pylist()]
             pairs = pa.array([_pairs(o[1]) for o in out], pa.list_(pa.struct([("from", pa.string()), ("to", pa.string())])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([o[0] for o in out], pa.string()), pairs, pa.array([o[2] for o in out])], names=[*rest, "redacted", "mapping", "status"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([o[0] for o in out], pa.string()), pairs, pa.array([o[2] for o in out])], names=[*rest, "redacted", "mapping", "status"])
 
-    return plain.mapInArrow(run, f"{kinds}redacted string, mapping {PAIRS}, status string")
+    return _numbered(plain).mapInArrow(run, f"{kinds}redacted string, mapping {PAIRS}, status string")
 
 
 def chunks(said: Column, target: int = chunk.TARGET, overlap: int = chunk.OVERLAP) -> Column:
@@ -189,9 +216,11 @@ def json_strings(body: Column) -> Column:
 def redact_requests(requests: DataFrame, conf: EngineConf) -> DataFrame:
     """``requests`` (…, kind, body) with body redacted, mapping (first value wins over all fields) and status.
 
-    A malformed body or a failing detector gives no body at all, never the original.
+    A malformed body or a failing detector gives no body at all, never the original. A column already called mapping or status
+    is an error.
     """
     rest = [c for c in requests.columns if c != "body"]
+    _free(rest, ("mapping", "status"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in requests.schema.fields if f.name != "body")
 
     def one(kind: str, body: str | None) -> tuple[str | None, list[text.Pair], str]:
@@ -210,11 +239,12 @@ def redact_requests(requests: DataFrame, conf: EngineConf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [one(k, b) for k, b in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist())]
+            out = [one(k, b) for k, b in zip(batch.column(-2).to_pylist(), batch.column(-1).to_pylist())]
             pairs = pa.array([_pairs(o[1]) for o in out], pa.list_(pa.struct([("from", pa.string()), ("to", pa.string())])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([o[0] for o in out], pa.string()), pairs, pa.array([o[2] for o in out])], names=[*rest, "body", "mapping", "status"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array([o[0] for o in out], pa.string()), pairs, pa.array([o[2] for o in out])], names=[*rest, "body", "mapping", "status"])
 
-    return requests.mapInArrow(run, f"{kinds}body string, mapping {PAIRS}, status string")
+    plain = small_batches(requests).select(*(F.col(f"`{c}`") for c in rest), "kind", "body")
+    return _numbered(plain).mapInArrow(run, f"{kinds}body string, mapping {PAIRS}, status string")
 
 
 def request_mapping(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.kernels import bioes, captoken, chunk, jsonwalk
-from cloakwork.operators import redaction, requests
-from cloakwork.operators.detect import RULES
+from cloakwork.kernels import bioes, chunk, jsonwalk, sse
+from cloakwork.operators import jobs, redaction, requests, tokens
+from cloakwork.operators.detect import RULES, OnnxDetector
 from cloakwork.operators.redaction import EngineConf
+from cloakwork.sources.lookup_model import lookup_model
 from cloakwork.sources.models import catalog_table
 from cloakwork.streaming.restore import restore_batch
 
 NONCE = b"cloakwork-nonce!"  # fixed, so that results can be compared
 CONF = EngineConf(NONCE)
+SECRET, NOW = b"s" * 32, 1_700_000_000
+UPSTREAM, LIMIT = "https://upstream.example/", 6000
 DELTA = 32  # characters of a streamed event; most placeholders are cut
 _RULES_SQL = ", ".join(f"({n}, '{kind}', '{pattern}')" for n, (kind, pattern) in enumerate(RULES))
 _CTE = f"""
@@ -122,8 +125,15 @@ def residual_after_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The originals back, and the hash of what stood in between."""
     out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
-    return out.select("doc_id", redaction.restore(F.col("redacted"), F.col("mapping")).alias("text"))
+    return out.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), redaction.restore(F.col("redacted"), F.col("mapping")).alias("text"))
+
+
+def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of every document: its place, its size and whether its ends are hard."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.inline(redaction.chunks(F.col("text"))))
+    return parts.select("doc_id", "ord", F.col("start").cast("long").alias("start"), F.octet_length("text").cast("long").alias("n_bytes"), "hard_left", "hard_right")
 
 
 def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,31 +191,168 @@ def conversation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "turn", F.explode(redaction.extract_fields(F.col("kind"), F.col("body"))).alias("f")).select("conv_id", "turn", F.col("f.text").alias("text"))
 
 
-def request_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as request bodies: redacted, and the text of the restored body."""
+def _request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), (F.col("doc_id") % 3).alias("turn"), F.lit("user").alias("role"), "text")
-    out = redaction.redact_requests(_bodies(docs), CONF)
+    return _bodies(docs)
+
+
+def request_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as request bodies: the text of the redacted body, hashed, and that of the restored one."""
+    out = redaction.redact_requests(_request_bodies(spark, sf_dir), CONF)
     back = out.select("conv_id", F.explode(redaction.extract_fields(F.col("kind"), F.col("body"))).alias("f"), "mapping")
-    return back.select(F.col("conv_id").alias("doc_id"), redaction.restore(F.col("f.text"), F.col("mapping")).alias("text"))
+    return back.select(F.col("conv_id").alias("doc_id"), F.sha2("f.text", 256).alias("redacted_sha256"), redaction.restore(F.col("f.text"), F.col("mapping")).alias("text"))
+
+
+def redacted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole request bodies after redaction, byte for byte."""
+    out = redaction.redact_requests(_request_bodies(spark, sf_dir), CONF)
+    return out.select(F.col("conv_id").alias("doc_id"), "kind", "body", "status")
+
+
+def _fields_of(made: DataFrame, kind: str) -> DataFrame:
+    found = made.select("conv_id", "turn", F.explode(redaction.extract_fields(F.lit(kind), F.col("body"))).alias("f"))
+    return found.select("conv_id", "turn", F.col("f.ord").alias("ord"), F.col("f.text").alias("text"))
+
+
+def anthropic_tool_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of messages with tool blocks: strings of a tool's input, both forms of a result, a null text; not thinking, images or keys."""
+    said, role = F.to_json(F.array("text")), F.to_json(F.array("role"))
+    text, who = F.substring(said, 2, F.length(said) - 2), F.substring(role, 2, F.length(role) - 2)
+    parts = ('{"system":[{"type":"text","text":', who, '},null],"max_tokens":1.0,"messages":[null,{"role":"user","content":[{"type":"text","text":', text,
+             '},{"type":"tool_use","id":"x","input":{"b":[', text, ',2,{"deep":[', who, ']}],"a":"","c":null}},{"type":"thinking","thinking":', text,
+             '},{"type":"tool_result","tool_use_id":"x","content":', who, '},{"type":"tool_result","content":[{"type":"text","text":', text,
+             '},{"type":"image","source":', text, '}]},{"type":"text","text":null}]},{"role":"assistant","content":', who, "}]}")
+    body = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return _fields_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body")), jsonwalk.ANTHROPIC)
+
+
+def chat_call_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of chat messages with calls: arguments as encoded JSON, as bare JSON, as text that is no JSON, and the older form."""
+    encoded = F.to_json(F.struct(F.lit("run").alias("cmd"), F.col("text").alias("text"), F.array("role").alias("list"), F.lit(2).alias("n")))
+    call = lambda value: F.struct(F.lit("c").alias("id"), F.struct(F.lit("f").alias("name"), value.alias("arguments")).alias("function"))
+    bare = F.struct(F.col("role").alias("who"), F.array(F.col("text")).alias("all"))
+    message = F.struct(F.lit("assistant").alias("role"), F.array(call(encoded), call(F.concat(F.lit("{not json "), F.col("role")))).alias("tool_calls"), F.struct(F.lit("g").alias("name"), bare.alias("arguments")).alias("function_call"))
+    body = F.to_json(F.struct(F.array(message).alias("messages")))
+    return _fields_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body")), jsonwalk.CHAT)
+
+
+def responses_item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of input items of every kind; reasoning stays out."""
+    block = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), F.col("text").alias("text")))
+    texts = {"content": F.to_json(block("input_text")), "output": F.to_json(block("output_text"))}
+    plain = F.to_json(F.struct(F.col("text").alias("t")))
+    value = F.substring(plain, 6, F.length(plain) - 6)
+    parts = ('{"instructions":', value, ',"input":[{"role":"user","content":', texts["content"], '},{"type":"reasoning","encrypted_content":', value,
+             '},{"type":"custom_tool_call","name":"n","input":', value, '},{"type":"function_call_output","output":', texts["output"],
+             '},{"type":"custom_tool_call_output","output":', value, '},null,{"type":"function_call","arguments":"42"},{"type":"function_call","arguments":{"v":', value, "}}]}")
+    body = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return _fields_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body")), jsonwalk.RESPONSES)
+
+
+def forwarded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests through the whole job: good and bad tokens, bodies that are too large or no JSON, known and unknown paths."""
+    docs = _request_bodies(spark, sf_dir)
+    n = F.col("conv_id")
+    token = F.when(n % 7 == 0, F.lit("none")).when(n % 7 == 1, tokens.mint(n.cast("int"), SECRET, 60, NOW - 100)).otherwise(tokens.mint(n.cast("int"), SECRET, 60, NOW))
+    rest = F.element_at(F.array(*map(F.lit, ("/v1/messages", "/api/v1/chat/completions", "/v1/responses/"))), (n % 3 + 1).cast("int"))
+    made = docs.select(
+        n.alias("doc_id"),
+        F.when(n % 5 == 4, "GET").otherwise("POST").alias("method"),
+        F.when(n % 13 == 12, rest).otherwise(F.concat(F.lit("/_k/"), token, rest)).alias("path"),
+        F.when(n % 2 == 0, "a=1").alias("query"),
+        F.create_map(F.lit("TE"), F.lit("x"), F.lit("X-Id"), n.cast("string")).alias("headers"),
+        F.when(n % 11 == 10, F.concat("body", F.lit("]"))).otherwise(F.col("body")).alias("body"),
+    )
+    out = jobs.forward_requests(made, CONF, SECRET, UPSTREAM, NOW, LIMIT)
+    return out.select("doc_id", "kind", "status_code", "error", "url", F.array_join(F.array_sort(F.map_keys("upstream_headers")), ",").alias("headers"), F.sha2("body", 256).alias("body_sha256"), jobs.safe_log(F.col("mapping")).alias("log")).withColumn(
+        "log", F.array_join(F.array_sort("log"), ",")
+    )
+
+
+def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents as answers of three kinds, restored: a JSON body, a whole event stream, plain text."""
+    out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
+    n = F.col("doc_id") % 3
+    parts = F.regexp_extract_all("redacted", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    event = lambda p: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(p.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    stream = F.concat(F.array_join(F.transform(parts, event), ""), F.lit("data: [DONE]\n\n"))
+    made = out.select(
+        "doc_id",
+        F.when(n == 2, jsonwalk.PASSTHROUGH).otherwise(jsonwalk.CHAT).alias("kind"),
+        F.element_at(F.array(*map(F.lit, ("application/json", "text/event-stream", "text/plain"))), (n + 1).cast("int")).alias("content_type"),
+        F.when(n == 0, F.to_json(F.struct(F.col("redacted").alias("content")))).when(n == 1, stream).otherwise(F.col("redacted")).alias("body"),
+        "mapping",
+    )
+    back = jobs.restore_answers(made)
+    deltas = F.filter(F.split("body", "\n"), lambda x: x.startswith("data: {"))
+    streamed = F.array_join(F.transform(deltas, lambda x: F.get_json_object(F.substring(x, 7, 1 << 30), "$.choices[0].delta.content")), "")
+    return back.select("doc_id", "mode", F.when(n == 0, F.get_json_object("body", "$.content")).when(n == 1, streamed).otherwise(F.col("body")).alias("text"))
+
+
+def field_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be logged of each field: lengths, counts and classes."""
+    out = jobs.field_log(_request_bodies(spark, sf_dir), CONF, ["conv_id"])
+    return out.select(F.col("conv_id").alias("doc_id"), "field", "field_len", "spans", F.array_join(F.array_sort("classes"), ",").alias("classes"))
+
+
+#: Logits over background, begin, inside, end and single for the words that the lookup model knows, and for all others.
+LABELS = ["O", "B-private_person", "I-private_person", "E-private_person", "S-secret"]
+WORDS = {"of": (2, 3, -5, 0, 0), "the": (2, 0, -5, 3, 0), "und": (0, 0, -5, 0, 3)}
+OTHER = (5, 0, -5, 0, 0)
+
+
+def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a token-classification model run on whole documents: a word by itself, and two that follow each other."""
+    detector = OnnxDetector(*lookup_model(WORDS, OTHER), LABELS)
+    found = redaction.small_batches(table(spark, sf_dir, "documents")).select("doc_id", F.inline(redaction.detect(F.col("text"), detector)))
+    return found.select("doc_id", "start", "end", "class", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 def json_string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.to_json(F.struct("event_id", F.col("event_type").alias("a"), F.struct(F.col("props").alias("b"), F.lit("").alias("empty")).alias("c")))
+    """String values of nested objects and arrays, in order, without keys, numbers and empty strings."""
+    deep = F.array(F.array(F.struct(F.col("props").alias("event_type"), F.array(F.lit("x"), F.lit("")).alias("y"))))
+    body = F.to_json(F.struct("event_id", F.col("event_type").alias("a"), F.struct(F.col("props").alias("b"), F.lit("").alias("empty"), F.lit(1.5).alias("n")).alias("c"), deep.alias("d")))
     return table(spark, sf_dir, "events").select("event_id", F.posexplode(redaction.json_strings(body)).alias("ord", "value"))
 
 
-def sse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted documents cut into deltas of a few characters, restored as event streams and put together again."""
+def _streamed(spark: SparkSession, sf_dir: str, kind: str, event, last) -> DataFrame:  # noqa: ANN001
+    """Redacted documents cut into deltas of a few characters, restored as event streams and put together again.
+
+    ``event`` makes a delta of a text, ``last`` the event after them, which has the whole text once more.
+    """
     out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
-    parts = out.select("doc_id", "mapping", F.posexplode(F.regexp_extract_all("redacted", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))).alias("seq", "part"))
-    event = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("part").alias("text")).alias("delta")))
-    lines = parts.select(F.col("doc_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), event).alias("line"), F.lit(False).alias("closes"), F.lit(jsonwalk.ANTHROPIC).alias("kind"), F.when(F.col("seq") == 0, F.col("mapping")).alias("mapping"))
-    stop = F.lit('data: {"type":"content_block_stop"}')
-    ends = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.lit(1 << 40).cast("long"), stop, F.lit(True), F.lit(jsonwalk.ANTHROPIC), F.lit(None).cast(redaction.PAIRS)).toDF(*lines.columns)
-    back = restore_batch(lines.unionAll(ends)).where(F.col("line").startswith("data: "))
-    said = F.get_json_object(F.substring(F.col("line"), 7, 1 << 30), "$.delta.text")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ord", said.alias("t")))), lambda x: x["t"]), "")
-    return back.groupBy(F.col("stream_id").cast("long").alias("doc_id")).agg(whole.alias("text"))
+    stream = F.concat_ws(":", "doc_id", F.sha2("redacted", 256))
+    parts = out.select(stream.alias("stream_id"), "mapping", F.col("redacted").alias("whole"), F.posexplode(F.concat(F.regexp_extract_all("redacted", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), F.array(F.lit(None).cast("string")))).alias("seq", "part"))
+    ends = F.col("part").isNull()
+    line = F.concat(F.lit("data: "), F.when(ends, last(F.col("whole"))).otherwise(event(F.col("part"))))
+    lines = parts.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), ends.alias("closes"), F.lit(kind).alias("kind"), "mapping")
+    return restore_batch(lines, every_row=True).where(F.col("line").startswith(sse.DATA)).select("stream_id", "seq", "ord", F.substring("line", 7, 1 << 30).alias("said"))
+
+
+def _put_together(back: DataFrame, delta: str, whole: str) -> DataFrame:
+    """doc_id, the hash of the redacted text, the text from the deltas in order, and the one that the last event had."""
+    part = F.get_json_object("said", delta)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct("seq", "ord", part.alias("t"))))), lambda x: x["t"]), "")
+    out = back.groupBy("stream_id").agg(joined.alias("text"), F.max(F.get_json_object("said", whole)).alias("last"))
+    return out.select(F.split("stream_id", ":")[0].cast("long").alias("doc_id"), F.split("stream_id", ":")[1].alias("redacted_sha256"), "text", "last")
+
+
+def sse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = lambda t: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), t.alias("text")).alias("delta")))
+    last = lambda t: F.to_json(F.struct(F.lit("content_block_stop").alias("type"), t.alias("full")))
+    return _put_together(_streamed(spark, sf_dir, jsonwalk.ANTHROPIC, event, last), "$.delta.text", "$.full").drop("last")
+
+
+def sse_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = lambda t: F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("delta"))).alias("choices")))
+    return _put_together(_streamed(spark, sf_dir, jsonwalk.CHAT, event, lambda t: F.lit("[DONE]")), "$.choices[0].delta.content", "$.none").drop("last")
+
+
+def sse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a last event that has the whole text, as agents read it."""
+    event = lambda t: F.to_json(F.struct(F.lit("response.output_text.delta").alias("type"), t.alias("delta")))
+    last = lambda t: F.to_json(F.struct(F.lit("response.output_text.done").alias("type"), t.alias("text")))
+    return _put_together(_streamed(spark, sf_dir, jsonwalk.RESPONSES, event, last), "$.delta", "$.text")
 
 
 def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,19 +373,12 @@ def catalog_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens minted for every customer, some spoilt, and what verification says of them."""
-    secret, now = b"s" * 32, 1_700_000_000
-
-    @F.pandas_udf("struct<status:string,pid:int>")
-    def check(keys):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        fresh, old = captoken.Minter(3600, secret, lambda: now), captoken.Minter(60, secret, lambda: now - 100)
-        foreign = captoken.Minter(3600, b"x" * 32, lambda: now)
-        made = [(fresh, old, foreign)[k % 3].mint(int(k)) for k in keys]
-        got = [captoken.verify(t if k % 7 else t[:-4], secret, now) for k, t in zip(keys, made)]
-        return pd.DataFrame([(g.status, g.pid) for g in got], columns=["status", "pid"]).astype({"pid": "Int32"})
-
-    return table(spark, sf_dir, "customer").select("c_custkey", check("c_custkey").alias("v")).select("c_custkey", "v.status")
+    key = F.col("c_custkey")
+    pid = key.cast("int")
+    made = F.when(key % 3 == 0, tokens.mint(pid, SECRET, 3600, NOW)).when(key % 3 == 1, tokens.mint(pid, SECRET, 60, NOW - 100)).otherwise(tokens.mint(pid, b"x" * 32, 3600, NOW))
+    token = F.when(key % 7 == 0, F.expr("left(t, length(t) - 4)")).otherwise(F.col("t"))
+    minted = table(spark, sf_dir, "customer").select("c_custkey", made.alias("t")).select("c_custkey", token.alias("t"))
+    return minted.select("c_custkey", tokens.verify(F.col("t"), SECRET, NOW).alias("v")).select("c_custkey", "v.status", F.col("v.pid").cast("long").alias("pid"), "v.minted_at", "v.expires_at")
 
 
 def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,15 +388,16 @@ def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_without_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id").join(rule_matches(docs).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = F.array(*(F.size(_matches(n, kind, pattern)) for n, (kind, pattern) in enumerate(RULES)))
+    return table(spark, sf_dir, "documents").where(F.forall(found, lambda n: n <= 0)).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         route_kinds, key_path_split, restore_modes, header_maps, request_mappings, error_bodies, tiny_texts, rule_class_counts, placeholders, placeholder_collisions, guarded_blobs,
-        redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
-        conversation_fields, request_round_trip, json_string_values, sse_round_trip, viterbi_tags, catalog_sizes, token_verify, pii_report, documents_without_findings,
+        redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_bounds, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
+        conversation_fields, anthropic_tool_fields, chat_call_fields, responses_item_fields, request_round_trip, redacted_bodies, field_log, json_string_values,
+        forwarded_requests, restored_answers, sse_round_trip, sse_chat, sse_responses, viterbi_tags, model_spans, catalog_sizes, token_verify, pii_report, documents_without_findings,
     )
     return {f.__name__: f for f in made}
 
@@ -304,10 +445,63 @@ def _fold(guard: bool) -> str:
     return f"list_reduce({start}, lambda a, p: {{'v': '', 't': '', 'acc': {step}}}).acc"
 
 
+_CUT = """CASE WHEN n - @S@ <= 4096 THEN {'e': n, 'i': length(text)} ELSE coalesce(
+  list_last(list_filter(nl, lambda x: x.e > @S@ + 2048 AND x.e <= @S@ + 4096)), list_last(list_filter(sp, lambda x: x.e > @S@ + 2048 AND x.e <= @S@ + 4096)), {'e': @S@ + 4096, 'i': @I@ + 4096}) END"""
+#: Chunks by the places of line feeds and spaces, in bytes and in characters; hard ends do not occur in the test data.
+_CHUNKS_SQL = f"""WITH RECURSIVE ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE strlen(text) > 4096),
+p AS (SELECT doc_id, c, i, CAST(sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM ch),
+br AS (SELECT doc_id, list({{'e': e, 'i': i}} ORDER BY i) FILTER (c = chr(10)) AS nl, list({{'e': e, 'i': i}} ORDER BY i) FILTER (c = ' ') AS sp FROM p GROUP BY doc_id),
+d AS (SELECT doc_id, text, strlen(text) AS n, coalesce(nl, []) AS nl, coalesce(sp, []) AS sp FROM documents LEFT JOIN br USING (doc_id)),
+k AS (SELECT doc_id, 0 AS ord, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS si, {_CUT.replace("@S@", "0").replace("@I@", "0")} AS cut FROM d
+      UNION ALL SELECT doc_id, ord + 1, cut.e, cut.i, {_CUT.replace("@S@", "cut.e").replace("@I@", "cut.i")} FROM k JOIN d USING (doc_id) WHERE cut.e < n)"""
+_MEAN = "CAST(round(exp(3) / (exp(3) + exp(2) + 2 + exp(-5)), 4) AS DOUBLE)"
+_ALONE = "CAST(round(exp(3) / (exp(3) + 3 + exp(-5)), 4) AS DOUBLE)"
+#: Words with their byte places; a span is `und`, or `of` with `the` behind it.
+_MODEL_SQL = f"""WITH w AS (SELECT doc_id, unnest(ws) AS w, unnest(gaps[:len(ws)]) AS gap, unnest(range(1, len(ws) + 1)) AS k
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS ws, string_split_regex(text, '[^ \t\n\r]+') AS gaps FROM documents)),
+pl AS (SELECT doc_id, k, w, CAST(sum(strlen(w) + strlen(gap)) OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS e, lead(w) OVER (PARTITION BY doc_id ORDER BY k) AS w2 FROM w),
+x AS (SELECT *, lead(e) OVER (PARTITION BY doc_id ORDER BY k) AS e2 FROM pl)
+SELECT doc_id, e - 3 AS "start", e AS "end", 'secret' AS class, {_ALONE} AS score FROM x WHERE w = 'und'
+UNION ALL SELECT doc_id, e - 2, e2, 'private_person', {_MEAN} FROM x WHERE w = 'of' AND w2 = 'the'"""
+
+
+def _body_sql(text: str, family: str) -> str:
+    said = f"to_json({text})::VARCHAR"
+    return f"""CASE {family} WHEN 0 THEN '{{"model":"m","messages":[{{"role":"user","content":[{{"type":"text","text":' || {said} || '}}]}}]}}'
+        WHEN 1 THEN '{{"temperature":0.5,"messages":[{{"role":"user","content":' || {said} || '}}]}}' ELSE '{{"input":' || {said} || '}}' END"""
+
+
+def _listed(*texts: str) -> str:
+    """Fields of every conversation row in order, from SQL texts."""
+    return f"SELECT conv_id, turn, CAST(n - 1 AS INTEGER) AS ord, fields[n] AS text FROM (SELECT conv_id, turn, [{', '.join(texts)}] AS fields, unnest(range(1, {len(texts) + 1})) AS n FROM conversations)"
+
+
 def oracle_sql() -> dict[str, str]:
     paths = "['/v1/messages', '/v1/chat/completions/', '/api/v1/responses//', '/backend-api/codex/responses', '/v1/models']"
-    texts = "SELECT doc_id, text FROM documents"
+    red = f"{_PAIRS_SQL}, red AS (SELECT doc_id, text, CASE WHEN ps IS NULL THEN text ELSE {_fold(True)} END AS redacted, ps FROM documents LEFT JOIN pairs USING (doc_id))"
+    texts = f"{red} SELECT doc_id, sha256(redacted) AS redacted_sha256, text FROM red"
+    kinds = "CASE doc_id % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai_chat' ELSE 'openai_responses' END"
     return {
+        "chunk_bounds": f"{_CHUNKS_SQL} SELECT doc_id, ord, s AS \"start\", cut.e - s AS n_bytes, false AS hard_left, false AS hard_right FROM k",
+        "chunk_dedup_stats": f"{_CHUNKS_SQL} SELECT count(*) AS n_chunks, count(DISTINCT substr(text, si + 1, cut.i - si)) AS n_distinct FROM k JOIN d USING (doc_id)",
+        "anthropic_tool_fields": _listed("role", "text", "text", "role", "role", "text", "''", "role"),
+        "chat_call_fields": _listed("'run'", "text", "role", "'{not json ' || role", "role", "text"),
+        "responses_item_fields": _listed("text", "text", "text", "text", "text", "text"),
+        "redacted_bodies": f"{red} SELECT doc_id, {kinds} AS kind, {_body_sql('redacted', 'doc_id % 3')} AS body, 'ok' AS status FROM red",
+        "field_log": f"""WITH spans_ AS ({_SPANS_SQL}) SELECT doc_id, CAST(0 AS INTEGER) AS field, strlen(text) AS field_len, CAST(count(class) AS INTEGER) AS spans,
+            coalesce(string_agg(class, ',' ORDER BY class), '') AS classes FROM documents LEFT JOIN spans_ USING (doc_id) GROUP BY doc_id, text""",
+        "model_spans": _MODEL_SQL,
+        "forwarded_requests": f"""{red}, r AS (SELECT *, doc_id % 5 <> 4 AS post, {_body_sql('text', 'doc_id % 3')} || CASE WHEN doc_id % 11 = 10 THEN ']' ELSE '' END AS asked FROM red),
+            c AS (SELECT *, CASE WHEN doc_id % 7 IN (0, 1) OR doc_id % 13 = 12 THEN 401 WHEN strlen(asked) > {LIMIT} THEN 413 WHEN post AND doc_id % 11 = 10 THEN 502 ELSE 200 END AS status_code FROM r)
+            SELECT doc_id, CASE WHEN post AND status_code IN (200, 502) THEN {kinds} ELSE 'passthrough' END AS kind, CAST(status_code AS INTEGER) AS status_code,
+              CASE status_code WHEN 401 THEN '{{"error":{{"message":"unauthorized"}}}}' WHEN 413 THEN '{{"error":{{"message":"request body too large"}}}}' WHEN 502 THEN '{{"error":{{"message":"redaction failed"}}}}' END AS error,
+              CASE WHEN status_code = 200 THEN 'https://upstream.example' || ['/v1/messages', '/api/v1/chat/completions', '/v1/responses/'][doc_id % 3 + 1] || CASE WHEN doc_id % 2 = 0 THEN '?a=1' ELSE '' END END AS url,
+              CASE WHEN status_code = 200 THEN 'Accept-Encoding,X-Id' END AS headers,
+              CASE WHEN status_code = 200 THEN sha256(CASE WHEN post THEN {_body_sql('redacted', 'doc_id % 3')} ELSE asked END) END AS body_sha256,
+              CASE WHEN status_code = 200 AND post AND ps IS NOT NULL THEN array_to_string(list_sort(list_transform(ps, lambda p: p.t)), ',') ELSE '' END AS log FROM c""",
+        "restored_answers": f"""{red} SELECT doc_id, CASE WHEN ps IS NULL THEN 'passthrough' WHEN doc_id % 3 = 1 THEN 'stream-restore' ELSE 'buffered-restore' END AS mode, text FROM red""",
+        "sse_chat": texts,
+        "sse_responses": f"{red} SELECT doc_id, sha256(redacted) AS redacted_sha256, text, text AS last FROM red",
         "route_kinds": f"""SELECT event_id, kind, kind <> 'passthrough' AS redactable, 'ok' AS status FROM (SELECT event_id,
             CASE WHEN event_id % 5 = 0 THEN 'passthrough' WHEN p LIKE '%/v1/messages' THEN 'anthropic' WHEN p LIKE '%/v1/chat/completions' THEN 'openai_chat'
             WHEN p LIKE '%/v1/responses' OR p LIKE '%/backend-api/codex/responses' THEN 'openai_responses' ELSE 'passthrough' END AS kind
@@ -333,7 +527,7 @@ def oracle_sql() -> dict[str, str]:
         "redact_unguarded": f"{_PAIRS_SQL} SELECT doc_id, CASE WHEN ps IS NULL THEN text ELSE {_fold(False)} END AS redacted FROM documents LEFT JOIN pairs USING (doc_id)",
         "residual_after_guard": f"{_PAIRS_SQL} SELECT doc_id, count(*) AS n_residual FROM (SELECT doc_id, {_fold(True)} AS redacted, unnest(ps).v AS v FROM documents JOIN pairs USING (doc_id)) WHERE contains(redacted, v) GROUP BY doc_id",
         "round_trip": texts,
-        "chunk_cover": "SELECT doc_id, true AS covered, true AS fits FROM documents",
+        "chunk_cover": f"{_CHUNKS_SQL} SELECT doc_id, sum(cut.e - s) = strlen(any_value(text)) AND min(s) = 0 AS covered, max(cut.e - s) <= 4096 AS fits FROM k JOIN d USING (doc_id) GROUP BY doc_id",
         "merge_spans": """WITH s AS (SELECT l_orderkey, l_linenumber % 3 AS co, (l_linenumber % 3) * 40 AS cs, l_linenumber % 3 > 0 AS hl, l_linenumber % 2 > 0 AS hr, l_suppkey * 100 + l_linenumber AS so,
               l_partkey % 50 AS a, least(64, l_partkey % 50 + 3 + l_suppkey % 12) AS b, l_returnflag AS class, round(l_discount, 2) AS score FROM lineitem),
             m AS (SELECT l_orderkey, co, so, cs + a AS "start", cs + b AS "end", class, score FROM s WHERE NOT (hr AND b = 64) AND NOT (hl AND a = 0)),
@@ -342,9 +536,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey, "start", "end", class, best AS score FROM w WHERE before_ IS NULL OR "end" > before_""",
         "conversation_fields": "SELECT conv_id, turn, text FROM conversations",
         "request_round_trip": texts,
-        "json_string_values": "SELECT event_id, CAST(0 AS INTEGER) AS ord, event_type AS value FROM events UNION ALL SELECT event_id, 1, props FROM events",
+        "json_string_values": "SELECT event_id, CAST(n - 1 AS INTEGER) AS ord, vs[n] AS value FROM (SELECT event_id, [event_type, props, props, 'x'] AS vs, unnest(range(1, 5)) AS n FROM events)",
         "catalog_sizes": "SELECT * FROM (VALUES ('openai/privacy-filter', CAST(6 AS BIGINT), CAST(837099555 AS BIGINT)), ('knowledgator/gliner-pii-small-v1.0', 5, 330429965)) t(name, n_files, bytes)",
         "pii_report": f"{_CTE} SELECT lang, source, class, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM found GROUP BY ROLLUP (lang, source, class)",
         "documents_without_findings": f"{_CTE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
-        "token_verify": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'malformed' WHEN c_custkey % 3 = 0 THEN 'ok' WHEN c_custkey % 3 = 1 THEN 'expired' ELSE 'bad_signature' END AS status FROM customer""",
+        "token_verify": f"""SELECT c_custkey, status, CASE WHEN status IN ('ok', 'expired') THEN CAST(c_custkey AS BIGINT) END AS pid,
+            CASE status WHEN 'ok' THEN {NOW} WHEN 'expired' THEN {NOW - 100} END AS minted_at, CASE status WHEN 'ok' THEN {NOW + 3600} WHEN 'expired' THEN {NOW - 40} END AS expires_at
+            FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'malformed' WHEN c_custkey % 3 = 0 THEN 'ok' WHEN c_custkey % 3 = 1 THEN 'expired' ELSE 'bad_signature' END AS status FROM customer)""",
     }

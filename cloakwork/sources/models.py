@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -24,8 +25,8 @@ def catalog_table(spark: SparkSession) -> DataFrame:
 
 def cache_root(env: Mapping[str, str] = os.environ) -> Path:
     """The named folder, else one in the user's cache folder."""
-    if env.get("OGL_CACHE_DIR"):
-        return Path(env["OGL_CACHE_DIR"])
+    if env.get("CLOAKWORK_CACHE_DIR"):
+        return Path(env["CLOAKWORK_CACHE_DIR"])
     return Path(env.get("XDG_CACHE_HOME") or Path(env.get("HOME", "~")).expanduser() / ".cache") / "cloakwork"
 
 
@@ -39,6 +40,16 @@ def write_manifest(name: str, root: Path) -> Path:
     return fresh.replace(folder / "manifest.json")
 
 
+def delete_model(name: str, root: Path) -> bool:
+    """Removes a catalog model's folder; whether there was one."""
+    if name not in {n for n, *_ in CATALOG}:
+        raise KeyError(name)
+    folder = root / "models" / name
+    here = folder.exists()
+    shutil.rmtree(folder, ignore_errors=True)
+    return here
+
+
 def list_models(spark: SparkSession, root: Path) -> DataFrame:
     """The catalog with each model's total size, and whether this machine has it."""
     here = spark.createDataFrame([(name, is_cached(name, root)) for name, *_ in CATALOG], "name string, cached boolean")

@@ -2,7 +2,7 @@
 
 Rows are (stream_id, seq, line, closes, kind, mapping); a line is text of one stream, in the order of seq, and the
 row that closes a stream flushes what is held. The first row of a stream brings its kind and mapping; later ones need none. The state of a
-stream is these and the unsettled end of its block.
+stream is these and the unsettled end of its block. A stream without a mapping passes through untouched.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cloakwork.kernels.sse import Restorer, State
@@ -21,26 +23,43 @@ STATE = "raw string, content string, sent int, last string, seq long, kind strin
 IDLE_MS = 3_600_000
 
 
-def _pairs(row) -> list[tuple[str, str]]:
-    return [(p["from"], p["to"]) for p in (row["mapping"] if row["mapping"] is not None else ())]
+def _pairs(mapping) -> list[tuple[str, str]]:  # noqa: ANN001
+    return [(p["from"], p["to"]) for p in (mapping if mapping is not None else ())]
 
 
-def _play(restorer: Restorer, row) -> list[str]:
-    out = restorer.feed(row["line"] + "\n") if row["line"] is not None else []
-    return out + restorer.close() if row["closes"] else out
+def _play(restorer: Restorer, line: str | None, closes: bool) -> list[str]:
+    out = restorer.feed(line + "\n") if line is not None else []
+    return out + restorer.close() if closes else out
 
 
-def restore_batch(lines: DataFrame) -> DataFrame:
-    """Restored lines of whole streams: stream_id, seq (of the line that let them out), ord, line."""
+def _restore_one(rows: pa.Table) -> pa.Table:
+    """One whole stream."""
+    rows = rows.sort_by("seq")
+    kind = next((k for k in rows.column("kind").to_pylist() if k is not None), "")
+    pairs = next((_pairs(m) for m in rows.column("mapping").to_pylist() if m), [])
+    restorer, out = Restorer(kind, pairs), ([], [], [])
+    for seq, line, closes in zip(*(rows.column(c).to_pylist() for c in ("seq", "line", "closes"))):
+        for n, said in enumerate(_play(restorer, line, closes)):
+            for column, value in zip(out, (seq, n, said)):
+                column.append(value)
+    return pa.table([pa.array([rows.column("stream_id")[0].as_py()] * len(out[0]), pa.string()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["stream_id", "seq", "ord", "line"])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        restorer, out = None, []
-        for row in rows.sort_values("seq").to_dict("records"):
-            restorer = restorer or Restorer(row["kind"], _pairs(row))
-            out += [(key[0], row["seq"], n, line) for n, line in enumerate(_play(restorer, row))]
-        return pd.DataFrame(out, columns=["stream_id", "seq", "ord", "line"])
 
-    return lines.groupBy("stream_id").applyInPandas(run, OUT)
+def restore_batch(lines: DataFrame, every_row: bool = False) -> DataFrame:
+    """Restored lines of whole streams: stream_id, seq (of the line that let them out), ord, line.
+
+    Streams that have nothing to restore are neither parsed nor shuffled with the others. ``every_row`` says that each row brings its
+    stream's mapping, so that no join is needed to tell them apart.
+    """
+    lines = lines.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "line", "closes", "kind", "mapping")
+    mapped = F.coalesce(F.size("mapping") > 0, F.lit(False))
+    if every_row:
+        quiet, loud = lines.where(~mapped), lines.where(mapped)
+    else:
+        ids = lines.where(mapped).select("stream_id").distinct()
+        quiet, loud = lines.join(ids, "stream_id", "left_anti"), lines.join(ids, "stream_id", "left_semi")
+    untouched = quiet.where("line is not null").select("stream_id", "seq", F.lit(0).alias("ord"), "line")
+    return untouched.unionAll(loud.groupBy("stream_id").applyInArrow(_restore_one, OUT))
 
 
 def restore_stream(lines: DataFrame, timeout: str = GroupStateTimeout.ProcessingTimeTimeout, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -54,11 +73,11 @@ def restore_stream(lines: DataFrame, timeout: str = GroupStateTimeout.Processing
         if held is not None:
             kind, pairs, seq = held[5], [tuple(p) for p in json.loads(held[6])], held[4]
         else:
-            kind, pairs, seq = rows[0]["kind"], _pairs(rows[0]), rows[0]["seq"]
+            kind, pairs, seq = rows[0]["kind"], _pairs(rows[0]["mapping"]), rows[0]["seq"]
         restorer, out, closed = Restorer(kind, pairs, State(*held[:4]) if held is not None else None), [], state.hasTimedOut
         for row in rows:
             seq = int(row["seq"])
-            out += [(key[0], seq, n, line) for n, line in enumerate(_play(restorer, row))]
+            out += [(key[0], seq, n, line) for n, line in enumerate(_play(restorer, row["line"], row["closes"]))]
             closed = closed or bool(row["closes"])
         if state.hasTimedOut:  # numbered after the lines of the last row
             out += [(key[0], seq, (1 << 30) + n, line) for n, line in enumerate(restorer.close())]

@@ -1,4 +1,10 @@
+"""Kernels against plain versions of their rules, and against values that the formats fix."""
+
+import base64
+import hashlib
+import itertools
 import json
+import re
 
 import numpy as np
 import pytest
@@ -7,48 +13,79 @@ from hypothesis import strategies as st
 
 from cloakwork.kernels import bioes, captoken, chunk, jsonwalk, sse, text
 
-NONCE = b"test-nonce-1234"
+NONCE = b"kernels' own nonce"
 
 
-@pytest.mark.parametrize(
-    ("said", "pairs", "out", "count"),
-    [
-        ("a a a", [("a", "b")], "b b b", 3),
-        ("abc", [("ab", "X"), ("abc", "Y")], "Y", 1),
-        ("aXa", [("a", "LONG")], "LONGXLONG", 2),
-        ("text", [("", "X")], "text", 0),
-        ('{"token":"' + "A" * 50 + '","name":"secret"}', [("A", "z")], '{"token":"' + "A" * 50 + '","name":"secret"}', 0),
-        ('A "' + "A" * 50 + '" A', [("A", "z")], 'z "' + "A" * 50 + '" z', 2),
-    ],
-)
-def test_substitute(said, pairs, out, count):
-    assert text.substitute(said, pairs) == (out, count)
+def slow_substitute(said, pairs):
+    """The rule, byte by byte: longest first, left to right, nothing that starts in a quoted blob of 40 characters or more."""
+    data = said.encode()
+    for old, new in sorted(((a.encode(), b.encode()) for a, b in pairs if a), key=lambda p: -len(p[0])):
+        inside = set()
+        for m in re.finditer(rb'"([A-Za-z0-9+/_-]+={0,2})"', data):
+            if m.end(1) - m.start(1) >= 40:
+                inside.update(range(*m.span(1)))
+        out, at = b"", 0
+        while at < len(data):
+            if data.startswith(old, at):
+                out += old if at in inside else new
+                at += len(old)
+            else:
+                out += data[at : at + 1]
+                at += 1
+        data = out
+    return data.decode(errors="replace")
 
 
-def test_protected_ranges():
-    assert len(text.protected_ranges(b'"' + b"a" * 48 + b'=="')) == 1
-    assert text.protected_ranges(b'"ab"' + b"A" * 40 + b'"') == []
-    assert len(text.protected_ranges(b'"' + b"A" * 38 + b'=="')) == 1
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["k", "kk", '"', "k" * 39, "k" * 41, "=", "Zoë", " ", "mu"]), max_size=14), st.lists(st.tuples(st.sampled_from(["k", "kk", "mu", "Zoë", 'k"k', ""]), st.sampled_from(["<1>", "", "kk", '"']), ), max_size=4))
+def test_substitution_against_the_rule(parts, pairs):
+    said = "".join(parts)
+    assert text.substitute(said, pairs)[0] == slow_substitute(said, pairs)
 
 
-@pytest.mark.parametrize(
-    ("kind", "value", "out"),
-    [("private_email", "alice@x.com", "OG_PRIVATE_EMAIL_a886c8"), ("private_phone", "+1-555-0100", "OG_PRIVATE_PHONE_5ade82"), ("private_person", "Bob", "OG_PRIVATE_PERSON_b2424b"), ("private_person", "王王", "OG_PRIVATE_PERSON_6bfff5")],
-)
-def test_placeholder(kind, value, out):
-    assert text.placeholder(kind, value, NONCE) == out
+def test_substitution_counts_and_guards():
+    blob = base64.b64encode(bytes(range(45))).decode()
+    assert text.substitute("no no, no", [("no", "yes")]) == ("yes yes, yes", 3)
+    assert text.substitute(f'{{"sig":"{blob}","a":"AA"}}', [("A", "-")]) == (f'{{"sig":"{blob}","a":"--"}}', 2)
+    assert text.substitute(f'{{"sig":"{blob}"}}', [("A", "-")], guard=False)[1] == blob.count("A")
+
+
+@pytest.mark.parametrize(("size", "guarded"), [(39, 0), (40, 1), (41, 1)])
+def test_blobs_are_guarded_by_size(size, guarded):
+    for padding in range(3):
+        assert len(text.protected_ranges(b'x:"' + b"Q" * (size - padding) + b"=" * padding + b'"')) == guarded
+    assert not text.protected_ranges(b"Q" * 99 + b'"' + b"Q" * 60)
+
 
+@pytest.mark.parametrize("value", ["carol@mail.test", "Łódź", "x" * 500])
+def test_placeholder_follows_its_format(value):
+    want = "OG_SECRET_" + hashlib.sha256(NONCE + value.encode()).hexdigest()[:6]
+    assert text.placeholder("secret", value, NONCE) == want and text.placeholder("secret", value, b"other") != want
 
-def test_short_spans_are_dropped():
-    spans = [(3, 4, "secret", 1.0), (5, 7, "secret", 1.0), (8, 11, "private_person", 1.0), (12, 18, "private_person", 1.0)]
-    assert [p[0] for p in text.collect_pairs("id X ab Bob 王王 done", spans, NONCE)] == ["Bob", "王王"]
 
+def test_spans_that_are_too_short_or_out_of_range_give_no_pair():
+    said = "naïve Ann 東 ok"
+    places = [(0, 2), (0, 6), (7, 10), (11, 14), (11, 99), (-1, 3), (7, 10)]
+    pairs = text.collect_pairs(said, [(a, b, "private_person", 1.0) for a, b in places], NONCE)
+    assert [p[0] for p in pairs] == ["naïve", "Ann", "東"]
 
-def test_chunks():
-    got = chunk.split("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN", 16, 4)
-    assert [(c.start, c.text, c.hard_left, c.hard_right) for c in got] == [(0, "abcdefghijklmnop", False, True), (12, "mnopqrstuvwxyzAB", True, True), (24, "yzABCDEFGHIJKLMN", True, False)]
-    assert [(c.start, c.text) for c in chunk.split("a" * 10 + "\nbob@x.io 12345\n" + "c" * 10, 16, 4)] == [(0, "a" * 10 + "\n"), (11, "bob@x.io 12345\n"), (26, "c" * 10)]
-    assert chunk.split("ab\n" + "c" * 8 + " " + "d" * 20, 16, 4)[0].text == "ab\n" + "c" * 8 + " "
+
+def slow_chunks(data, target, overlap):
+    """Starts and ends by the rule, for texts of one-byte characters."""
+    out, start = [], 0
+    while len(data) - start > target:
+        room = range(start + target, start + target // 2, -1)
+        soft = next((e for mark in b"\n " for e in room if data[e - 1] == mark), None)
+        end = soft or start + target
+        out.append((start, end))
+        start = soft or max(end - min(overlap, target // 4), start + 1)
+    return [*out, (start, len(data))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="uv \n", max_size=150), st.integers(4, 33), st.integers(0, 12))
+def test_chunks_against_the_rule(said, target, overlap):
+    assert [(c.start, c.start + len(c.text)) for c in chunk.split(said, target, overlap)] == slow_chunks(said.encode(), target, overlap)
 
 
 @settings(max_examples=200, deadline=None)
@@ -66,108 +103,148 @@ def test_chunk_invariants(said, target, overlap):
     assert grown[: len(parts) - 1] == parts[:-1]
 
 
-def test_merge():
-    parts = chunk.split("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN", 16, 4)
-    spans = [[(2, 6, "private_person", 0.9), (13, 16, "secret", 0.8)], [(0, 4, "secret", 0.7), (1, 4, "secret", 0.9)], [(4, 8, "private_phone", 0.6)]]
-    assert chunk.merge(zip(parts, spans)) == [(2, 6, "private_person", 0.9), (13, 16, "secret", 0.9), (28, 32, "private_phone", 0.6)]
-
-
-def brute_path(decoder, logits):
-    best = None
-    tags = range(len(decoder.tags))
-
-    def go(path, score):
-        nonlocal best
-        if len(path) == len(logits):
-            if best is None or score > best[0]:
-                best = (score, path)
-            return
-        for t in tags:
-            step = (0.0 if decoder.begins[t] else -np.inf) if not path else decoder.steps[path[-1], t]
-            if step > -np.inf:
-                go([*path, t], score + step + logits[len(path)][t])
-
-    go([], 0.0)
-    return best
-
-
-def test_viterbi_against_brute_force():
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 15), st.sampled_from(["secret", "private_person"]), st.integers(0, 9)), max_size=12))
+def test_merged_spans_are_those_outside_every_earlier_one(spans):
+    parts = chunk.split("q" * 70, 32, 8)
+    given_ = []
+    for c in parts:
+        size = len(c.text)
+        given_.append((c, [(a - c.start, min(a + n, c.start + size) - c.start, k, s / 10) for a, n, k, s in spans if c.start <= a < c.start + size]))
+    got = chunk.merge(given_)
+    whole = [(c.start + a, c.start + b, k, s) for c, found in given_ for a, b, k, s in found if not (c.hard_right and b == len(c.text)) and not (c.hard_left and a == 0)]
+    ends = [b for _, b, *_ in got]
+    assert ends == sorted(set(ends)) and all(any(w[:3] == g[:3] for w in whole) for g in got)
+    assert all(any(a <= w[0] and w[1] <= b for a, b, *_ in got) for w in whole)
+    assert all(g[3] == max(w[3] for w in whole if w[:3] == g[:3]) for g in got if sum(w[:2] == g[:2] for w in whole) == sum(w[:3] == g[:3] for w in whole))
+
+
+def test_viterbi_against_every_path():
     decoder = bioes.Decoder(["O", "B-x", "I-x", "E-x", "S-x"], bioes.Biases(0.1, -0.2, 0.3, 0.05, 0.0, -0.1))
     random = np.random.default_rng(1)
+
+    def value(path, logits):
+        score = logits[0][path[0]] if decoder.begins[path[0]] else -np.inf
+        return score + sum(decoder.steps[a, b] + logits[n + 1][b] for n, (a, b) in enumerate(itertools.pairwise(path)))
+
     for _ in range(40):
         logits = random.normal(size=(4, 5))
-        path = decoder.path(logits)
-        score = logits[0][path[0]] + sum(decoder.steps[a, b] + logits[n + 1][b] for n, (a, b) in enumerate(zip(path, path[1:])))
-        assert abs(score - brute_path(decoder, logits)[0]) < 1e-9
+        best = max(itertools.product(range(5), repeat=4), key=lambda p: value(p, logits))
+        assert abs(value(decoder.path(logits), logits) - value(best, logits)) < 1e-9
 
 
-def test_labels():
-    assert bioes.parse_labels('{"id2label":{"10":"S-x","0":"O","2":"B-x","1":"I-x"}}') == ["O", "I-x", "B-x", *["O"] * 7, "S-x"]
-    for bad in ("{}", '{"id2label":{}}', '{"id2label":{"-1":"O"}}'):
+def test_labels_and_biases():
+    numbers = {"3": "S-secret", "0": "O", "1": "B-secret"}
+    assert bioes.parse_labels(json.dumps({"id2label": numbers})) == ["O", "B-secret", "O", "S-secret"]
+    for bad in ({}, {"id2label": {}}, {"id2label": {"-2": "O"}}):
         with pytest.raises((KeyError, ValueError)):
-            bioes.parse_labels(bad)
+            bioes.parse_labels(json.dumps(bad))
+    names = ("background_stay", "background_to_start", "inside_to_continue", "inside_to_end", "end_to_background", "end_to_start")
+    point = {f"transition_bias_{name}": n / 4 for n, name in enumerate(names)}
+    assert bioes.parse_biases(json.dumps({"operating_points": {"p": {"biases": point}}}), "p") == bioes.Biases(0, 0.25, 0.5, 0.75, 1, 1.25)
+    for missing in ({"operating_points": {}}, {"operating_points": {"p": {"biases": dict(list(point.items())[1:])}}}):
+        with pytest.raises(KeyError):
+            bioes.parse_biases(json.dumps(missing), "p")
 
 
-def test_spans_and_trim():
+def test_spans_their_probability_and_trim():
     decoder = bioes.Decoder(["O", "B-x", "I-x", "E-x", "S-x"])
-    hot = lambda *tags: [[9.0 if k == t else 0.0 for k in range(5)] for t in tags]
-    assert [s[:3] for s in decoder.spans(hot(0, 1, 3, 4, 1), [(0, 1), (1, 4), (4, 9), (9, 12), (12, 13)])] == [(1, 9, "x"), (9, 12, "x")]
-    assert text.trim(b"a b\n c", [(1, 4, "x", 1.0), (3, 5, "x", 1.0)]) == [(2, 3, "x", 1.0)]
-    with pytest.raises(KeyError):
-        bioes.parse_biases('{"operating_points":{}}')
-    assert bioes.byte_offsets("é日 x", [(0, 2), (3, 4)]) == [(0, 5), (6, 7)]
-
-
-def test_extract_and_reassemble():
-    body = '{"model":"m","n":1.0,"system":"sys","messages":[{"role":"user","content":[{"type":"text","text":"hi"},{"type":"tool_use","input":{"b":["x",2],"a":""}},{"type":"tool_result","content":"res"},{"type":"thinking","thinking":"no"}]}]}'
+    path = [1, 2, 3, 0, 4, 1]  # a run, background, a single, and a run that never ends
+    logits = [[8.0 if k == t else 0.0 for k in range(5)] for t in path]
+    got = decoder.spans(logits, [(n, n + 1) for n in range(6)])
+    assert [s[:3] for s in got] == [(0, 3, "x"), (4, 5, "x")]
+    share = np.exp(8) / (np.exp(8) + 4)
+    assert all(abs(s[3] - share) < 1e-12 for s in got)
+    assert text.trim(b"\t ab\r\n ", [(0, 7, "x", 0.5), (4, 7, "x", 0.5), (1, 3, "x", 0.5)]) == [(2, 4, "x", 0.5), (2, 3, "x", 0.5)]
+    assert bioes.byte_offsets("ßx東", [(0, 1), (1, 3)]) == [(0, 2), (2, 6)]
+
+
+def test_fields_keep_their_frame():
+    body = ' {"stream" : true,"seed":1e2, "messages":[{"content":[{"type":"tool_use","input":{"q":["one",{"r":"two"}],"key":7}},{"type":"image","data":"no"},{"type":"text","text":"three"}]}],"system":"zero"}\n'
     fields = jsonwalk.extract(jsonwalk.ANTHROPIC, body)
-    assert [f.text for f in fields] == ["sys", "hi", "x", "res"]
+    assert [f.text for f in fields] == ["zero", "one", "two", "three"]
     assert jsonwalk.reassemble(body, fields, [f.text for f in fields]) == body
-    assert '"n":1.0' in jsonwalk.reassemble(body, fields, ["S", "hi", 'q"', "res"])
-    chat = json.dumps({"messages": [{"content": None, "tool_calls": [{"function": {"arguments": '{"cmd":"ssh bob@10.0.0.1","retries":2}'}}], "function_call": {"arguments": "not {json"}}]})
-    fields = jsonwalk.extract(jsonwalk.CHAT, chat)
-    assert [f.text for f in fields] == ["ssh bob@10.0.0.1", "not {json"]
-    back = json.loads(jsonwalk.reassemble(chat, fields, ["ssh X", "not {json"]))
-    assert json.loads(back["messages"][0]["tool_calls"][0]["function"]["arguments"]) == {"cmd": "ssh X", "retries": 2}
-    answers = '{"instructions":"i","input":[{"type":"function_call","arguments":"42"},{"role":"user","content":[{"type":"input_text","text":"t"}]},{"type":"custom_tool_call","input":"c"}]}'
-    assert [f.text for f in jsonwalk.extract(jsonwalk.RESPONSES, answers)] == ["i", "t", "c"]
+    assert jsonwalk.reassemble(body, fields, ["0", 'a"b', "two", "é"]) == body.replace('"zero"', '"0"').replace('"one"', '"a\\"b"').replace('"three"', '"é"')
+
+
+def test_encoded_arguments_stay_encoded():
+    inner = json.dumps({"path": "home of Ida", "depth": 3, "tags": ["Ida", ""]})
+    calls = [{"function": {"arguments": inner}}, {"function": {"arguments": {"bare": "Ida"}}}, {"function": {"arguments": "Ida: no JSON"}}, {"function": None}, None]
+    body = json.dumps({"messages": [{"content": None, "tool_calls": calls, "function_call": {"arguments": "[\"Ida\"]"}}]})
+    fields = jsonwalk.extract(jsonwalk.CHAT, body)
+    assert [f.text for f in fields] == ["home of Ida", "Ida", "Ida", "Ida: no JSON", "Ida"]
+    back = json.loads(jsonwalk.reassemble(body, fields, [f.text.replace("Ida", 'I"') for f in fields]))["messages"][0]
+    assert json.loads(back["tool_calls"][0]["function"]["arguments"]) == {"path": 'home of I"', "depth": 3, "tags": ['I"', ""]}
+    assert back["tool_calls"][1]["function"]["arguments"] == {"bare": 'I"'} and json.loads(back["function_call"]["arguments"]) == ['I"']
+
+
+def test_items_of_responses():
+    kinds = [("function_call", "arguments"), ("custom_tool_call", "input"), ("function_call_output", "output"), ("custom_tool_call_output", "output"), ("message", "content"), (None, "content"), ("reasoning", "encrypted_content")]
+    items = [{"type": kind, key: f"text {n}", "other": "no"} for n, (kind, key) in enumerate(kinds)]
+    fields = jsonwalk.extract(jsonwalk.RESPONSES, json.dumps({"instructions": "first", "input": items}))
+    assert [f.text for f in fields] == ["first", *(f"text {n}" for n in range(6))]
 
 
-@pytest.mark.parametrize("body", ["", "{", "[1]", '{"messages":[1]}', '{"messages":[{"content":[{"type":"text"}]}]}', '{"a":1}x', '{"messages":[{"content":[{"type":"tool_use","input":' + "[" * 1002 + "]" * 1002 + "}]}]}"])
+@pytest.mark.parametrize(
+    ("kind", "body", "texts"),
+    [
+        (jsonwalk.ANTHROPIC, "null", []),
+        (jsonwalk.ANTHROPIC, '{"messages":[null,{"content":[null,{"type":"text","text":null}]}]}', [""]),
+        (jsonwalk.RESPONSES, '{"input":[null,{"content":"x"}]}', ["x"]),
+        (jsonwalk.CHAT, '{"messages":[{"tool_calls":null,"function_call":null}]}', []),
+        (jsonwalk.ANTHROPIC, '{"system":"\\ud800 Ed \\udc00\\ud83d\\ude00"}', ["� Ed �😀"]),
+        (jsonwalk.CHAT, json.dumps({"messages": [{"function_call": {"arguments": '{"a":"\\ud800 Ed"}'}}]}), ["� Ed"]),
+    ],
+)
+def test_nulls_and_lone_surrogates(kind, body, texts):
+    fields = jsonwalk.extract(kind, body)
+    assert [f.text for f in fields] == texts
+    changed = jsonwalk.reassemble(body, fields, [t.replace("Ed", "X") for t in texts])
+    assert "Ed" not in changed and json.loads(changed) is not Ellipsis
+
+
+@pytest.mark.parametrize("body", [" ", "[", '"x"', "3", '{"messages":{}}', '{"messages":["x"]}', '{"messages":[{"content":["x"]}]}', '{"system":[{"type":"text"}]}', '{"system":[{"type":"text","text":5}]}', "{} {}", '{"messages":[{"content":[{"type":"tool_use","input":' + '{"a":' * 1001 + "1" + "}" * 1001 + "}]}]}"])
 def test_malformed_bodies(body):
     with pytest.raises(jsonwalk.Bad):
         jsonwalk.extract(jsonwalk.ANTHROPIC, body)
 
 
-def test_partial_suffix():
-    token = ["OG_PRIVATE_EMAIL_abc123"]
-    assert text.partial_suffix("hello OG_PRIV", token) == 7
-    assert text.partial_suffix("hello", token) == 0
-    assert text.partial_suffix("x OG_PRIVATE_EMAIL_abc123", token) == 0
-    assert text.partial_suffix("O", token) == 1
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="OG_é1", max_size=12), st.lists(st.sampled_from(["OG_1", "OG_é1", "GG", "O"]), max_size=3))
+def test_partial_suffix_against_all_ends(said, placeholders):
+    data = said.encode()
+    ends = [n for p in placeholders for n in range(1, len(p.encode())) if data.endswith(p.encode()[:n])]
+    assert text.partial_suffix(said, placeholders) == max(ends, default=0)
+
+
+def delta(kind, said):
+    return {
+        jsonwalk.ANTHROPIC: {"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": said}},
+        jsonwalk.CHAT: {"choices": [{"index": 0, "delta": {"content": said}}]},
+        jsonwalk.RESPONSES: {"type": "response.output_text.delta", "delta": said},
+    }[kind]
 
 
 @pytest.mark.parametrize("kind", [jsonwalk.ANTHROPIC, jsonwalk.CHAT, jsonwalk.RESPONSES])
-def test_stream_split_anywhere(kind):
-    token, said = "OG_SECRET_abc123", "my OG_SECRET_abc123 and OG_SECRET_abc123!"
-    for size in (1, 3, 7, 100):
-        restorer, lines = sse.Restorer(kind, [("s3cr\"et", token)]), []
-        for at in range(0, len(said), size):
-            part = said[at : at + size]
-            event = {jsonwalk.ANTHROPIC: {"type": "content_block_delta", "delta": {"type": "text_delta", "text": part}}, jsonwalk.CHAT: {"choices": [{"delta": {"content": part}}]}, jsonwalk.RESPONSES: {"type": "response.output_text.delta", "delta": part}}[kind]
-            for piece in ("data: " + json.dumps(event) + "\n")[:5], ("data: " + json.dumps(event) + "\n")[5:]:
-                lines += restorer.feed(piece)
-        lines += restorer.close()
-        texts = [sse.decode(kind, line[6:]).text for line in lines if line.startswith("data: ")]
-        assert "".join(texts) == said.replace(token, "s3cr\"et")
-        assert not any("OG_" in t for t in texts)
+@pytest.mark.parametrize("size", [1, 2, 5, 64])
+def test_streams_cut_anywhere(kind, size):
+    token, value = "OG_SECRET_0f1e2d", 'pa"ss\nword'
+    said = f"{token}, then\n{token}{token} and OG_SECRET_0f1e2"
+    restorer, lines = sse.Restorer(kind, [(value, token)]), []
+    for at in range(0, len(said), size):
+        event = "event: x\ndata: " + json.dumps(delta(kind, said[at : at + size])) + "\n\n"
+        for piece in (event[:13], event[13:]):
+            lines += restorer.feed(piece)
+    lines += restorer.close()
+    texts = [sse.decode(kind, line[6:]).text for line in lines if line.startswith("data: ")]
+    assert "".join(texts) == said.replace(token, value)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["OG_P_1", "OG_", "P_1", "O", "G_P_12", " ", "\n", '"', "A" * 45, "é", "x"]), max_size=30))
 def test_settled_text_changes_nothing(parts):
     pairs = [("Bob Lee", "OG_P_1"), ('say "O', "OG_P_12"), ("OG", "OG_P_1é")]
-    event = lambda t: "data: " + json.dumps({"type": "content_block_delta", "delta": {"type": "text_delta", "text": t}}) + "\n"
+    event = lambda t: "data: " + json.dumps(delta(jsonwalk.ANTHROPIC, t)) + "\n"
     short, long = sse.Restorer(jsonwalk.ANTHROPIC, pairs), sse.Restorer(jsonwalk.ANTHROPIC, pairs)
     long.settles = False
     for part in parts:
@@ -176,25 +253,28 @@ def test_settled_text_changes_nothing(parts):
     assert short.close() == long.close()
 
 
-def test_other_lines_and_terminal_events():
-    restorer = sse.Restorer(jsonwalk.CHAT, [("Bob", "OG_PERSON_1")])
-    assert restorer.feed("event: x\ndata: [DONE]\ndata:OG_PERSON_1\n") == ["event: x", "data: [DONE]", "data:OG_PERSON_1"]
-    assert restorer.feed('data: {"full":"OG_PERSON_1"}\n') == ['data: {"full":"Bob"}']
+def test_other_lines_ends_of_blocks_and_lone_surrogates():
+    restorer = sse.Restorer(jsonwalk.RESPONSES, [("Uma", "OG_PERSON_7")])
+    assert restorer.feed(": note\ndata: no JSON OG_PERSON_7\ndata:OG_PERSON_7\n") == [": note", "data: no JSON Uma", "data:OG_PERSON_7"]
+    assert restorer.feed("data: " + json.dumps(delta(jsonwalk.RESPONSES, "it is \ud83d OG_PER")) + "\r\n")[0].endswith('"it is � "}\r')
+    held, end = restorer.feed('data: {"type":"response.output_text.done","text":"OG_PERSON_7"}\n')
+    assert json.loads(held[6:])["delta"] == "OG_PER" and json.loads(end[6:])["text"] == "Uma"
+    quiet = sse.Restorer(jsonwalk.RESPONSES, [])
+    assert quiet.feed('data: {"type":"x"}\nda') == ['data: {"type":"x"}'] and quiet.close() == ["da"]
 
 
 def test_tokens():
-    now = 1_700_000_000
-    minter = captoken.Minter(60, b"k" * 32, lambda: now)
-    token = minter.mint(7)
-    assert captoken.verify(token, b"k" * 32, now, 7) == ("ok", 7, now, now + 60)
-    assert captoken.verify(token, b"k" * 32, now + 60, 7).status == "expired"
-    assert captoken.verify(token, b"x" * 32, now, 7).status == "bad_signature"
-    assert captoken.verify(token, b"k" * 32, now, 8).status == "wrong_process"
-    for bad in ("", captoken.PREFIX, token[9:], captoken.PREFIX + "!!", token[:-8], None):
-        assert captoken.verify(bad, b"k" * 32, now).status == "malformed"
+    now, secret = 1_600_000_000, bytes(range(32))
+    token = captoken.Minter(90, secret, lambda: now).mint(4242)
+    assert captoken.verify(token, secret, now + 89, 4242) == ("ok", 4242, now, now + 90)
+    spoilt = {"expired": (token, secret, now + 90, None), "bad_signature": (token, bytes(32), now, None), "wrong_process": (token, secret, now, 1)}
+    for status, (t, s, at, pid) in spoilt.items():
+        assert captoken.verify(t, s, at, pid).status == status
+    for bad in ("", captoken.PREFIX, token.removeprefix(captoken.PREFIX), token + "A", token[:-1] + "!", None):
+        assert captoken.verify(bad, secret, now).status == "malformed"
     with pytest.raises(ValueError):
-        captoken.Minter(0)
-    assert captoken.Minter(1 << 40).ttl == captoken.MAX_TTL
+        captoken.Minter(-1)
+    assert captoken.Minter(captoken.MAX_TTL + 1).ttl == captoken.MAX_TTL
 
 
 @settings(max_examples=200, deadline=None)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.sql import register
 from cloakwork.kernels import jsonwalk
-from cloakwork.operators import redaction, requests
-from cloakwork.operators.detect import DetectorUnavailable, RecentDetector, ScriptedDetector, get_detector
+from cloakwork.operators import jobs, redaction, requests, tokens
+from cloakwork.operators.detect import DetectorUnavailable, OnnxDetector, RecentDetector, ScriptedDetector, get_detector
 from cloakwork.operators.redaction import EngineConf
 from cloakwork.plans import catalog
 from cloakwork.sources import models
+from cloakwork.sources.lookup_model import lookup_model
 from cloakwork.streaming.restore import restore_batch, restore_stream
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,66 @@ def test_documents_keep_their_columns_and_fail_closed(spark):
     assert redaction.redact_documents(docs.limit(0), CONF).count() == 0
 
 
+def test_columns_that_clash_are_named(spark):
+    for name in ("status", "Redacted", "mapping"):
+        with pytest.raises(ValueError, match=name):
+            redaction.redact_documents(spark.createDataFrame([(1, "Bob", 2)], f"id long, text string, {name} int"), CONF)
+    odd = spark.createDataFrame([(1, "Bob", 2, 3, 4)], "id long, text string, _text int, `a.b` int, body int")
+    assert redaction.redact_documents(odd, CONF).columns == ["id", "_text", "a.b", "body", "redacted", "mapping", "status"]
+    row = redaction.redact_documents(odd, CONF).first()
+    assert (row["_text"], row["a.b"], row["body"]) == (2, 3, 4)
+    with pytest.raises(ValueError, match="status"):
+        redaction.redact_requests(spark.createDataFrame([("anthropic", "{}", 1)], "kind string, body string, status int"), CONF)
+
+
+def test_odd_json_stops_no_job(spark):
+    rows = [(1, "anthropic", '{"messages":[null,{"content":"\\ud800 Bob"}]}'), (2, "openai_responses", '{"input":[null,{"content":"\\udfff Bob"}]}')]
+    table = spark.createDataFrame(rows, "id long, kind string, body string")
+    assert [r[0] for r in table.select(F.explode(redaction.extract_fields(F.col("kind"), F.col("body"))["text"])).collect()] == ["� Bob"] * 2
+    assert [r[0] for r in table.select(F.explode(redaction.json_strings(F.col("body")))).collect()] == ["� Bob"] * 2
+    assert all(r["status"] == "ok" and "Bob" not in r["body"] for r in redaction.redact_requests(table, CONF).collect())
+    said = json.dumps({"choices": [{"delta": {"content": "\ud83d OG_P_1"}}]})
+    lines = spark.createDataFrame([("s", 0, "data: " + said, True, jsonwalk.CHAT, [("Bob", "OG_P_1")])], "stream_id string, seq long, line string, closes boolean, kind string, mapping array<struct<from:string,to:string>>")
+    assert _said(restore_batch(lines).collect()) == "� Bob"
+
+
+def test_a_new_nonce_for_each_job():
+    assert len(EngineConf().nonce) == redaction.NONCE_BYTES and EngineConf().nonce != EngineConf().nonce
+
+
+def test_requests_are_refused_before_anything_is_read(spark):
+    secret, now = b"k" * 32, 1_700_000_000
+    token = spark.range(1).select(tokens.mint(F.lit(5), secret, 60, now)).first()[0]
+    good = json.dumps({"messages": [{"content": "Bob"}]})
+    rows = [(1, f"/_k/{token}/v1/messages", good), (2, "/_k/x/v1/messages", good), (3, "/v1/messages", good), (4, f"/_k/{token}/v1/messages", good + " " * 200), (5, f"/_k/{token}/v1/messages", "{"), (6, f"/_k/{token}", None)]
+    table = spark.createDataFrame([(*r[:1], "POST", r[1], None, {"Host": "h", "A": "b"}, r[2]) for r in rows], "id long, method string, path string, query string, headers map<string,string>, body string")
+    got = {r["id"]: r for r in jobs.forward_requests(table, CONF, secret, "http://up/", now, 100).collect()}
+    assert [got[n]["status_code"] for n in range(1, 7)] == [200, 401, 401, 413, 502, 200]
+    assert got[1]["url"] == "http://up/v1/messages" and "Bob" not in got[1]["body"] and got[1]["upstream_headers"] == {"A": "b", "Accept-Encoding": "identity"}
+    assert all(got[n]["body"] is None and got[n]["url"] is None and got[n]["upstream_headers"] is None for n in (2, 3, 4, 5))
+    assert got[6]["url"] == "http://up/" and got[6]["body"] == "" and json.loads(got[4]["error"]) == {"error": {"message": "request body too large"}}
+    assert {r["status_code"] for r in jobs.forward_requests(table, CONF, secret, "http://up", now + 60, 100).collect()} == {401}
+
+
+def test_answers(spark):
+    pairs = [("Bob", "OG_P_1")]
+    stream = "".join("data: " + json.dumps({"choices": [{"delta": {"content": t}}]}) + "\n\n" for t in ("OG_", "P_1"))
+    rows = [(1, jsonwalk.CHAT, "application/json", '{"a":"OG_P_1"}', pairs), (2, jsonwalk.CHAT, None, stream, pairs), (3, jsonwalk.CHAT, "text/event-stream", "OG_P_1", []), (4, jsonwalk.CHAT, None, None, pairs), (5, "passthrough", "x", "OG_P_1", None)]
+    table = spark.createDataFrame(rows, "id long, kind string, content_type string, body string, mapping array<struct<from:string,to:string>>")
+    got = {r["id"]: (r["mode"], r["body"]) for r in jobs.restore_answers(table).collect()}
+    assert got[1] == ("buffered-restore", '{"a":"Bob"}') and got[3] == ("passthrough", "OG_P_1") and got[4] == ("stream-restore", None) and got[5] == ("passthrough", "OG_P_1")
+    assert got[2][0] == "stream-restore" and "".join(json.loads(x[6:])["choices"][0]["delta"]["content"] for x in got[2][1].split("\n") if x) == "Bob"
+
+
+def test_lookup_model_finds_spans_and_travels(spark):
+    model, words = lookup_model({"Ada": (0, 4, 0, 0, 0), "Byron": (0, 0, 0, 4, 0)}, (4, 0, 0, 0, 0))
+    detector = OnnxDetector(model, words, ["O", "B-private_person", "I-private_person", "E-private_person", "S-secret"])
+    assert [s[:3] for s in detector.detect("é Ada  Byron met Ada")] == [(3, 13, "private_person")] and detector.detect("") == []
+    assert detector.detect("Ada Byron")[0][3] == pytest.approx(54.598 / 58.598, abs=1e-4)
+    table = spark.createDataFrame([(1, "say Ada Byron"), (2, None)], "id long, text string")
+    assert redaction.redact_documents(table, EngineConf(b"n" * 16, detector)).where("id = 1").first()["mapping"][0]["from"] == "Ada Byron"
+
+
 def test_requests(spark):
     good = json.dumps({"model": "Bob", "messages": [{"role": "user", "content": "Bob secret Bob"}]})
     rows = [(1, "anthropic", good), (2, "anthropic", "{"), (3, "passthrough", "Bob")]
@@ -93,6 +154,11 @@ def _said(rows):
 def test_streams(spark, tmp_path):
     lines = _lines(spark)
     assert _said(restore_batch(lines.withColumn("mapping", F.when(F.col("seq") == 0, F.col("mapping")))).collect()) == "hi Bob!"
+    assert _said(restore_batch(lines, every_row=True).collect()) == "hi Bob!"
+    quiet = lines.withColumn("mapping", F.array().cast("array<struct<from:string,to:string>>")).withColumn("stream_id", F.lit("q"))
+    for every_row in (False, True):
+        both = restore_batch(lines.unionAll(quiet), every_row).collect()
+        assert _said([r for r in both if r["stream_id"] == "q"]) == "hi OG_P_1!" and _said([r for r in both if r["stream_id"] == "s"]) == "hi Bob!"
     lines.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
     query = restore_stream(source).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
@@ -100,7 +166,7 @@ def test_streams(spark, tmp_path):
     assert _said(spark.table("restored").collect()) == "hi Bob!"
 
 
-@pytest.mark.parametrize("name", ["route_kinds", "key_path_split", "restore_modes", "placeholders", "redact_documents", "merge_spans", "request_round_trip", "pii_report", "header_maps", "request_mappings", "spans_by_distinct_chunk", "viterbi_tags", "sse_round_trip"])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_oracles(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations", "events", "lineitem", "customer", "embeddings"):
@@ -147,7 +213,11 @@ def test_model_list(spark, tmp_path):
             file.truncate(size)  # sparse
     assert not models.is_cached(name, tmp_path)
     models.write_manifest(name, tmp_path)
+    assert models.cache_root({"CLOAKWORK_CACHE_DIR": str(tmp_path)}) == tmp_path and models.cache_root({"XDG_CACHE_HOME": "/x"}) == models.Path("/x/cloakwork") and models.cache_root({"HOME": "/h"}) == models.Path("/h/.cache/cloakwork")
     assert {r["name"]: r["cached"] for r in models.list_models(spark, tmp_path).collect()} == {name: True, models.CATALOG[0][0]: False}
+    assert models.delete_model(name, tmp_path) and not models.is_cached(name, tmp_path) and not models.delete_model(name, tmp_path)
+    with pytest.raises(KeyError):
+        models.delete_model("none", tmp_path)
 
 
 def test_idle_stream_lets_go_of_what_it_holds(spark, tmp_path):
