@@ -120,6 +120,32 @@ def strings(root: Node, depth: int = MAX_DEPTH) -> Iterator[Node]:
             stack.extend((c, level + 1) for c in reversed(children))
 
 
+def _refuse(constant: str) -> None:
+    raise Bad(f"{constant} is no JSON")
+
+
+def string_values(body: str, depth: int = MAX_DEPTH) -> list[str]:
+    """Non-empty string values of a JSON text in document order, as :func:`strings` finds them, where their places do not matter."""
+    try:
+        root = json.loads(body, object_pairs_hook=lambda pairs: [v for _, v in pairs], parse_constant=_refuse)
+    except RecursionError:
+        return [text for n in strings(parse(body), depth) if (text := said(body[n.start : n.end]))]
+    except Bad:
+        raise
+    except ValueError as error:
+        raise Bad("invalid JSON") from error
+    out, stack = [], [(root, 0)]
+    while stack:
+        value, level = stack.pop()
+        if level > depth:
+            raise Bad("JSON is nested too deeply")
+        if type(value) is list:
+            stack.extend((v, level + 1) for v in reversed(value))
+        elif type(value) is str and value:
+            out.append(value if value.isascii() else _LONE.sub("\ufffd", value))
+    return out
+
+
 class Extractor:
     """Ordered fields of one request body."""
 

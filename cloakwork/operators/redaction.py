@@ -202,9 +202,7 @@ def json_strings(body: Column) -> Column:
     def run(bodies: pd.Series) -> pd.Series:
         def one(b: str | None) -> list | None:
             try:
-                found = jsonwalk.Extractor(b or "null")
-                found.walk(jsonwalk.parse(b or "null"))
-                return [f.text for f in found.fields]
+                return jsonwalk.string_values(b or "null")
             except jsonwalk.Bad:
                 return None
 

@@ -322,10 +322,12 @@ def _streamed(spark: SparkSession, sf_dir: str, kind: str, event, last) -> DataF
     """
     out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
     stream = F.concat_ws(":", "doc_id", F.sha2("redacted", 256))
-    parts = out.select(stream.alias("stream_id"), "mapping", F.col("redacted").alias("whole"), F.posexplode(F.concat(F.regexp_extract_all("redacted", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), F.array(F.lit(None).cast("string")))).alias("seq", "part"))
-    ends = F.col("part").isNull()
-    line = F.concat(F.lit("data: "), F.when(ends, last(F.col("whole"))).otherwise(event(F.col("part"))))
-    lines = parts.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), ends.alias("closes"), F.lit(kind).alias("kind"), "mapping")
+    whole = F.concat(F.lit("\0"), "redacted")  # marked, as the last part
+    parts = F.concat(F.regexp_extract_all("redacted", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), F.array(whole))
+    cut = out.select(stream.alias("stream_id"), "mapping", F.posexplode(parts).alias("seq", "part"))
+    ends = F.col("part").startswith("\0")
+    line = F.concat(F.lit("data: "), F.when(ends, last(F.substring("part", 2, 1 << 30))).otherwise(event(F.col("part"))))
+    lines = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), ends.alias("closes"), F.lit(kind).alias("kind"), "mapping")
     return restore_batch(lines, every_row=True).where(F.col("line").startswith(sse.DATA)).select("stream_id", "seq", "ord", F.substring("line", 7, 1 << 30).alias("said"))
 
 

@@ -167,6 +167,35 @@ def test_fields_keep_their_frame():
     assert jsonwalk.reassemble(body, fields, ["0", 'a"b', "two", "é"]) == body.replace('"zero"', '"0"').replace('"one"', '"a\\"b"').replace('"three"', '"é"')
 
 
+_json = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(_json, st.booleans(), st.sampled_from(["", "x", "]", ' {"a":"\\ud800"}', "NaN"]))
+def test_string_values_with_and_without_places(value, escaped, tail):
+    body = json.dumps(value, ensure_ascii=escaped) + tail
+
+    def slow():
+        found = jsonwalk.Extractor(body)
+        found.walk(jsonwalk.parse(body))
+        return [f.text for f in found.fields]
+
+    def outcome(run):
+        try:
+            return run()
+        except jsonwalk.Bad:
+            return "bad"
+
+    assert outcome(slow) == outcome(lambda: jsonwalk.string_values(body))
+
+
+def test_string_values_of_deep_texts():
+    for deep in ("[" * 1001 + '"x"' + "]" * 1001, '{"a":' * 20_000 + "1" + "}" * 20_000):
+        with pytest.raises(jsonwalk.Bad):
+            jsonwalk.string_values(deep)
+    assert jsonwalk.string_values("[" * 1000 + '"x"' + "]" * 1000) == ["x"]
+
+
 def test_encoded_arguments_stay_encoded():
     inner = json.dumps({"path": "home of Ida", "depth": 3, "tags": ["Ida", ""]})
     calls = [{"function": {"arguments": inner}}, {"function": {"arguments": {"bare": "Ida"}}}, {"function": {"arguments": "Ida: no JSON"}}, {"function": None}, None]
