@@ -7,12 +7,17 @@ right, so the longest piece wins, and an unknown character (the least score minu
 fits) loses a tie. An unknown character counts as its UTF-8 bytes where the vocabulary falls back to bytes, and
 else as one token for each run of them.
 
+Public vocabularies of unigram tokenizers with their probabilities are rare, and tokenizers are never trained here. So the
+probabilities may come from a vocabulary's order alone, by Zipf's law in Mandelbrot's form: the piece at place r has a share in proportion to
+1 / (r + ``SHIFT``). That gives proper log-probabilities over the public pieces, and no other number of the file is read.
+
 Scale: one scan, no shuffle. Where no piece has a word mark inside it, the best path passes every word start,
 so words are counted apart and remembered in a bounded table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +30,8 @@ from .common import map_batches
 
 MARK = "▁"  # stands for a space in vocabularies
 UNKNOWN_PENALTY = 10.0
+#: Mandelbrot's constant for words of a text.
+SHIFT = 2.7
 _CACHE_WORDS = 400_000
 _LONG = 64
 
@@ -108,20 +115,33 @@ class UnigramCounter:
 
 
 def sentencepiece_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
-    """(piece, score) of the ordinary pieces of a model file, and whether it falls back to bytes."""
+    """(piece, log-probability) of the ordinary pieces of a model file, and whether it falls back to bytes.
+
+    A file of unigrams has the log-probabilities; of any other kind only the order of the pieces is taken.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     ordinary = [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    total = sum(math.exp(min(score, 1.0)) for _, score in ordinary)
+    if not 0.5 < total < 1.5:  # no probabilities
+        ordinary = by_order([piece for piece, _ in ordinary])
     return ordinary, any(model.is_byte(i) for i in ids)
 
 
+def by_order(pieces: list[str], shift: float = SHIFT) -> list[tuple[str, float]]:
+    """Log-probability of each piece of a vocabulary that goes from frequent to rare."""
+    total = math.log(sum(1.0 / (r + shift) for r in range(1, len(pieces) + 1)))
+    return [(p, -math.log(r + shift) - total) for r, p in enumerate(pieces, 1)]
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens and score of each row of ``docs`` (doc_id, text), whole texts.
 
     The vocabulary is read from ``vocabulary_path`` where the tasks run. Null and empty texts have no tokens and score
-    0. Repeated rows and null doc_ids give rows of their own; an empty table gives none. Other columns are ignored.
+    0. Repeated rows and null doc_ids give rows of their own; an empty table gives none. Other columns are ignored. A text of any
+    length is counted as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
