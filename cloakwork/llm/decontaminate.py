@@ -6,9 +6,11 @@ shared window. Documents that share a fingerprint are extended: their full windo
 windows, word for word, and the hit words are the union of those windows. Items shorter than ``width`` words are one window of
 their own length and are looked up by it.
 
-Scale: documents are scanned once for fingerprints, which stay in the task (distinct ones per document) until they meet
-the test set. The test set's fingerprints are broadcast only if counted below ``BROADCAST_ROWS``; above that the same join shuffles.
-Windows are opened only for documents with a shared fingerprint. Items with equal windows are one row with a list.
+Scale: documents are scanned once for fingerprints, which go as (digest of the text, fingerprint), never with the text, and stay in
+the task (distinct ones per document) until they meet the test set. The test set's fingerprints are broadcast only if counted below
+``BROADCAST_ROWS``; above that the same join shuffles. Windows are opened only for texts with a shared fingerprint, equal texts once. Items
+with equal windows are one row with a list. Hits are written before they meet the documents, so that a text which a
+third of them repeat is a join key that can be split, or needs no shuffle at all where the hits are few.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 WIDTH = 13
 GRAM = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     A word is hit if it is inside an occurrence of a window of any item of ``benchmark`` (item_id, text). Null or
     wordless texts have no words and no windows; null item_ids are left out of the list, though their windows
     hit. Rows that repeat a doc_id or have none are judged each by its own text. An empty benchmark hits nothing.
-    Other columns are ignored.
+    Other columns are ignored. A text of any length is judged as a whole.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     size = F.least(F.size("ws"), F.lit(width))
@@ -95,12 +99,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     marks = items.select(F.explode(F.when(F.size("ws") < width, F.array(F.xxhash64("ws"))).otherwise(_with(F.col("ws"), lambda ws: _fingerprints(ws, width, [])))).alias("mark")).distinct()
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     found = _with(words(F.col("text")), lambda ws: _fingerprints(ws, width, short))
-    known = marks.count() <= BROADCAST_ROWS
-    if known:  # the texts stay where they are until they have met the test set
-        met = texts.select("text", F.explode(found).alias("mark")).join(F.broadcast(marks), "mark").select(F.md5("text").alias("digest"), "text")
-    else:
-        keys = texts.select(F.md5("text").alias("digest"), F.explode(found).alias("mark")).join(marks, "mark").select("digest").distinct()
-        met = texts.select(F.md5("text").alias("digest"), "text").join(keys, "digest", "left_semi")
+    keys = durable(texts.select(F.md5("text").alias("digest"), F.explode(found).alias("mark")).join(_small(marks), "mark").select("digest").distinct())
+    met = texts.select(F.md5("text").alias("digest"), "text").join(_small(keys), "digest", "left_semi")
     suspects = met.groupBy("digest").agg(F.first("text").alias("text"))  # equal texts are judged once
     # extension: whole windows, word for word
     tested = items.select("item", F.explode(_windows_of(F.col("ws"), size)).alias("w")).groupBy("w.n", "w.window").agg(F.collect_set("item").alias("items"))
@@ -110,7 +110,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
         hits = judged.select("digest").limit(0).select("digest", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     else:
         hits = opened.select("digest", "w.*").join(_small(tested), ["n", "window"]).groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
-        hits = hits.select("digest", _covered(F.col("spans")).alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+        hits = durable(hits.select("digest", _covered(F.col("spans")).alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items")))
+        if hits.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+            hits = F.broadcast(hits)
     n_hit = F.coalesce("n_hit", F.lit(0))
     return judged.join(hits, "digest", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")
@@ -123,9 +125,9 @@ def digest(out: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows; rows of one doc_id go together."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without the contaminated rows; rows of one doc_id go together, and so do those without one."""
+    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct().toDF("contaminated doc_id")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["contaminated doc_id"]), "left_anti")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
