@@ -236,11 +236,12 @@ def fit(samples: list[tuple[int, set[str]]]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list[tuple[int, set[str]]]:
-    """Label and words of at most ``labelled`` labelled rows of ``docs``, chosen by a hash of the id."""
+    """Label and different words of at most ``labelled`` labelled rows of ``docs``, chosen by a hash of the id, one for each id."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select("doc_id").distinct()
     chosen = marked.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # bounded, so fit to broadcast
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.min_by("text", F.struct(F.xxhash64("text"), "text"))  # of rows that repeat an id one teaches, so that ids bound rows
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +257,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
 
     ``labels`` has doc_id and toxic (0 or 1; others teach nothing; a document with both counts as 1). Learns from rows that are
     not held out. Null and wordless texts get the score of a text that resembles no landmark. Repeated rows and null
-    doc_ids give rows of their own; an empty table gives none. Other columns are ignored.
+    doc_ids give rows of their own; an empty table gives none. Other columns are ignored. A text of any length is read as a
+    whole, as its set of words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
