@@ -77,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_language_id": language.ORACLE_SQL,
         "op3_chat_formatting": chat.ORACLE_SQL,
+        "op4_substring_dedup": substring.ORACLE_SQL,
         "op7_decontamination": decontaminate.ORACLE_SQL,
     }

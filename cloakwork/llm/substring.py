@@ -243,6 +243,34 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
+def keep_first_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words left that no earlier passage repeats; untouched texts stay byte for byte, changed ones are joined by one space.
+
+    A column n_chars follows the text. Every row stays, with whatever other columns it has.
+    """
+    names = docs.columns
+    carried = {c: f"carried {n}" for n, c in enumerate(names) if c not in ("doc_id", "text", "n_chars")}
+    rows = docs.select("doc_id", "text", F.col("text").alias("carried text"), *(F.col(f"`{c}`").alias(new) for c, new in carried.items()))
+    out = remove_repeats(rows, carry=["carried text", *carried.values()])
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried text"))
+    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
+    return out.select(*(made[c].alias(c) if c in made else F.col(carried[c]).alias(c) for c in names))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r
+      FROM (SELECT doc_id, i, array_to_string(ws[i:i + {WIDTH - 1}], ' ') AS win FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {WIDTH - 1})) AS i FROM d))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WIDTH})) AS k FROM w WHERE r > 1),
+every AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS k FROM d),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM every ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def digest(out: DataFrame) -> DataFrame:
     """The contract's columns from :func:`remove_repeats`."""
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

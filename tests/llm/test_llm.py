@@ -82,6 +82,36 @@ def test_substring_against_windows(spark, docs, width):
     assert substring.remove_repeats(docs, width).where("doc_id is null").count() == 1
 
 
+CLASH = ("z", "spots", "_text", "n_words", "kept_text", "ats", "n_removed", "again", "carried 0", "m", "c", "lang_pred", "fp", "component_id", "fingerprint", "_kept", "_bad", "digest", "items", "contaminated")
+
+
+def test_stages_keep_columns_whose_names_clash(spark, tmp_path):
+    shared = prose(77, 80)
+    rows = [(1, shared + " " + prose(5, 30)), (2, prose(6, 30) + "  " + shared), (3, None), (4, ""), (5, prose(8, 40)), (5, prose(8, 40)), (None, shared), (7, prose(8, 40))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit(0).alias("n_chars"), *(F.lit(n).alias(c) for n, c in enumerate(CLASH)))
+    benchmark = spark.createDataFrame([(1, prose(5, 30))], "item_id long, text string")
+    for stage in (
+        lambda d: language.keep_identified(d, fold("doc_id", 3) == 1),
+        simhash.keep_one_of_each_group,
+        substring.keep_first_passages,
+        lambda d: decontaminate.drop_contaminated(d, benchmark),
+    ):
+        out = stage(table)
+        assert out.columns == table.columns
+        got = out.collect()
+        assert got and all(all(r[c] == n for n, c in enumerate(CLASH)) for r in got)
+        assert stage(table.limit(0)).count() == 0
+    cut = {r["doc_id"]: r for r in substring.keep_first_passages(table).collect()}
+    assert cut[None]["text"] == shared and cut[1]["text"] == prose(5, 30) and cut[2]["text"] == prose(6, 30) and cut[2]["n_chars"] == len(prose(6, 30))
+
+
+def test_substring_of_a_passage_in_a_third_of_all_documents(spark):
+    passage = prose(501, 60)
+    rows = [(n, prose(10_000 + n, 15) + " " + (passage if n % 3 == 0 else prose(30_000 + n, 45)) + " " + prose(60_000 + n, 9)) for n in range(5000)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digest(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))).collect()}
+    assert got == substring.brute_force(rows)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -108,6 +138,27 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def best_fit_decreasing(lengths, capacity):
+    """Piece by piece: the number of sequences."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        best = min((r for r in rooms if r >= n), default=None)
+        if best is None:
+            rooms.append(capacity - n)
+        else:
+            rooms.remove(best)
+            rooms.append(best - n)
+    return len(rooms)
+
+
+def test_plan_needs_as_many_sequences_as_piece_by_piece():
+    rnd = random.Random(6)
+    for _ in range(60):
+        counts = {rnd.randint(1, 64): rnd.randint(1, 30) for _ in range(rnd.randint(1, 15))}
+        used = {first + k for _, low, high, first, _ in packing.plan(counts, 64) for k in range(high - low)}
+        assert len(used) == best_fit_decreasing([n for n, c in counts.items() for _ in range(c)], 64)
+
+
 def test_plan_places_every_piece_once():
     rnd = random.Random(4)
     for _ in range(30):
@@ -136,6 +187,12 @@ def test_decontamination_against_windows(spark, docs):
                     names.add(str(name))
         r = got[d, len(ws)]
         assert (r["n_hit"], r["items"], r["contaminated"]) == (len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(ws))
+    want = sorted(map(str, decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()))
+    old, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0  # every join shuffles
+    try:
+        assert sorted(map(str, decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect())) == want
+    finally:
+        decontaminate.BROADCAST_ROWS = old
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, empty).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), empty).count() == 0
@@ -177,6 +234,60 @@ def test_language(spark, docs):
     assert language.keep_identified(docs, fold("doc_id", 3) == 1).columns == docs.columns
 
 
+def brute_profiles(rows):
+    """Cavnar and Trenkle's lists by plain counting: (counts by text, profiles by language)."""
+    def count(text):
+        said = " " + " ".join(__import__("re").findall(r"[^\W\d_]+", (text or "").lower())) + " "
+        out = Counter()
+        for n in (1, 2, 3):
+            for at in range(len(said) - n + 1 if said.strip() else 0):
+                gram = said[at : at + n]
+                if gram != " " and not (n == 3 and gram[1] == " "):
+                    out[gram] += 1
+        return out
+
+    order = lambda c, most: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:most]]
+    totals = {}
+    for d, text, lang in rows:
+        if lang is not None and zlib.crc32(("" if d is None else str(d)).encode()) % 3 != 1:
+            totals.setdefault(lang, Counter()).update(count(text))
+    profiles = {lang: order(c, language.PROFILE) for lang, c in totals.items() if c}
+
+    def judge(text):
+        own = order(count(text), language.TOP)
+        if not own or not profiles:
+            return "und", 0.0
+        apart = {lang: sum(abs(p.index(g) - n) if g in p else language.PROFILE for n, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        return best, 1 - apart[best] / (language.PROFILE * len(own))
+
+    return judge
+
+
+@pytest.mark.parametrize("together", [1000, 2])
+def test_language_against_plain_lists(spark, together):
+    rnd = random.Random(3)
+    letters = ["abcdeé ", "bcdefß ", "xyzabc ", "pqrstü ", "日本語a "]
+    rows = [(n, "".join(rnd.choice(letters[n % 5]) for _ in range(rnd.randint(0, 90))) + rnd.choice(["", "1 2_3", "İ!"]), f"l{n % 5}" if n % 7 else None) for n in range(60)]
+    rows += [(None, "abc abc", "l9"), (3, None, "l1"), (3, None, "l1"), (80, "", "l0"), (81, "abcd " * 3000, "l0")]
+    judge = brute_profiles(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("clash"))
+    got = language.identify(table, fold("doc_id", 3) == 1, together=together)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    want = sorted((str(d), *judge(t)) for d, t, _ in rows)
+    assert [(a, b) for a, b, _ in sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in got.collect())] == [(a, b) for a, b, _ in want]
+    assert np.allclose([r[2] for r in sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in got.collect())], [r[2] for r in want])
+    kept = language.keep_identified(table, fold("doc_id", 3) == 1)
+    assert kept.columns == table.columns and kept.where("doc_id = 80 or text is null").count() == 0 and kept.where("doc_id = 81").count() == 1
+
+
+def test_token_counts_by_order_are_probabilities(spark):
+    pieces, _ = token_counts.sentencepiece_pieces(tokenizer_file("piece_bpe_32k.model"))
+    assert abs(sum(math.exp(s) for _, s in pieces) - 1) < 1e-9 and all(a[1] > b[1] for a, b in zip(pieces, pieces[1:]))
+    counter = token_counts.UnigramCounter(pieces, True)
+    assert counter.count("hello world this is a test of tokens")[0] <= 9 and counter.count("Internationalization matters")[0] <= 4
+
+
 def test_token_counts_against_unigram_tokenizer(spark, docs):
     from tokenizers import Tokenizer, models
 
@@ -384,6 +495,22 @@ def test_toxicity(spark, docs):
     assert len(odd) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in odd)
     assert toxicity.classify(docs, marks.limit(0), fold("doc_id", 3) == 1).where("predicted = 1").count() == 0
     assert toxicity.classify(docs.limit(0), marks, fold("doc_id", 3) == 1).count() == 0
+    repeated = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    assert len(toxicity.sample(repeated, marks, labelled=2)) == 2
+
+
+def test_toxicity_score_is_the_machine_over_pooled_kernels(spark):
+    rnd = random.Random(12)
+    samples = [(n % 3 == 0, {*prose(n, 12).split(), *(["gronkle" + rnd.choice(["", "d", "s"])] * (n % 3 == 0))}) for n in range(90)]
+    model = toxicity.fit([(int(label), ws) for label, ws in samples])
+    table = toxicity.WordTable(model)
+    for _, ws in samples[:20]:
+        table.learn([ws])
+        shares = np.array([[min(1.0, brute_kernel(toxicity.START + w, toxicity.START + mark) / brute_kernel(toxicity.START + mark, toxicity.START + mark)) for mark in model.landmarks] for w in ws])
+        near = np.maximum(shares - toxicity.NEAR, 0).sum(axis=0) / (1 - toxicity.NEAR)
+        pooled = np.concatenate([shares.max(axis=0) ** toxicity.POWER, np.log1p(near), np.log1p(near * 100 / (len(ws) + toxicity.SHARE_PRIOR))])
+        want = 1 / (1 + math.exp(-(model.slope * (pooled @ model.weights + model.bias) + model.offset)))
+        assert abs(float(model.probability(table.pooled(ws)[None, :])[0]) - want) < 1e-3
 
 
 def test_toxicity_by_stems_that_clean_texts_hold_too():
