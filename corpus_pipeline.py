@@ -2,18 +2,19 @@
 
 Every stage is written as Parquet in the shared checkpoint folder and read again as the next one's input, so a lost
 executor repeats work of one stage only.
+
+Every stage takes an empty table (and gives one), null and repeated doc_ids, null and empty texts, texts of any length, and columns beside
+those of ``documents``, whatever their names; all but the last return the columns they got.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cloakwork.llm import decontaminate, language, packing, simhash, substring
-from cloakwork.llm.common import fold, read_table
+from cloakwork.llm.common import fold, read_table, shared_folder
 from cloakwork.llm.queries import tokenizer_file
 
 #: Byte-identical rows for run() cannot be had in SQL (profiles, hashes and a tokenizer decide); tests use brute force.
@@ -21,31 +22,30 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the labelled ones; texts without letters or like no profile go."""
+    """Documents in one of the languages of the labelled ones; texts that are null, have no letters or are like no profile go. Each row is
+    judged by its text alone, repeated rows alike."""
     return language.keep_identified(docs, fold("doc_id", 3) == 1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id. Wordless texts, null ones too, are near copies of each
+    other. Of rows that repeat a doc_id one stays; a row without one stays if its group has no other id."""
     return simhash.keep_one_of_each_group(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words left that no earlier passage repeats; untouched texts stay as they are."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = substring.remove_repeats(docs.withColumn("_text", F.col("text")), carry=[*rest, "_text"])
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_text"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Every document with the words left that no earlier passage repeats; untouched texts, null ones too, stay as they are. Rows that repeat a
+    doc_id are one document; a null doc_id comes before all others."""
+    return substring.keep_first_passages(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule clears of the benchmark."""
+    """Documents that the contamination rule clears of the benchmark. Null and wordless texts are clear; rows of one doc_id go together."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the training sequences."""
+    """The pieces of all documents and their places in the training sequences. A null or empty text is its end token alone."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
@@ -60,8 +60,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last one's rows."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cloakwork-pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         place = f"{folder}/{number}-{name}"
