@@ -143,8 +143,12 @@ def search(
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = rows.withColumn("place", place).where(F.col("place") <= k + 1)  # no query needs more of equal vectors
     entries = durable(few.groupBy("dim", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("members")))
-    lot = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("embedding"), "embedding"))
-    chosen = entries.select("dim", "embedding").withColumn("lot", lot).where(F.col("lot") <= pivots).select("dim", "embedding").collect()
+    sizes = {r["dim"]: r["count"] for r in entries.groupBy("dim").count().collect()}
+    lot = F.pmod(F.xxhash64("embedding"), F.lit(1 << 40))
+    chosen = []
+    for dim, size in sizes.items():  # those of smallest hash, out of the few whose hash is small at all
+        few = entries.where((F.col("dim") == dim) & (lot <= min(1 << 40, (1 << 40) * 8 * pivots // size)))
+        chosen += few.orderBy(lot, "embedding").limit(pivots).select("dim", "embedding").collect()
     by_dim: dict[int, list] = {}
     for r in chosen:  # at most `pivots` vectors of each dimension
         by_dim.setdefault(r["dim"], []).append(r["embedding"])
