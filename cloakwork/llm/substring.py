@@ -1,21 +1,23 @@
 """Removal of repeated long passages by De Bruijn compaction over word windows.
 
-The graph: a window of ``width`` consecutive words is an edge between two (width-1)-word nodes. Edges are kept
-compacted from the start: consecutive windows that share their minimizer (the smallest hash of the ``grain``-word
-grams inside the window) form one path, about a seventh as many rows as windows. Equal windows have equal
-minimizers, so only paths that meet under one minimizer can repeat anything:
+The graph: a window of ``width`` consecutive words is an edge between two (width-1)-word nodes. A table of all edges would be a
+row for every word of the corpus, so edges are kept compacted from the start, as assemblers of genomes do it: consecutive windows that
+share their minimizer (the smallest hash of the ``grain``-word grams inside the window) form one path, about a seventh as many rows.
+Equal windows have equal minimizers, so only paths that meet under one minimizer can repeat anything:
 
 1. Paths are shuffled by minimizer. A path whose whole word content came earlier is nonbranching there and
-   collapses onto its first occurrence: all of its windows are repeats. Copies within a batch of documents collapse
-   before the shuffle.
+   collapses onto an earlier occurrence: all of its windows are repeats. Copies within a task collapse before the shuffle.
 2. First occurrences that meet *other* content under their minimizer (the graph branches) are opened into windows by
-   joining their source coordinates back to the texts, and every window is ranked by its source coordinate.
+   joining their source coordinates back to the texts; a window is known by a digest of its words' bytes, and the earliest stays.
    The earliest occurrence of any window lies in the first occurrence of its path's content, so nothing is missed.
-3. The coordinates of all repeated windows return to their documents, which drop the covered words.
-
-Scale: one shuffle of 32-byte path rows, one of opened windows, two of zstd-compressed texts by doc_id. No step
-gathers more than one document's coordinates. Copies collapse in step 1, so a passage shared by a
-third of all documents opens only at its rims. Equality is by hash: (minimizer, content) 128 bits, windows 128 bits.
+3. Collapsed paths are verified at their source coordinates: the earlier occurrence's words are read from its document, and what is to go must
+   have the same words, by a 128-bit digest of their bytes that has nothing to do with the hashes they met by.
+4. The coordinates of all repeated windows return to their documents, which drop the covered words.
+
+Scale: one shuffle of 48-byte path rows, one of opened windows, two of zstd-compressed texts by doc_id. No step
+gathers more than one document's coordinates. A task names the first occurrence of a path or window that it meets and marks the
+others itself (in a table of its latest ``_SEEN``), so a passage that a third of all documents share is a row for each task under its key, not
+one for each document. A minimizer with very many different contexts is still looked at in one task, which spills.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, shuffle_parts, texts
+from .common import durable, map_batches, shuffle_parts, texts
 
 WIDTH = 20
 GRAIN = 6
 NULL_ID = -(1 << 63)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CACHE_WORDS = 400_000
+_SEEN = 500_000
 
 
 class _WordHashes(dict):
@@ -109,21 +112,26 @@ def paths(hashes: np.ndarray, width: int, rolling: _Rolling, grain: int = GRAIN)
     return least[start], content, start, count
 
 
-def repeats(m: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Which paths have the content of a path that starts earlier among these."""
-    order = np.lexsort((p, d, c, m))
-    m, c, d, p = m[order], c[order], d[order], p[order]
-    same = np.zeros(len(m), dtype=bool)
-    same[1:] = (m[1:] == m[:-1]) & (c[1:] == c[:-1])
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(m))))
-    out = np.zeros(len(m), dtype=bool)
-    out[order] = same & ((d != d[first]) | (p >> 8 != p[first] >> 8))
-    return out
+class _Firsts(dict):
+    """Earliest coordinate of each key met lately."""
+
+    def earlier(self, key, spot: tuple[int, int]) -> tuple[int, int] | None:  # noqa: ANN001
+        """A coordinate before ``spot`` where the key was met; None if this is the earliest, which is then remembered."""
+        known = self.get(key)
+        if known is not None and known < spot:
+            return known
+        if len(self) >= _SEEN:
+            self.clear()
+        self[key] = spot
+        return None
+
+
+FOUND = "m long, c long, doc_id long, pos long, first_doc long, first_pos long"
 
 
 def _find_paths(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rolling = _WordHashes(), _Rolling(_ODD[0])
+        known, rolling, firsts = _WordHashes(), _Rolling(_ODD[0]), _Firsts()
         for batch in batches:
             parts = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
@@ -133,14 +141,37 @@ def _find_paths(width: int):
                     parts.append((least, content, np.full(len(start), doc, dtype=np.int64), start << 8 | count))
             if parts:
                 m, c, d, p = (np.concatenate(x) for x in zip(*parts))
-                again = repeats(m, c, d, p)
+                # rows that repeat a doc_id are one document, where an equal start is no earlier one
+                before = [firsts.earlier(key, spot) for key, spot in zip(c.tolist(), zip(d.tolist(), p.tolist()))]
+                again = np.array([x is not None for x in before])
                 # they have no more to find: a key of their own spreads them over all tasks
                 m[again], c[again] = _mix(d[again].view(np.uint64) ^ m[again]), _mix(p[again].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p), pa.array(again)], names=["m", "c", "doc_id", "pos", "again"])
+                first = [pa.array([None if x is None else x[k] for x in before], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p), *first], names=["m", "c", "doc_id", "pos", "first_doc", "first_pos"])
 
     return run
 
 
+class _Words:
+    """The words of a text, and digests of any run of them by their bytes."""
+
+    def __init__(self, text: bytes | None) -> None:
+        self.words = text.split() if text else []
+        self.joined = b" ".join(self.words)
+        self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words)) + 1)]).tolist()
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def digest(self, start: int, end: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.joined[self.at[start] : self.at[end] - 1])
+
+    def path(self, pos: int, width: int) -> bytes | None:
+        """Digest of a path's words; None if the text has no such place."""
+        end = (pos >> 8) + (pos & 255) + width - 1
+        return self.digest(pos >> 8, end) if end <= len(self.words) else None
+
+
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -149,24 +180,47 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_paths(width: int):
+    """Windows of the opened paths: digest (two longs), place, and whether the task itself has met an earlier one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rolling = _WordHashes(), [_Rolling(odd) for odd in _ODD]
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, firsts = zstandard.ZstdDecompressor().decompress, _Firsts()
         for batch in batches:
-            parts = []
+            keys, docs, places = [], [], []
             for doc, z, spots in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), batch.column("spots").to_pylist()):
                 if z is None:
                     continue
-                hashes = known.of(unpack(z).split())
-                spots = np.array(spots, dtype=np.int64)
-                start, count = spots >> 8, spots & 255
-                at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                at = at[at <= len(hashes) - width]
-                if len(at):
-                    keys = [_mix(r.runs(r.sums(hashes), at, width)).view(np.int64) for r in rolling]
-                    parts.append((*keys, np.full(len(at), doc, dtype=np.int64), at))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["w1", "w2", "doc_id", "at"])
+                words = _Words(unpack(z))
+                last = len(words) - width
+                for pos in spots:
+                    for at in range(pos >> 8, min((pos >> 8) + (pos & 255) - 1, last) + 1):
+                        keys.append(words.digest(at, at + width))
+                        docs.append(doc)
+                        places.append(at)
+            if keys:
+                again = np.array([firsts.earlier(key, spot) is not None for key, spot in zip(keys, zip(docs, places))])
+                w = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2).copy()
+                w[again, 1] = np.array(docs)[again] ^ np.array(places)[again]  # spread, as they have no more to find
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(again)], names=["w1", "w2", "doc_id", "at", "again"])
+
+    return run
+
+
+def _read_paths(width: int):
+    """Digests of the words at the coordinates that others collapsed onto."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            docs, places, said = [], [], []
+            for doc, z, spots in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), batch.column("spots").to_pylist()):
+                words = _Words(None if z is None else unpack(z))
+                for pos in spots:
+                    digest = words.path(pos, width)
+                    if digest is not None:
+                        docs.append(doc)
+                        places.append(pos)
+                        said.append(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(said, pa.binary())], names=["first_doc", "first_pos", "said"])
 
     return run
 
@@ -192,6 +246,9 @@ def _remove(width: int, rest: list[str]):
             for z, spots, ats in zip(*(batch.column(c).to_pylist() for c in ("z", "spots", "ats"))):
                 text = None if z is None else unpack(z)
                 words = text.split() if text else []
+                if spots:
+                    own = _Words(text)
+                    spots = [s["pos"] for s in spots if own.path(s["pos"], width) in s["said"]]
                 gone = covered(len(words), spots, ats, width) if words else None
                 n_words.append(len(words))
                 n_removed.append(0 if gone is None else int(gone.sum()))
@@ -218,28 +275,32 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
         raise ValueError("width must be between 2 and 199")
     rest = list(carry or [])
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", *rest)
-    found = map_batches(docs.select("doc_id", "text"), _find_paths(width), "m long, c long, doc_id long, pos long, again boolean")
-    meet = Window.partitionBy("m")
+    found = map_batches(docs.select("doc_id", "text"), _find_paths(width), FOUND)
+    meet, alike = Window.partitionBy("m"), Window.partitionBy("m", "c").orderBy("doc_id", "pos")
+    spot = F.struct("doc_id", "pos")
     met = (
-        found.withColumn("run", F.rank().over(Window.partitionBy("m", "c").orderBy("doc_id", "pos")))
+        found.withColumn("first", F.when(F.rank().over(alike) > 1, F.first(spot).over(alike)))
         .withColumn("branches", F.min("c").over(meet) != F.max("c").over(meet))
-        .where("again or run > 1 or branches")
-        .select("doc_id", "pos", (F.col("again") | (F.col("run") > 1)).alias("again"))
-    )
-    spots = met.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("again"), F.col("pos"))).alias("spots"), F.collect_list(F.when(~F.col("again"), F.col("pos"))).alias("open")
+        .select("doc_id", "pos", F.coalesce("first_doc", "first.doc_id").alias("first_doc"), F.coalesce("first_pos", "first.pos").alias("first_pos"), "branches")
     )
+    met = durable(met.where("branches or first_doc is not null"))
     parts = shuffle_parts(docs.sparkSession)
     schema = docs.schema
     packed = map_batches(docs, _squeeze, "doc_id long not null, z binary" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest)).repartition(parts, "doc_id")
-    opening = spots.where(F.size("open") > 0).select("doc_id", F.col("open").alias("spots"))
-    opened = packed.select("doc_id", "z").join(opening, "doc_id").mapInArrow(_open_paths(width), "w1 long, w2 long, doc_id long, at long")
-    ranked = opened.withColumn("r", F.rank().over(Window.partitionBy("w1", "w2").orderBy("doc_id", "at"))).where("r > 1")
+    sources = packed.select("doc_id", "z")
+    # collapsed paths: their source's words, read where they stand
+    collapsed = met.where("first_doc is not null").drop("branches")
+    asked = collapsed.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_set("first_pos").alias("spots"))
+    read = map_batches(sources.join(asked, "doc_id"), _read_paths(width), "first_doc long, first_pos long, said binary")
+    read = read.groupBy("first_doc", "first_pos").agg(F.collect_set("said").alias("said"))  # one, unless rows repeat the doc_id with other texts
+    spots = collapsed.join(read, ["first_doc", "first_pos"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "said")).alias("spots"))
+    # first occurrences where the graph branches: their windows
+    opening = met.where("first_doc is null").groupBy("doc_id").agg(F.collect_list("pos").alias("spots"))
+    opened = map_batches(sources.join(opening, "doc_id"), _open_paths(width), "w1 long, w2 long, doc_id long, at long, again boolean")
+    ranked = opened.withColumn("r", F.rank().over(Window.partitionBy("w1", "w2").orderBy("doc_id", "at"))).where("r > 1 or again")
     ats = ranked.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    gone = spots.where(F.size("spots") > 0).select("doc_id", "spots").join(ats, "doc_id", "full")
-    out = packed.join(gone, "doc_id", "left").mapInArrow(
-        _remove(width, rest), "doc_id long, kept_text string, n_words long, n_removed long" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest)
-    )
+    out = packed.join(spots.join(ats, "doc_id", "full"), "doc_id", "left")
+    out = map_batches(out, _remove(width, rest), "doc_id long, kept_text string, n_words long, n_removed long" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
