@@ -292,7 +292,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
     collapsed = met.where("first_doc is not null").drop("branches")
     asked = collapsed.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_set("first_pos").alias("spots"))
     read = map_batches(sources.join(asked, "doc_id"), _read_paths(width), "first_doc long, first_pos long, said binary")
-    read = read.groupBy("first_doc", "first_pos").agg(F.collect_set("said").alias("said"))  # one, unless rows repeat the doc_id with other texts
+    # one, unless rows repeat the doc_id with other texts; written, so that the join on a source that very many share can be split
+    read = durable(read.groupBy("first_doc", "first_pos").agg(F.collect_set("said").alias("said")))
     spots = collapsed.join(read, ["first_doc", "first_pos"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "said")).alias("spots"))
     # first occurrences where the graph branches: their windows
     opening = met.where("first_doc is null").groupBy("doc_id").agg(F.collect_list("pos").alias("spots"))
