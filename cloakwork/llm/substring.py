@@ -238,7 +238,7 @@ def covered(n: int, spots: list[int] | None, ats: list[int] | None, width: int)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _remove(width: int, rest: list[str]):
+def _remove(width: int, rest: list[str], as_it_was: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -248,13 +248,13 @@ def _remove(width: int, rest: list[str]):
                 words = text.split() if text else []
                 if spots:
                     own = _Words(text)
-                    spots = [s["pos"] for s in spots if own.path(s["pos"], width) in s["said"]]
+                    spots = [s["pos"] for s in spots if own.path(s["pos"], width) == s["said"]]
                 gone = covered(len(words), spots, ats, width) if words else None
                 n_words.append(len(words))
                 n_removed.append(0 if gone is None else int(gone.sum()))
                 if gone is not None:
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
-                kept.append(b" ".join(words))
+                kept.append(text if as_it_was and not n_removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *(batch.column(c) for c in rest)],
                 names=["doc_id", "kept_text", "n_words", "n_removed", *rest],
@@ -263,13 +263,14 @@ def _remove(width: int, rest: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None = None, as_it_was: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, kept_text, n_words, n_removed, and the columns named in ``carry``.
 
     A word goes if it is in a window of ``width`` words whose words also start earlier: in a smaller doc_id, or in
     the same document before. Kept words are joined by one space; a null text has no words, an empty table no rows.
     A null doc_id counts as the smallest. Rows that repeat a doc_id are one document: a window there is not
-    earlier than itself, and what goes goes by position in each of the rows. Other columns are ignored.
+    earlier than itself, and what goes goes by position in each of the rows. Other columns are ignored. With ``as_it_was`` a text that
+    loses nothing, a null one too, is its own kept_text.
     """
     if not 1 < width < 200:
         raise ValueError("width must be between 2 and 199")
@@ -287,21 +288,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
     parts = shuffle_parts(docs.sparkSession)
     schema = docs.schema
     packed = map_batches(docs, _squeeze, "doc_id long not null, z binary" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest)).repartition(parts, "doc_id")
-    sources = packed.select("doc_id", "z")
-    # collapsed paths: their source's words, read where they stand
+    # collapsed paths: their source's words, read where they stand; a join that can be split, as very many may share a source.
+    # The compressed texts go whole into every join, so that one exchange serves all
     collapsed = met.where("first_doc is not null").drop("branches")
     asked = collapsed.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_set("first_pos").alias("spots"))
-    read = map_batches(sources.join(asked, "doc_id"), _read_paths(width), "first_doc long, first_pos long, said binary")
-    # one, unless rows repeat the doc_id with other texts; written, so that the join on a source that very many share can be split
-    read = durable(read.groupBy("first_doc", "first_pos").agg(F.collect_set("said").alias("said")))
+    read = map_batches(packed.join(asked, "doc_id"), _read_paths(width), "first_doc long, first_pos long, said binary")
     spots = collapsed.join(read, ["first_doc", "first_pos"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "said")).alias("spots"))
     # first occurrences where the graph branches: their windows
     opening = met.where("first_doc is null").groupBy("doc_id").agg(F.collect_list("pos").alias("spots"))
-    opened = map_batches(sources.join(opening, "doc_id"), _open_paths(width), "w1 long, w2 long, doc_id long, at long, again boolean")
+    opened = map_batches(packed.join(opening, "doc_id"), _open_paths(width), "w1 long, w2 long, doc_id long, at long, again boolean")
     ranked = opened.withColumn("r", F.rank().over(Window.partitionBy("w1", "w2").orderBy("doc_id", "at"))).where("r > 1 or again")
     ats = ranked.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
     out = packed.join(spots.join(ats, "doc_id", "full"), "doc_id", "left")
-    out = map_batches(out, _remove(width, rest), "doc_id long, kept_text string, n_words long, n_removed long" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest))
+    out = map_batches(out, _remove(width, rest, as_it_was), "doc_id long, kept_text string, n_words long, n_removed long" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
@@ -312,10 +311,9 @@ def keep_first_passages(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     carried = {c: f"carried {n}" for n, c in enumerate(names) if c not in ("doc_id", "text", "n_chars")}
-    rows = docs.select("doc_id", "text", F.col("text").alias("carried text"), *(F.col(f"`{c}`").alias(new) for c, new in carried.items()))
-    out = remove_repeats(rows, carry=["carried text", *carried.values()])
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried text"))
-    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
+    rows = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(new) for c, new in carried.items()))
+    out = remove_repeats(rows, carry=list(carried.values()), as_it_was=True)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return out.select(*(made[c].alias(c) if c in made else F.col(carried[c]).alias(c) for c in names))
 
 
