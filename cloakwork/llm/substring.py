@@ -5,7 +5,7 @@ row for every word of the corpus, so edges are kept compacted from the start, as
 share their minimizer (the smallest hash of the ``grain``-word grams inside the window) form one path, about a seventh as many rows.
 Equal windows have equal minimizers, so only paths that meet under one minimizer can repeat anything:
 
-1. Paths are shuffled by minimizer. A path whose whole word content came earlier is nonbranching there and
+1. Paths are shuffled by minimizer, those of crowded ones by minimizer and content. A path whose whole word content came earlier is nonbranching there and
    collapses onto an earlier occurrence: all of its windows are repeats. Copies within a task collapse before the shuffle.
 2. First occurrences that meet *other* content under their minimizer (the graph branches) are opened into windows by
    joining their source coordinates back to the texts; a window is known by a digest of its words' bytes, and the earliest stays.
@@ -17,7 +17,9 @@ Equal windows have equal minimizers, so only paths that meet under one minimizer
 Scale: one shuffle of 48-byte path rows, one of opened windows, two of zstd-compressed texts by doc_id. No step
 gathers more than one document's coordinates. A task names the first occurrence of a path or window that it meets and marks the
 others itself (in a table of its latest ``_SEEN``), so a passage that a third of all documents share is a row for each task under its key, not
-one for each document. A minimizer with very many different contexts is still looked at in one task, which spills.
+one for each document. Minimizers with very many different contents (the edges of such a passage, where each document goes on in
+its own way) are looked for in a sample of the documents. There they are seen to branch, so their rows need only meet by content and are dealt
+by it. The sample decides where rows meet, never what goes: one that it overlooks meets in one task, which spills.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ NULL_ID = -(1 << 63)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CACHE_WORDS = 400_000
 _SEEN = 500_000
+#: One document in so many is looked at for crowded minimizers, so many contents make one, and so many are dealt by content at most.
+_LOOK, _CROWD, _CROWDS = 64, 64, 10_000
 
 
 class _WordHashes(dict):
@@ -263,6 +267,13 @@ def _remove(width: int, rest: list[str], as_it_was: bool):
     return run
 
 
+def crowded(docs: DataFrame, width: int) -> DataFrame:
+    """(m, crowd): minimizers that branch into ``_CROWD`` contents or more within a sample of ``docs``, the ``_CROWDS`` most crowded at most."""
+    part = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(_LOOK)) == 0)
+    contents = map_batches(part, _find_paths(width), FOUND).where("first_doc is null").select("m", "c").distinct()
+    return contents.groupBy("m").agg(F.count("c").alias("crowd")).where(F.col("crowd") >= max(2, _CROWD)).orderBy(F.desc("crowd"), "m").limit(_CROWDS)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None = None, as_it_was: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, kept_text, n_words, n_removed, and the columns named in ``carry``.
 
@@ -277,11 +288,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
     rest = list(carry or [])
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", *rest)
     found = map_batches(docs.select("doc_id", "text"), _find_paths(width), FOUND)
-    meet, alike = Window.partitionBy("m"), Window.partitionBy("m", "c").orderBy("doc_id", "pos")
+    found = found.join(F.broadcast(crowded(docs, width)), "m", "left").withColumn("k", F.when(F.col("crowd").isNull(), F.col("m")).otherwise(F.xxhash64("m", "c")))
+    meet, alike = Window.partitionBy("k"), Window.partitionBy("k", "c").orderBy("doc_id", "pos")
     spot = F.struct("doc_id", "pos")
     met = (
         found.withColumn("first", F.when(F.rank().over(alike) > 1, F.first(spot).over(alike)))
-        .withColumn("branches", F.min("c").over(meet) != F.max("c").over(meet))
+        .withColumn("branches", F.col("crowd").isNotNull() | (F.min("c").over(meet) != F.max("c").over(meet)))
         .select("doc_id", "pos", F.coalesce("first_doc", "first.doc_id").alias("first_doc"), F.coalesce("first_pos", "first.pos").alias("first_pos"), "branches")
     )
     met = durable(met.where("branches or first_doc is not null"))

@@ -112,6 +112,22 @@ def test_substring_of_a_passage_in_a_third_of_all_documents(spark):
     assert got == substring.brute_force(rows)
 
 
+def test_substring_where_crowded_minimizers_are_dealt_by_content(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring, "_LOOK", 3)
+    monkeypatch.setattr(substring, "_CROWD", 20)
+    passage, shared = prose(501, 60), prose(502, 24)
+    rows = [(n, " ".join((prose(10_000 + n % 250, 15), passage if n % 3 else shared, prose(60_000 + n, 9)))) for n in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    crowds = substring.crowded(table, 20).collect()
+    assert crowds and all(r["crowd"] >= 20 for r in crowds)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digest(substring.remove_repeats(table)).collect()}
+    assert got == substring.brute_force(rows)
+    monkeypatch.setattr(substring, "_CROWDS", 1)  # the others go the usual way
+    again = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digest(substring.remove_repeats(table)).collect()}
+    assert again == got
+    assert substring.crowded(docs.limit(0), 20).count() == 0
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
