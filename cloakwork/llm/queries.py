@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, language_model, neighbours, packing, simhash, substring, token_counts, toxicity
+from . import chat, decontaminate, language, language_model, neighbours, packing, periodic, quality, simhash, spelling, substring, token_counts, toxicity
 from .common import fold, read_table
 
 
@@ -60,6 +61,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def planted_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with the contract's periodic end, if the id's hash calls for one; rows without an id stay as they are."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    at = g % n
+    period = 1 + (n - at) // (3 + g % 8)
+    return words[:at] + (words[at : at + period] * (-(-(n - at) // period)))[: n - at]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(read_table(spark, sf_dir, "documents"), change=planted_repeats)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fold("doc_id", 5) == 0)
+
+
+def planted_misspelling(doc_id: int | None, word: str) -> str:
+    """The word without one code point, if the hash of the id and the word calls for it; rows without an id stay as they are."""
+    h = zlib.crc32(f"{doc_id}:{word}".encode()) if doc_id is not None else 1
+    return word if h % 199 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read_table(spark, sf_dir, "documents"), change=planted_misspelling)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -72,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_quality": op12_quality,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -81,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_formatting": chat.ORACLE_SQL,
         "op4_substring_dedup": substring.ORACLE_SQL,
         "op7_decontamination": decontaminate.ORACLE_SQL,
+        "op13_spelling_variants": spelling.ORACLE_SQL,
     }
