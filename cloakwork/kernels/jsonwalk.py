@@ -2,7 +2,8 @@
 
 A request is scanned once into a tree that remembers where each value lies in the source. Extraction lists
 the JSON string literals that hold user text; reassembly splices new literals into the source, so everything else,
-number literals and spacing included, stays byte for byte.
+number literals and spacing included, stays byte for byte. Of equal keys of an object the last counts; the members that it
+shadows are cut out of the source, as another parser might read them.
 """
 
 from __future__ import annotations
@@ -39,12 +40,15 @@ class Node(NamedTuple):
     items: list  # of (key, Node) or Node
 
 
-def parse(text: str) -> Node:
-    """The tree of a JSON text, without recursion; anything but one JSON value is an error."""
+def parse(text: str, cuts: list[tuple[int, int]] | None = None) -> Node:
+    """The tree of a JSON text, without recursion; anything but one JSON value is an error.
+
+    Shadowed members are not in the tree; ``cuts`` gets their places, from their key to the next one.
+    """
     at, stack, root = _SPACE.match(text).end(), [], None
     while True:
         if at < len(text) and text[at] in "{[":
-            stack.append(("object" if text[at] == "{" else "array", at, [], None))
+            stack.append(("object" if text[at] == "{" else "array", at, [], None, []))
             at = _SPACE.match(text, at + 1).end()
             closing = "}" if stack[-1][0] == "object" else "]"
             if at < len(text) and text[at] != closing:
@@ -62,17 +66,17 @@ def parse(text: str) -> Node:
                 if not stack:
                     root = node
                     break
-                kind, start, items, key = stack[-1]
+                kind, start, items, key, _ = stack[-1]
                 items.append((key, node) if kind == "object" else node)
                 at = _SPACE.match(text, at).end()
                 if at < len(text) and text[at] == ",":
                     at = _key(text, _SPACE.match(text, at + 1).end(), stack)
                     break
-            kind, start, items, _ = stack.pop()
+            kind, start, items, _, keys = stack.pop()
             if at >= len(text) or text[at] != ("}" if kind == "object" else "]"):
                 raise Bad("invalid JSON")
             at += 1
-            node = Node(kind, start, at, items)
+            node = Node(kind, start, at, _last(items, keys, cuts) if kind == "object" else items)
         if root is not None:
             break
     if _SPACE.match(text, at).end() != len(text):
@@ -80,16 +84,27 @@ def parse(text: str) -> Node:
     return root
 
 
+def _last(items: list[tuple[str, Node]], keys: list[int], cuts: list[tuple[int, int]] | None) -> list[tuple[str, Node]]:
+    """The members that no later one of the same key shadows; ``keys`` has the places of the keys."""
+    last = {key: n for n, (key, _) in enumerate(items)}
+    if len(last) == len(items):
+        return items
+    if cuts is not None:
+        cuts.extend((keys[n], keys[n + 1]) for n, (key, _) in enumerate(items) if last[key] != n)
+    return [item for n, item in enumerate(items) if last[item[0]] == n]
+
+
 def _key(text: str, at: int, stack: list) -> int:
     """In an object, reads the next key; returns where the value starts."""
-    kind, start, items, _ = stack[-1]
+    kind, start, items, _, keys = stack[-1]
     if kind == "array":
         return at
     match = _STRING.match(text, at)
     colon = _SPACE.match(text, match.end()).end() if match else -1
     if not match or text[colon : colon + 1] != ":":
         raise Bad("invalid JSON")
-    stack[-1] = (kind, start, items, said(match[0]))
+    keys.append(at)
+    stack[-1] = (kind, start, items, said(match[0]), keys)
     return _SPACE.match(text, colon + 1).end()
 
 
@@ -102,8 +117,16 @@ class Field(NamedTuple):
     inner: tuple[int, int] | None  # place inside the decoded literal, when the field is a string within encoded JSON
 
 
+class Cut(NamedTuple):
+    """A shadowed member: its place in the source, or in the JSON encoded in the literal that stands there."""
+
+    start: int
+    end: int
+    inner: tuple[int, int] | None = None
+
+
 def _get(node: Node, key: str) -> Node | None:
-    return next((v for k, v in reversed(node.items) if k == key), None) if node.kind == "object" else None
+    return next((v for k, v in node.items if k == key), None) if node.kind == "object" else None
 
 
 def strings(root: Node, depth: int = MAX_DEPTH) -> Iterator[Node]:
@@ -124,10 +147,15 @@ def _refuse(constant: str) -> None:
     raise Bad(f"{constant} is no JSON")
 
 
+def _values(pairs: list[tuple[str, object]]) -> list:
+    last = {key: n for n, (key, _) in enumerate(pairs)}
+    return [v for n, (k, v) in enumerate(pairs) if last[k] == n]
+
+
 def string_values(body: str, depth: int = MAX_DEPTH) -> list[str]:
     """Non-empty string values of a JSON text in document order, as :func:`strings` finds them, where their places do not matter."""
     try:
-        root = json.loads(body, object_pairs_hook=lambda pairs: [v for _, v in pairs], parse_constant=_refuse)
+        root = json.loads(body, object_pairs_hook=_values, parse_constant=_refuse)
     except RecursionError:
         return [text for n in strings(parse(body), depth) if (text := said(body[n.start : n.end]))]
     except Bad:
@@ -150,7 +178,10 @@ class Extractor:
     """Ordered fields of one request body."""
 
     def __init__(self, body: str) -> None:
-        self.body, self.fields = body, []
+        self.body, self.fields, self.cuts = body, [], []
+        places: list[tuple[int, int]] = []
+        self.root = parse(body, places)
+        self.cuts.extend(Cut(*place) for place in places)
 
     def value(self, node: Node) -> str:
         return said(self.body[node.start : node.end])
@@ -172,10 +203,12 @@ class Extractor:
         source = self.value(node)
         if not source:
             return
+        places: list[tuple[int, int]] = []
         try:
-            tree = parse(source)
+            tree = parse(source, places)
         except Bad:
             return self.text(node)
+        self.cuts.extend(Cut(node.start, node.end, place) for place in places)
         for s in strings(tree):
             text = said(source[s.start : s.end])
             if text:
@@ -258,40 +291,48 @@ class Extractor:
                 self.content(_get(item, "content"), kinds)
 
 
-def extract(kind: str, body: str) -> list[Field]:
-    """Fields of a body of the given family; a passthrough has none. A malformed body is an error."""
+def extract_all(kind: str, body: str) -> tuple[list[Field], list[Cut]]:
+    """Fields of a body of the given family, and its shadowed members; a passthrough has none. A malformed body is an error."""
     if kind == PASSTHROUGH:
-        return []
+        return [], []
     found = Extractor(body)
-    root = found.object(parse(body), "the body")
+    root = found.object(found.root, "the body")
     {ANTHROPIC: found.anthropic, CHAT: found.openai_chat, RESPONSES: found.openai_responses}[kind](root)
-    return found.fields
+    return found.fields, found.cuts
+
+
+def extract(kind: str, body: str) -> list[Field]:
+    return extract_all(kind, body)[0]
 
 
 def _literal(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)
 
 
-def reassemble(body: str, fields: list[Field], texts: list[str]) -> str:
-    """``body`` with every field's text replaced; fields whose text is unchanged keep their source."""
-    whole: dict[tuple[int, int], str] = {}
+def reassemble(body: str, fields: list[Field], texts: list[str], cuts: list[Cut] = ()) -> str:
+    """``body`` without the cuts and with every field's text replaced; fields whose text is unchanged keep their source."""
+    whole: dict[tuple[int, int], str] = {(c.start, c.end): "" for c in cuts if c.inner is None}
     nested: dict[tuple[int, int], list[tuple[tuple[int, int], str]]] = {}
+    for cut in cuts:
+        if cut.inner is not None:
+            nested.setdefault((cut.start, cut.end), []).append((cut.inner, ""))
     for field, text in zip(fields, texts, strict=True):
         if text == field.text:
             continue
         if field.inner is None:
             whole[field.start, field.end] = _literal(text)
         else:
-            nested.setdefault((field.start, field.end), []).append((field.inner, text))
+            nested.setdefault((field.start, field.end), []).append((field.inner, _literal(text)))
     for place, changes in nested.items():
-        source = said(body[place[0] : place[1]])
-        whole[place] = _literal(_splice(source, [(p, _literal(t)) for p, t in changes]))
+        whole[place] = _literal(_splice(said(body[place[0] : place[1]]), changes))
     return _splice(body, list(whole.items()))
 
 
 def _splice(source: str, changes: list[tuple[tuple[int, int], str]]) -> str:
+    """``source`` with the texts at their places; what lies inside an earlier place is gone with it."""
     out, done = [], 0
     for (start, end), text in sorted(changes):
-        out += [source[done:start], text]
-        done = end
+        if start >= done:
+            out += [source[done:start], text]
+            done = end
     return "".join([*out, source[done:]])

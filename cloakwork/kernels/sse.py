@@ -39,7 +39,7 @@ def _member(node: Node | None, *path: str | int) -> Node | None:
         if isinstance(key, int):
             node = node.items[key] if node.kind == "array" and len(node.items) > key else None
         else:
-            node = next((v for k, v in reversed(node.items) if k == key), None) if node.kind == "object" else None
+            node = next((v for k, v in node.items if k == key), None) if node.kind == "object" else None
     return node
 
 

@@ -214,7 +214,8 @@ def json_strings(body: Column) -> Column:
 def redact_requests(requests: DataFrame, conf: EngineConf) -> DataFrame:
     """``requests`` (…, kind, body) with body redacted, mapping (first value wins over all fields) and status.
 
-    A malformed body or a failing detector gives no body at all, never the original. A column already called mapping or status
+    A malformed body or a failing detector gives no body at all, never the original. Of equal keys of an object only the last goes
+    on. A column already called mapping or status
     is an error.
     """
     rest = [c for c in requests.columns if c != "body"]
@@ -225,13 +226,13 @@ def redact_requests(requests: DataFrame, conf: EngineConf) -> DataFrame:
         if body is None or kind == jsonwalk.PASSTHROUGH:
             return body, [], "ok"
         try:
-            fields, merged, texts = jsonwalk.extract(kind, body), {}, []
+            (fields, cuts), merged, texts = jsonwalk.extract_all(kind, body), {}, []
             for f in fields:
                 said, pairs = text.redact(f.text, find_spans(f.text, conf), conf.nonce, conf.guard, conf.hex_digits)
                 texts.append(said)
                 for value, token in pairs:
                     merged.setdefault(value, token)
-            return jsonwalk.reassemble(body, fields, texts), list(merged.items()), "ok"
+            return jsonwalk.reassemble(body, fields, texts, cuts), list(merged.items()), "ok"
         except Exception:
             return None, [], FAILED
 
