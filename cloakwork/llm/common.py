@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows, which are whole documents, in one Arrow batch at most.
 BATCH_ROWS = 128
@@ -40,7 +41,7 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough for rows that are whole documents.
 
     Spark reads the bound from the session when the query runs and knows none in bytes, so a session that allows more than
@@ -57,6 +58,11 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{n}" for n in range(len(df.columns))))
 
 
+def text_digest(text: str = "text") -> Column:
+    """What stands for a row's text where rows are told apart: 128 bits of it, and for a null one the empty string."""
+    return F.coalesce(F.md5(F.col(text)), F.lit(""))
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)

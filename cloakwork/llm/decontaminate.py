@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, numbered
 
 WIDTH = 13
 GRAM = 6
@@ -85,7 +85,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items (sorted as strings), contaminated.
+    """Per row of ``docs`` (doc_id, text): doc_id, digest (of its text), n_words, n_hit, items (sorted as strings), contaminated.
 
     A word is hit if it is inside an occurrence of a window of any item of ``benchmark`` (item_id, text). Null or
     wordless texts have no words and no windows; null item_ids are left out of the list, though their windows
@@ -115,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
             hits = F.broadcast(hits)
     n_hit = F.coalesce("n_hit", F.lit(0))
     return judged.join(hits, "digest", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")
+        "doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")
     )
 
 
@@ -125,9 +125,11 @@ def digest(out: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows; rows of one doc_id go together, and so do those without one."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct().toDF("contaminated doc_id")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["contaminated doc_id"]), "left_anti")
+    """``docs`` without the contaminated rows. Each row is judged by its own text, whatever its doc_id; equal texts go together."""
+    bad = _small(durable(contamination(docs, benchmark).where("contaminated").select("digest").distinct()))
+    rows = numbered(docs)
+    digest = F.md5(F.coalesce(F.col(rows.columns[docs.columns.index("text")]), F.lit("")))
+    return rows.join(bad, digest == bad["digest"], "left_anti").toDF(*docs.columns)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

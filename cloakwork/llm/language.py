@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import durable, map_batches, numbered
 
@@ -129,7 +130,7 @@ def predict(docs: DataFrame, profiles: list[dict[str, np.ndarray]]) -> DataFrame
     ``docs`` has a column text; its columns' names are its own affair, as they are kept by place.
     """
     names, at = docs.columns, docs.columns.index("text")
-    kinds = "".join(f"c{n} {f.dataType.simpleString()}, " for n, f in enumerate(docs.schema.fields)) + "lang string, score double"
+    kinds = StructType([StructField(f"c{n}", f.dataType) for n, f in enumerate(docs.schema.fields)]).add("lang", "string").add("score", "double")
 
     def judge(so_far: DataFrame, block: dict[str, np.ndarray]) -> DataFrame:
         table = Profiles(block)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, shuffle_parts, texts
+from .common import durable, map_batches, numbered, shuffle_parts, text_digest, texts
 
 SEED = 42
 SHINGLE = 3
@@ -52,7 +52,7 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.array([fingerprint(t) for t in texts(batch)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(marks)], names=["doc_id", "digest", "fp"])
 
 
 def variants(marks: np.ndarray) -> np.ndarray:
@@ -187,15 +187,9 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text, ...) with fingerprint and component.
-
-    Returns doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable).
-    Null or wordless texts have fingerprint zero and link like any other. Repeated rows give repeated rows of one component. A
-    row whose doc_id is null links by its text and gets the smallest non-null id of its component, or null. An empty
-    table gives no rows. Other columns are ignored.
-    """
-    marks = durable(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprints, "doc_id long, fp long"))
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, fp, root (a fingerprint that stands for the component) and component_id of each row of ``docs`` (doc_id, digest, text)."""
+    marks = durable(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "digest", "text"), _fingerprints, "doc_id long, digest string, fp long"))
     owners = marks.groupBy("fp").agg(F.min("doc_id").alias("owner"))
     postings = map_batches(owners.select("fp"), _post, "variant long, fp long")
     parts = shuffle_parts(docs.sparkSession)
@@ -205,20 +199,34 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     # smallest owner of each component, then back to the fingerprints and documents
     placed = owners.join(roots, owners.fp == roots.node, "left").select("fp", "owner", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("owner").alias("component_id"))
-    by_mark = placed.join(least, "root").select("fp", "component_id")
-    return marks.join(by_mark, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marks.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text, ...) with fingerprint and component.
+
+    Returns doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable).
+    Null or wordless texts have fingerprint zero and link like any other. Repeated rows give repeated rows of one component. A
+    row whose doc_id is null links by its text and gets the smallest non-null id of its component, or null. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    placed = _placed(docs.select("doc_id", "text", F.lit(None).cast("string").alias("digest")))
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near copies: of each component the row with the smallest doc_id stays.
+    """``docs`` without the near copies: of each component one row stays, that with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document: where any exist, the smallest row by its columns' values stays.
-    A row with a null doc_id stays only if its component has no other id.
+    A row without an id comes after those with one; of rows of one id, or of none, the one whose text has the smallest digest stays. Rows that repeat
+    a doc_id with texts that are no near copies stay, each for its own component; of rows equal in id and text any one stays.
     """
-    groups = durable(near_duplicate_groups(docs))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
-    if groups.count() != groups.select("doc_id").distinct().count():
-        rest = [c for c in docs.columns if c != "doc_id"]
-        out = out.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
-    return out
+    rows = numbered(docs)
+    doc, text = (rows.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    named = rows.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), text_digest(text).alias("digest"))
+    alike = _placed(named).groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")
+    kept = durable(alike.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept id"), F.col("k.digest").alias("kept digest"), F.col("k.n").alias("n")))
+    out = rows.join(kept.drop("n"), F.col(doc).cast("long").eqNullSafe(F.col("kept id")) & (text_digest(text) == F.col("kept digest")), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        out = out.withColumn("digest", text_digest(text)).dropDuplicates([doc, "digest"]).drop("digest")
+    return out.toDF(*docs.columns)

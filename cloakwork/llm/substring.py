@@ -33,6 +33,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType, StringType
 
 from .common import durable, map_batches, shuffle_parts, texts
 
@@ -119,7 +120,7 @@ def paths(hashes: np.ndarray, width: int, rolling: _Rolling, grain: int = GRAIN)
 class _Firsts(dict):
     """Earliest coordinate of each key met lately."""
 
-    def earlier(self, key, spot: tuple[int, int]) -> tuple[int, int] | None:  # noqa: ANN001
+    def earlier(self, key, spot: tuple[int, int, int]) -> tuple[int, int, int] | None:  # noqa: ANN001
         """A coordinate before ``spot`` where the key was met; None if this is the earliest, which is then remembered."""
         known = self.get(key)
         if known is not None and known < spot:
@@ -130,7 +131,9 @@ class _Firsts(dict):
         return None
 
 
-FOUND = "m long, c long, doc_id long, pos long, first_doc long, first_pos long"
+#: A document is (doc_id, same): rows of one id, or of none, are told apart by a hash of their texts.
+DOC, FIRST = ["doc_id", "same"], ["first_doc", "first_same"]
+FOUND = "m long, c long, doc_id long, same long, pos long, first_doc long, first_same long, first_pos long"
 
 
 def _find_paths(width: int):
@@ -138,20 +141,20 @@ def _find_paths(width: int):
         known, rolling, firsts = _WordHashes(), _Rolling(_ODD[0]), _Firsts()
         for batch in batches:
             parts = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            for doc, same, text in zip(batch.column("doc_id").to_pylist(), batch.column("same").to_pylist(), texts(batch)):
                 words = text.split() if text else []
                 if len(words) >= width:
                     least, content, start, count = paths(known.of(words), width, rolling)
-                    parts.append((least, content, np.full(len(start), doc, dtype=np.int64), start << 8 | count))
+                    parts.append((least, content, np.full(len(start), doc, dtype=np.int64), np.full(len(start), same, dtype=np.int64), start << 8 | count))
             if parts:
-                m, c, d, p = (np.concatenate(x) for x in zip(*parts))
-                # rows that repeat a doc_id are one document, where an equal start is no earlier one
-                before = [firsts.earlier(key, spot) for key, spot in zip(c.tolist(), zip(d.tolist(), p.tolist()))]
+                m, c, d, e, p = (np.concatenate(x) for x in zip(*parts))
+                # rows equal in id and text are one document, where an equal start is no earlier one
+                before = [firsts.earlier(key, spot) for key, spot in zip(c.tolist(), zip(d.tolist(), e.tolist(), p.tolist()))]
                 again = np.array([x is not None for x in before])
                 # they have no more to find: a key of their own spreads them over all tasks
-                m[again], c[again] = _mix(d[again].view(np.uint64) ^ m[again]), _mix(p[again].view(np.uint64))
-                first = [pa.array([None if x is None else x[k] for x in before], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(p), *first], names=["m", "c", "doc_id", "pos", "first_doc", "first_pos"])
+                m[again], c[again] = _mix((d ^ e)[again].view(np.uint64) ^ m[again]), _mix(p[again].view(np.uint64))
+                first = [pa.array([None if x is None else x[k] for x in before], pa.int64()) for k in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(e), pa.array(p), *first], names=["m", "c", *DOC, "pos", *FIRST, "first_pos"])
 
     return run
 
@@ -180,7 +183,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         packed = [None if t is None else packer.compress(t) for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), *batch.columns[2:]], names=["doc_id", "z", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary()), *batch.columns[3:]], names=[*DOC, "z", *batch.schema.names[3:]])
 
 
 def _open_paths(width: int):
@@ -189,8 +192,8 @@ def _open_paths(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, firsts = zstandard.ZstdDecompressor().decompress, _Firsts()
         for batch in batches:
-            keys, docs, places = [], [], []
-            for doc, z, spots in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), batch.column("spots").to_pylist()):
+            keys, docs, sames, places = [], [], [], []
+            for doc, same, z, spots in zip(*(batch.column(c).to_pylist() for c in (*DOC, "z", "spots"))):
                 if z is None:
                     continue
                 words = _Words(unpack(z))
@@ -199,12 +202,13 @@ def _open_paths(width: int):
                     for at in range(pos >> 8, min((pos >> 8) + (pos & 255) - 1, last) + 1):
                         keys.append(words.digest(at, at + width))
                         docs.append(doc)
+                        sames.append(same)
                         places.append(at)
             if keys:
-                again = np.array([firsts.earlier(key, spot) is not None for key, spot in zip(keys, zip(docs, places))])
+                again = np.array([firsts.earlier(key, spot) is not None for key, spot in zip(keys, zip(docs, sames, places))])
                 w = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2).copy()
-                w[again, 1] = np.array(docs)[again] ^ np.array(places)[again]  # spread, as they have no more to find
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(again)], names=["w1", "w2", "doc_id", "at", "again"])
+                w[again, 1] = np.array(docs)[again] ^ np.array(sames)[again] ^ np.array(places)[again]  # spread, as they have no more to find
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *(pa.array(x, pa.int64()) for x in (docs, sames, places)), pa.array(again)], names=["w1", "w2", *DOC, "at", "again"])
 
     return run
 
@@ -215,16 +219,17 @@ def _read_paths(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            docs, places, said = [], [], []
-            for doc, z, spots in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), batch.column("spots").to_pylist()):
+            docs, sames, places, said = [], [], [], []
+            for doc, same, z, spots in zip(*(batch.column(c).to_pylist() for c in (*DOC, "z", "spots"))):
                 words = _Words(None if z is None else unpack(z))
                 for pos in spots:
                     digest = words.path(pos, width)
                     if digest is not None:
                         docs.append(doc)
+                        sames.append(same)
                         places.append(pos)
                         said.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(said, pa.binary())], names=["first_doc", "first_pos", "said"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (docs, sames, places)), pa.array(said, pa.binary())], names=[*FIRST, "first_pos", "said"])
 
     return run
 
@@ -269,7 +274,7 @@ def _remove(width: int, rest: list[str], as_it_was: bool):
 
 def crowded(docs: DataFrame, width: int) -> DataFrame:
     """(m, crowd): minimizers that branch into ``_CROWD`` contents or more within a sample of ``docs``, the ``_CROWDS`` most crowded at most."""
-    part = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(_LOOK)) == 0)
+    part = docs.select("doc_id", F.xxhash64("text").alias("same"), "text").where(F.pmod(F.xxhash64(*DOC), F.lit(_LOOK)) == 0)
     contents = map_batches(part, _find_paths(width), FOUND).where("first_doc is null").select("m", "c").distinct()
     return contents.groupBy("m").agg(F.count("c").alias("crowd")).where(F.col("crowd") >= max(2, _CROWD)).orderBy(F.desc("crowd"), "m").limit(_CROWDS)
 
@@ -279,40 +284,43 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None
 
     A word goes if it is in a window of ``width`` words whose words also start earlier: in a smaller doc_id, or in
     the same document before. Kept words are joined by one space; a null text has no words, an empty table no rows.
-    A null doc_id counts as the smallest. Rows that repeat a doc_id are one document: a window there is not
-    earlier than itself, and what goes goes by position in each of the rows. Other columns are ignored. With ``as_it_was`` a text that
-    loses nothing, a null one too, is its own kept_text.
+    A null doc_id counts as the smallest. Rows that repeat a doc_id, or have none, are documents of their own, in the order of a hash of their
+    texts; rows equal in both are one document: a window there is not earlier than itself, and the same goes from each of them. Other columns are ignored. With
+    ``as_it_was`` a text that loses nothing, a null one too, is its own kept_text.
     """
     if not 1 < width < 200:
         raise ValueError("width must be between 2 and 199")
     rest = list(carry or [])
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", *rest)
-    found = map_batches(docs.select("doc_id", "text"), _find_paths(width), FOUND)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("same"), "text", *rest)
+    found = map_batches(docs.select(*DOC, "text"), _find_paths(width), FOUND)
     found = found.join(F.broadcast(crowded(docs, width)), "m", "left").withColumn("k", F.when(F.col("crowd").isNull(), F.col("m")).otherwise(F.xxhash64("m", "c")))
-    meet, alike = Window.partitionBy("k"), Window.partitionBy("k", "c").orderBy("doc_id", "pos")
-    spot = F.struct("doc_id", "pos")
+    meet, alike = Window.partitionBy("k"), Window.partitionBy("k", "c").orderBy(*DOC, "pos")
+    spot = F.struct(*DOC, "pos")
+    first = {"first_doc": "first.doc_id", "first_same": "first.same", "first_pos": "first.pos"}
     met = (
         found.withColumn("first", F.when(F.rank().over(alike) > 1, F.first(spot).over(alike)))
         .withColumn("branches", F.col("crowd").isNotNull() | (F.min("c").over(meet) != F.max("c").over(meet)))
-        .select("doc_id", "pos", F.coalesce("first_doc", "first.doc_id").alias("first_doc"), F.coalesce("first_pos", "first.pos").alias("first_pos"), "branches")
+        .select(*DOC, "pos", *(F.coalesce(own, met).alias(own) for own, met in first.items()), "branches")
     )
     met = durable(met.where("branches or first_doc is not null"))
     parts = shuffle_parts(docs.sparkSession)
-    schema = docs.schema
-    packed = map_batches(docs, _squeeze, "doc_id long not null, z binary" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest)).repartition(parts, "doc_id")
+    carried = [StructField(c, docs.schema[c].dataType) for c in rest]
+    packed = StructType([*(StructField(c, LongType(), False) for c in DOC), StructField("z", BinaryType()), *carried])
+    packed = map_batches(docs, _squeeze, packed).repartition(parts, *DOC)
     # collapsed paths: their source's words, read where they stand; a join that can be split, as very many may share a source.
     # The compressed texts go whole into every join, so that one exchange serves all
     collapsed = met.where("first_doc is not null").drop("branches")
-    asked = collapsed.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_set("first_pos").alias("spots"))
-    read = map_batches(packed.join(asked, "doc_id"), _read_paths(width), "first_doc long, first_pos long, said binary")
-    spots = collapsed.join(read, ["first_doc", "first_pos"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "said")).alias("spots"))
+    asked = collapsed.groupBy(F.col("first_doc").alias("doc_id"), F.col("first_same").alias("same")).agg(F.collect_set("first_pos").alias("spots"))
+    read = map_batches(packed.join(asked, DOC), _read_paths(width), "first_doc long, first_same long, first_pos long, said binary")
+    spots = collapsed.join(read, [*FIRST, "first_pos"]).groupBy(*DOC).agg(F.collect_list(F.struct("pos", "said")).alias("spots"))
     # first occurrences where the graph branches: their windows
-    opening = met.where("first_doc is null").groupBy("doc_id").agg(F.collect_list("pos").alias("spots"))
-    opened = map_batches(packed.join(opening, "doc_id"), _open_paths(width), "w1 long, w2 long, doc_id long, at long, again boolean")
-    ranked = opened.withColumn("r", F.rank().over(Window.partitionBy("w1", "w2").orderBy("doc_id", "at"))).where("r > 1 or again")
-    ats = ranked.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    out = packed.join(spots.join(ats, "doc_id", "full"), "doc_id", "left")
-    out = map_batches(out, _remove(width, rest, as_it_was), "doc_id long, kept_text string, n_words long, n_removed long" + "".join(f", `{c}` {schema[c].dataType.simpleString()}" for c in rest))
+    opening = met.where("first_doc is null").groupBy(*DOC).agg(F.collect_list("pos").alias("spots"))
+    opened = map_batches(packed.join(opening, DOC), _open_paths(width), "w1 long, w2 long, doc_id long, same long, at long, again boolean")
+    ranked = opened.withColumn("r", F.rank().over(Window.partitionBy("w1", "w2").orderBy(*DOC, "at"))).where("r > 1 or again")
+    ats = ranked.groupBy(*DOC).agg(F.collect_list("at").alias("ats"))
+    out = packed.join(spots.join(ats, DOC, "full"), DOC, "left")
+    made = [StructField("doc_id", LongType()), StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
+    out = map_batches(out, _remove(width, rest, as_it_was), StructType([*made, *carried]))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
@@ -349,7 +357,7 @@ def digest(out: DataFrame) -> DataFrame:
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], width: int = WIDTH) -> dict[int | None, tuple[int, int, str]]:
-    """The same by a dictionary of windows, for small tests."""
+    """The same by a dictionary of windows, for small tests on rows whose ids differ, unless the texts are equal too."""
     first: dict[tuple[bytes, ...], tuple[int, int]] = {}
     split = [(NULL_ID if d is None else d, (t or "").encode().split()) for d, t in rows]
     for doc, words in split:
