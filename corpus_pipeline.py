@@ -29,18 +29,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id. Wordless texts, null ones too, are near copies of each
-    other. Of rows that repeat a doc_id one stays; a row without one stays if its group has no other id."""
+    other. Rows are judged by their texts, so rows that repeat a doc_id, or have none, stay unless they are near copies; those without an id come last
+    in their group."""
     return simhash.keep_one_of_each_group(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the words left that no earlier passage repeats; untouched texts, null ones too, stay as they are. Rows that repeat a
-    doc_id are one document; a null doc_id comes before all others."""
+    doc_id, or have none, are documents of their own, unless their texts are equal; null doc_ids come before all others."""
     return substring.keep_first_passages(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule clears of the benchmark. Null and wordless texts are clear; rows of one doc_id go together."""
+    """Documents that the contamination rule clears of the benchmark. Null and wordless texts are clear; each row is judged by its own
+    text."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
