@@ -1,12 +1,14 @@
 """Restoring placeholders in a server-sent event stream, though one may be cut over several events.
 
 The state of a stream is four values, so it fits a streaming state store. Neither a placeholder nor a guarded blob holds
-a blank, so text up to the last blank is settled once it is out: only what follows is kept and restored again.
+a character outside of their alphabets, a blank or most signs and letters of other scripts, so text up to the last such one is settled once it is out: only what
+follows is kept and restored again.
 """
 
 from __future__ import annotations
 
 import json
+import string
 from dataclasses import dataclass
 
 from .jsonwalk import ANTHROPIC, CHAT, RESPONSES, Node, parse, said
@@ -15,6 +17,8 @@ from .text import Pair, partial_suffix, restore
 
 DATA = "data: "
 BLANKS = (" ", "\n")
+#: What guarded blobs and the quotes around them are made of.
+BLOB_SIGNS = string.ascii_letters + string.digits + '+/_-="'
 
 
 @dataclass
@@ -80,7 +84,8 @@ class Restorer:
     def __init__(self, kind: str, pairs: list[Pair], state: State | None = None, guard: bool = True) -> None:
         self.kind, self.pairs, self.state, self.guard = kind, pairs, state or State(), guard
         self.placeholders = [p for _, p in pairs if len(p.encode()) >= 2]
-        self.settles = not any(blank in p for _, p in pairs for blank in BLANKS)
+        self.settles = True
+        self.unsettled = BLOB_SIGNS + "".join({c for _, p in pairs for c in p})
 
     def feed(self, data: str) -> list[str]:
         """Whole lines that ``data`` finishes, restored; the rest waits."""
@@ -117,9 +122,9 @@ class Restorer:
         return DATA + self._with(payload, event.place, fresh)
 
     def _settle(self) -> None:
-        """Forgets the text up to the last blank, which is out, as what is held back never reaches over a blank."""
+        """Forgets the text up to the last character that is in no placeholder and no blob: it is out, as what is held back never reaches over one."""
         state = self.state
-        cut = max(map(state.content.rfind, BLANKS)) + 1
+        cut = len(state.content.rstrip(self.unsettled))
         if cut:
             state.sent -= len(restore(state.content[:cut], self.pairs, self.guard).encode())
             state.content = state.content[cut:]

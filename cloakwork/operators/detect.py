@@ -7,8 +7,12 @@ import re
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from pathlib import Path
+from functools import reduce
 from typing import Protocol
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from cloakwork.kernels import bioes, text
 from cloakwork.kernels.text import Span
 
@@ -35,12 +39,33 @@ RULES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: What stands in every text in which a rule of the class matches, and is found in less time.
+HINTS = {"private_email": "@", "private_url": "://"} | dict.fromkeys(("account_number", "private_phone", "secret"), "[0-9]|[a-f]{40}")
+
+
 class RuleDetector:
-    """Regular expressions; of a value that several rules find, the first rule's class counts."""
+    """Regular expressions; of spans that several rules find at one place, the first rule's class counts.
 
-    def __init__(self, rules: Sequence[tuple[str, str]] = RULES) -> None:
+    ``unbroken`` says that no match holds a blank, a line feed or a quote, which allows redaction in DataFrame functions; ``hints`` has for some classes a
+    pattern that matches wherever their rules do and costs less.
+    """
+
+    def __init__(self, rules: Sequence[tuple[str, str]] = RULES, unbroken: bool | None = None, hints: dict[str, str] | None = None) -> None:
+        own = tuple(rules) == RULES
+        self.given, self.unbroken, self.hints = tuple(rules), own if unbroken is None else unbroken, (HINTS if own else {}) if hints is None else hints
         self.rules = [(kind, re.compile(pattern.encode())) for kind, pattern in rules]
 
+    def might_match(self, said: Column) -> Column:
+        """Whether some rule matches, as an expression."""
+        by_hint: dict[str, list[str]] = {}
+        for kind, pattern in self.given:
+            by_hint.setdefault(self.hints.get(kind, ""), []).append(pattern)
+        found = F.lit(False)
+        for hint, patterns in by_hint.items():
+            sure = reduce(lambda a, b: a | b, map(said.rlike, patterns))
+            found = found | (sure if not hint else (said.contains(hint) if re.escape(hint) == hint else said.rlike(hint)) & sure)
+        return found
+
     def detect(self, text: str) -> list[Span]:
         data = text.encode()
         return [(m.start(), m.end(), kind, 1.0) for kind, rule in self.rules for m in rule.finditer(data)]

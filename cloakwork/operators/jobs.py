@@ -13,7 +13,7 @@ from cloakwork.kernels import jsonwalk, text
 from cloakwork.kernels.sse import Restorer
 from cloakwork.operators import requests as rq
 from cloakwork.operators import tokens
-from cloakwork.operators.redaction import FAILED, EngineConf, find_spans, redact_requests, small_batches
+from cloakwork.operators.redaction import FAILED, EngineConf, _free, find_spans, redact_requests, small_batches
 
 #: What is answered where a request does not go on.
 REFUSALS = {"unauthorized": 401, "request body too large": 413, FAILED: 502}
@@ -30,8 +30,9 @@ def forward_requests(requests: DataFrame, conf: EngineConf, secret: bytes, base:
 
     Authorised by the path's token, held to ``limit`` bytes, routed, redacted. Adds kind, status_code, error, url, upstream_headers and
     mapping, and body is the redacted one. What is refused has no url and no body, only its status code and error body. A null
-    body is empty.
+    body is empty. Columns that bear the names of the added ones, or begin with an underscore as the job's own do, are an error.
     """
+    _free(requests.columns, ("kind", "status_code", "error", "url", "upstream_headers", "mapping", "status", "_auth", "_refused", "_why"))
     auth = requests.withColumn("_auth", tokens.authorise(F.col("path"), secret, now))
     large = F.octet_length(F.coalesce("body", F.lit(""))) > limit
     refused = F.when(~F.col("_auth.ok"), "unauthorized").when(large, "request body too large")
@@ -61,8 +62,9 @@ def restore_answers(answers: DataFrame, guard: bool = True) -> DataFrame:
     """``answers`` (..., kind, content_type, body, mapping) with mode, and the originals back in body.
 
     Without a mapping the body stays untouched and meets no Python. An event stream is restored event by event, as its family
-    writes them; any other body as a whole, as raw text. A null body stays null.
+    writes them; any other body as a whole, as raw text. A null body stays null. All is one pass over ``answers``. A column called mode is an error.
     """
+    _free(answers.columns, ("mode",))
     mode = rq.restore_mode(F.col("kind"), F.col("content_type"), F.greatest(F.size("mapping"), F.lit(0)))
 
     @F.pandas_udf("string")
@@ -81,8 +83,9 @@ def restore_answers(answers: DataFrame, guard: bool = True) -> DataFrame:
         return pd.Series([one(*row) for row in zip(kinds, modes, bodies, mappings)])
 
     said = small_batches(answers).withColumn("mode", mode)
-    touched = said.where(F.col("mode") != "passthrough").withColumn("body", back("kind", "mode", "body", "mapping"))
-    return said.where(F.col("mode") == "passthrough").unionByName(touched)
+    quiet = F.col("mode") == "passthrough"
+    restored = back("kind", "mode", F.when(~quiet, F.col("body")), F.when(~quiet, F.col("mapping")))
+    return said.withColumn("body", F.when(quiet, F.col("body")).otherwise(restored))
 
 
 def safe_log(mapping: Column) -> Column:

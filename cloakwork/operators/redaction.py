@@ -1,6 +1,7 @@
 """Redaction and restoring of whole tables.
 
-Without chunk dedup, chunking, detection, merging and substitution are one Arrow pass and no shuffle. With it, equal chunks
+Without chunk dedup, redaction is one pass and no shuffle: in DataFrame functions where the rules allow it, else chunking, detection, merging and substitution in Arrow
+batches. With dedup, equal chunks
 are detected once: one shuffle of distinct chunk hashes, one to bring the spans back. The dedup pays only for a detector that costs more
 than a shuffle.
 """
@@ -17,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.kernels import chunk, jsonwalk, text
+from cloakwork.operators import native
 from cloakwork.operators.detect import Detector, RuleDetector
+from cloakwork.operators.shared import written_once
 
 PAIRS = "array<struct<from:string,to:string>>"
 SPANS = "array<struct<start:int,end:int,class:string,score:float>>"
-CHUNKS = "array<struct<ord:int,start:int,text:string,hard_left:boolean,hard_right:boolean>>"
+CHUNKS = native.CHUNKS
 FIELDS = "array<struct<ord:int,text:string>>"
 FAILED = "redaction failed"
 NONCE_BYTES = 16
@@ -102,9 +105,12 @@ def redact_documents(docs: DataFrame, conf: EngineConf, text_col: str = "text")
     """``docs`` with redacted, mapping and status instead of the text column; every other column as it is.
 
     Null texts stay null, empty ones empty; rows may repeat. A column already called redacted, mapping or status is an error.
+    With unbroken rules (and chunks of eight bytes or more) all of it is DataFrame functions, and texts in which no rule matches are only looked at.
     """
     rest = [c for c in docs.columns if c != text_col]
     _free(rest, ("redacted", "mapping", "status"))
+    if isinstance(conf.detector, RuleDetector) and conf.detector.unbroken and conf.chunk_target >= 8:
+        return _redact_natively(docs, conf, rest, text_col)
     plain = small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
 
@@ -118,12 +124,22 @@ def redact_documents(docs: DataFrame, conf: EngineConf, text_col: str = "text")
     return _numbered(plain).mapInArrow(run, f"{kinds}redacted string, mapping {PAIRS}, status string")
 
 
-def chunks(said: Column, target: int = chunk.TARGET, overlap: int = chunk.OVERLAP) -> Column:
-    @F.pandas_udf(CHUNKS)
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else [c._asdict() for c in chunk.split(t, target, overlap)])
+def _redact_natively(docs: DataFrame, conf: EngineConf, rest: list[str], text_col: str) -> DataFrame:
+    said, hit, kept = F.col("said"), F.col("hit"), [f"c{n}" for n in range(len(rest))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(rest, kept)), F.col(f"`{text_col}`").alias("said"))
+    rows = rows.withColumn("hit", F.coalesce(conf.detector.might_match(said), F.lit(False)))
+    whole = F.array(F.struct(F.lit(0).alias("ord"), F.lit(0).alias("start"), said.alias("text"), F.lit(False).alias("hard_left"), F.lit(False).alias("hard_right"))).cast(CHUNKS)
+    parts = F.when(native.may_break(said, conf.chunk_target), native.chunks(said, conf.chunk_target, conf.chunk_overlap)).otherwise(whole)
+    pairs = native.pairs_of(native.kept_spans(native.rule_spans(parts, conf.detector.given)), conf.nonce, conf.hex_digits)
+    rows = rows.withColumn("pairs", F.when(hit, pairs))
+    redacted = F.when(hit, native.folded(said, F.col("pairs"), guard=conf.guard)).otherwise(said)
+    made = (redacted, F.coalesce("pairs", F.array().cast(PAIRS)), F.lit("ok"))
+    return rows.select(*kept, *(m.alias(f"m{n}") for n, m in enumerate(made))).toDF(*rest, "redacted", "mapping", "status")
 
-    return run(said)
+
+def chunks(said: Column, target: int = chunk.TARGET, overlap: int = chunk.OVERLAP) -> Column:
+    """The parts of a text, in DataFrame functions."""
+    return native.chunks(said, target, overlap)
 
 
 def detect(said: Column, detector: Detector) -> Column:
@@ -153,11 +169,21 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def detect_distinct_chunks(docs: DataFrame, conf: EngineConf, keys: list[str], text_col: str = "text") -> DataFrame:
     """Merged spans of each document, every distinct chunk detected once (before edges are judged, as those differ by place)."""
+    parts = written_once(chunk_rows(docs, conf, keys, text_col))
+    found = parts.groupBy("hash").agg(F.first("part").alias("part")).select("hash", detect(F.col("part"), conf.detector).alias("spans"))
+    return spans_of_chunks(parts.drop("part"), found, keys)
+
+
+def chunk_rows(docs: DataFrame, conf: EngineConf, keys: list[str], text_col: str = "text") -> DataFrame:
+    """``keys``, place, ends, hash and text (part) of every chunk that is long enough to hold a span."""
     parts = docs.select(*keys, F.explode(chunks(F.col(text_col), conf.chunk_target, conf.chunk_overlap)).alias("c"))
     parts = parts.select(*keys, F.col("c.ord").alias("chunk_ord"), F.col("c.start").alias("chunk_start"), F.octet_length("c.text").alias("chunk_bytes"), "c.hard_left", "c.hard_right", F.sha2("c.text", 256).alias("hash"), F.col("c.text").alias("part"))
-    parts = parts.where(F.col("chunk_bytes") >= text.SPAN_MIN)
-    found = parts.groupBy("hash").agg(F.first("part").alias("part")).select("hash", detect(F.col("part"), conf.detector).alias("spans"))
-    met = parts.drop("part").join(found, "hash").select("*", F.posexplode("spans").alias("span_ord", "s"))
+    return parts.where(F.col("chunk_bytes") >= text.SPAN_MIN)
+
+
+def spans_of_chunks(parts: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged spans of each document from its chunks (:func:`chunk_rows`) and the spans of each hash."""
+    met = parts.join(found, "hash").select("*", F.posexplode("spans").alias("span_ord", "s"))
     return merge_spans(met.select(*keys, "chunk_ord", "chunk_start", "chunk_bytes", "hard_left", "hard_right", "span_ord", "s.*"), keys)
 
 
@@ -171,6 +197,11 @@ def restore(said: Column, mapping: Column, guard: bool = True) -> Column:
     return run(said, mapping)
 
 
+def restore_native(said: Column, mapping: Column, guard: bool = True) -> Column:
+    """The same in DataFrame functions, for placeholders without quotes, as all of ours are; a text without a mapping is not looked at."""
+    return native.folded(said, mapping, back=True, guard=guard)
+
+
 def substitute(said: Column, mapping: Column, guard: bool = True) -> Column:
     @F.pandas_udf("string")
     def run(column: pd.Series, pairs: pd.Series) -> pd.Series:

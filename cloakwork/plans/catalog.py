@@ -127,7 +127,7 @@ def residual_after_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The originals back, and the hash of what stood in between."""
     out = redaction.redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), CONF)
-    return out.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), redaction.restore(F.col("redacted"), F.col("mapping")).alias("text"))
+    return out.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), redaction.restore_native(F.col("redacted"), F.col("mapping")).alias("text"))
 
 
 def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,8 +331,8 @@ def _streamed(spark: SparkSession, sf_dir: str, kind: str, event, last) -> DataF
     cut = out.select(stream.alias("stream_id"), "mapping", F.posexplode(parts).alias("seq", "part"))
     ends = F.col("part").startswith("\0")
     line = F.concat(F.lit("data: "), F.when(ends, last(F.substring("part", 2, 1 << 30))).otherwise(event(F.col("part"))))
-    lines = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), ends.alias("closes"), F.lit(kind).alias("kind"), "mapping")
-    return restore_batch(lines, every_row=True).where(F.col("line").startswith(sse.DATA)).select("stream_id", "seq", "ord", F.substring("line", 7, 1 << 30).alias("said"))
+    lines = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), ends.alias("closes"), F.lit(kind).alias("kind"), F.when(F.col("seq") == 0, F.col("mapping")).alias("mapping"))
+    return restore_batch(lines).where(F.col("line").startswith(sse.DATA)).select("stream_id", "seq", "ord", F.substring("line", 7, 1 << 30).alias("said"))
 
 
 def _put_together(back: DataFrame, delta: str, whole: str) -> DataFrame:
