@@ -13,7 +13,9 @@ from cloakwork.kernels import jsonwalk, text
 from cloakwork.kernels.sse import Restorer
 from cloakwork.operators import requests as rq
 from cloakwork.operators import tokens
-from cloakwork.operators.redaction import FAILED, EngineConf, _free, find_spans, redact_requests, small_batches
+from cloakwork.operators.redaction import FAILED, EngineConf, _free, extract_fields, find_spans, redact_requests, small_batches
+from cloakwork.operators.shared import written_once
+from cloakwork.operators.store import SpanStore
 
 #: What is answered where a request does not go on.
 REFUSALS = {"unauthorized": 401, "request body too large": 413, FAILED: 502}
@@ -119,3 +121,9 @@ def field_log(requests: DataFrame, conf: EngineConf, keys: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *made], names=[*keys, "field", "field_len", "spans", "classes"])
 
     return small_batches(requests).mapInArrow(run, kinds + LOG)
+
+
+def stored_field_log(requests: DataFrame, conf: EngineConf, keys: list[str], store: SpanStore) -> DataFrame:
+    """The same through a span store, with chunks and, of these, cached: how many the store knew, and the detector was not asked for."""
+    fields = requests.select(*keys, F.explode(extract_fields(F.col("kind"), F.col("body"))).alias("f")).select(*keys, F.col("f.ord").alias("field"), F.col("f.text").alias("text"))
+    return store.report(written_once(fields), conf, [*keys, "field"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from cloakwork.kernels import bioes, chunk, jsonwalk, sse
 from cloakwork.operators import jobs, redaction, requests, tokens
 from cloakwork.operators.detect import RULES, OnnxDetector
 from cloakwork.operators.redaction import EngineConf
+from cloakwork.operators.shared import shared_folder
+from cloakwork.operators.store import SpanStore
 from cloakwork.sources.lookup_model import lookup_model
 from cloakwork.sources.models import catalog_table
 from cloakwork.streaming.restore import restore_batch
@@ -299,6 +302,19 @@ def field_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv_id").alias("doc_id"), "field", "field_len", "spans", F.array_join(F.array_sort("classes"), ",").alias("classes"))
 
 
+GROWTH = " and write to "
+
+
+def stored_field_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of requests that have grown since the span store met them: what may be logged, and how many of their chunks were detected before."""
+    store = SpanStore(spark, f"{shared_folder(spark)}/spans-{uuid.uuid4().hex}", "rules")
+    jobs.stored_field_log(_request_bodies(spark, sf_dir), CONF, ["conv_id"], store)
+    docs = table(spark, sf_dir, "documents")
+    grown = docs.select(F.col("doc_id").alias("conv_id"), (F.col("doc_id") % 3).alias("turn"), F.lit("user").alias("role"), F.concat("text", F.lit(GROWTH), "lang", F.lit("@example.org")).alias("text"))
+    out = jobs.stored_field_log(_bodies(grown), CONF, ["conv_id"], store)
+    return out.select(F.col("conv_id").alias("doc_id"), "field", "field_len", "spans", F.array_join("classes", ",").alias("classes"), "chunks", "cached")
+
+
 #: Logits over background, begin, inside, end and single for the words that the lookup model knows, and for all others.
 LABELS = ["O", "B-private_person", "I-private_person", "E-private_person", "S-secret"]
 WORDS = {"of": (2, 3, -5, 0, 0), "the": (2, 0, -5, 3, 0), "und": (0, 0, -5, 0, 3)}
@@ -402,7 +418,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         route_kinds, key_path_split, restore_modes, header_maps, request_mappings, error_bodies, tiny_texts, rule_class_counts, placeholders, placeholder_collisions, guarded_blobs,
         redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_bounds, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
-        conversation_fields, anthropic_tool_fields, chat_call_fields, responses_item_fields, request_round_trip, redacted_bodies, field_log, json_string_values,
+        conversation_fields, anthropic_tool_fields, chat_call_fields, responses_item_fields, request_round_trip, redacted_bodies, field_log, stored_field_log, json_string_values,
         forwarded_requests, restored_answers, sse_round_trip, sse_chat, sse_responses, viterbi_tags, model_spans, catalog_sizes, token_verify, pii_report, documents_without_findings,
     )
     return {f.__name__: f for f in made}
@@ -460,6 +476,12 @@ br AS (SELECT doc_id, list({{'e': e, 'i': i}} ORDER BY i) FILTER (c = chr(10)) A
 d AS (SELECT doc_id, text, strlen(text) AS n, coalesce(nl, []) AS nl, coalesce(sp, []) AS sp FROM documents LEFT JOIN br USING (doc_id)),
 k AS (SELECT doc_id, 0 AS ord, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS si, {_CUT.replace("@S@", "0").replace("@I@", "0")} AS cut FROM d
       UNION ALL SELECT doc_id, ord + 1, cut.e, cut.i, {_CUT.replace("@S@", "cut.e").replace("@I@", "cut.i")} FROM k JOIN d USING (doc_id) WHERE cut.e < n)"""
+#: Chunks of the texts before and after they grow; one is cached if some text had it before.
+_STORED_SQL = f"""{_CHUNKS_SQL.replace("RECURSIVE", f"RECURSIVE grown AS (SELECT doc_id, text || '{GROWTH}' || lang || '@example.org' AS text FROM documents), all_ AS (SELECT doc_id * 2 AS doc_id, text FROM documents UNION ALL SELECT doc_id * 2 + 1, text FROM grown), spans_ AS ({_SPANS_SQL.replace('documents', 'grown')}),", 1).replace("FROM documents WHERE", "FROM all_ WHERE").replace("FROM documents LEFT", "FROM all_ LEFT")},
+every AS (SELECT doc_id, substr(text, si + 1, cut.i - si) AS part FROM k JOIN d USING (doc_id)),
+counted AS (SELECT doc_id // 2 AS doc_id, CAST(count(*) AS INTEGER) AS chunks, CAST(count(*) FILTER (part IN (SELECT part FROM every WHERE doc_id % 2 = 0)) AS INTEGER) AS cached FROM every WHERE doc_id % 2 = 1 GROUP BY ALL),
+found_ AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS spans, string_agg(class, ',' ORDER BY class) AS classes FROM spans_ GROUP BY ALL)
+SELECT doc_id, CAST(0 AS INTEGER) AS field, strlen(text) AS field_len, coalesce(spans, 0) AS spans, coalesce(classes, '') AS classes, chunks, cached FROM grown JOIN counted USING (doc_id) LEFT JOIN found_ USING (doc_id)"""
 _MEAN = "CAST(round(exp(3) / (exp(3) + exp(2) + 2 + exp(-5)), 4) AS DOUBLE)"
 _ALONE = "CAST(round(exp(3) / (exp(3) + 3 + exp(-5)), 4) AS DOUBLE)"
 #: Words with their byte places; a span is `und`, or `of` with `the` behind it.
@@ -496,6 +518,7 @@ def oracle_sql() -> dict[str, str]:
         "redacted_bodies": f"{red} SELECT doc_id, {kinds} AS kind, {_body_sql('redacted', 'doc_id % 3')} AS body, 'ok' AS status FROM red",
         "field_log": f"""WITH spans_ AS ({_SPANS_SQL}) SELECT doc_id, CAST(0 AS INTEGER) AS field, strlen(text) AS field_len, CAST(count(class) AS INTEGER) AS spans,
             coalesce(string_agg(class, ',' ORDER BY class), '') AS classes FROM documents LEFT JOIN spans_ USING (doc_id) GROUP BY doc_id, text""",
+        "stored_field_log": _STORED_SQL,
         "model_spans": _MODEL_SQL,
         "forwarded_requests": f"""{red}, r AS (SELECT *, doc_id % 5 <> 4 AS post, {_body_sql('text', 'doc_id % 3')} || CASE WHEN doc_id % 11 = 10 THEN ']' ELSE '' END AS asked FROM red),
             c AS (SELECT *, CASE WHEN doc_id % 7 IN (0, 1) OR doc_id % 13 = 12 THEN 401 WHEN strlen(asked) > {LIMIT} THEN 413 WHEN post AND doc_id % 11 = 10 THEN 502 ELSE 200 END AS status_code FROM r)
