@@ -344,7 +344,8 @@ def _streamed(spark: SparkSession, sf_dir: str, kind: str, event, last) -> DataF
     stream = F.concat_ws(":", "doc_id", F.sha2("redacted", 256))
     whole = F.concat(F.lit("\0"), "redacted")  # marked, as the last part
     parts = F.concat(F.regexp_extract_all("redacted", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), F.array(whole))
-    cut = out.select(stream.alias("stream_id"), "mapping", F.posexplode(parts).alias("seq", "part"))
+    # the hash is one for each document, so it is made before there is a row for each delta
+    cut = out.select(stream.alias("stream_id"), "mapping", parts.alias("parts")).select("stream_id", "mapping", F.posexplode("parts").alias("seq", "part"))
     ends = F.col("part").startswith("\0")
     line = F.concat(F.lit("data: "), F.when(ends, last(F.substring("part", 2, 1 << 30))).otherwise(event(F.col("part"))))
     lines = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), ends.alias("closes"), F.lit(kind).alias("kind"), F.when(F.col("seq") == 0, F.col("mapping")).alias("mapping"))
