@@ -19,12 +19,20 @@ from cloakwork.kernels.text import Span
 
 #: Fixed value: how many texts a worker remembers.
 CAPACITY = 8192
+#: Tokens, padding counted, of the texts that go to a model in one call; a longer text goes alone.
+CALL_TOKENS = 8192
 
 
 class Detector(Protocol):
     def detect(self, text: str) -> list[Span]: ...
 
 
+def detect_all(detector: Detector, texts: Sequence[str]) -> list[list[Span]]:
+    """Spans of each text: by one call for all where the detector has ``detect_many``, else one by one."""
+    many = getattr(detector, "detect_many", None)
+    return many(texts) if many is not None else [detector.detect(t) for t in texts]
+
+
 class DetectorUnavailable(RuntimeError):
     """No detector: nothing may be passed on as if it were clean."""
 
@@ -105,11 +113,12 @@ class OnnxDetector:
             self.tokenizer = Tokenizer.from_str(self.words) if self.words.lstrip().startswith("{") else Tokenizer.from_file(self.words)
         except Exception as error:
             raise DetectorUnavailable(f"the model cannot be loaded: {error}") from error
-        names = [i.name for i in self.session.get_inputs()]
-        self.inputs = sorted((n for n in names if n in ("input_ids", "attention_mask")), key=lambda n: n != "input_ids")
+        given = {i.name: i.shape for i in self.session.get_inputs()}
+        self.inputs = sorted((n for n in given if n in ("input_ids", "attention_mask")), key=lambda n: n != "input_ids")
+        self.alone = any(isinstance(given[n][0], int) for n in self.inputs if given[n])  # a graph with a fixed number of texts a call
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("session", "tokenizer", "inputs")}  # sessions do not travel
+        return {k: v for k, v in self.__dict__.items() if k not in ("session", "tokenizer", "inputs", "alone")}  # sessions do not travel
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -128,15 +137,42 @@ class OnnxDetector:
         return cls(str(place / model), str(place / "tokenizer.json"), labels, biases)
 
     def detect(self, said: str) -> list[Span]:
+        return self.detect_many([said])[0]
+
+    def detect_many(self, texts: Sequence[str], room: int = CALL_TOKENS) -> list[list[Span]]:
+        """Spans of each text, several texts a call: those of like length together, padded to the longest under a mask."""
         import numpy as np
 
-        if not said:
-            return []
-        coded = self.tokenizer.encode(said, add_special_tokens=False)
-        ids = np.array([coded.ids], dtype=np.int64)
-        given = {n: ids if n == "input_ids" else np.ones_like(ids) for n in self.inputs}
-        logits = self.session.run(None, given)[0].reshape(ids.shape[1], -1)
-        return text.trim(said.encode(), self.decoder.spans(logits, bioes.byte_offsets(said, coded.offsets)))
+        coded = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
+        out: list[list[Span]] = [[] for _ in texts]
+        for call in length_buckets([len(c.ids) for c in coded], 0 if self.alone else room, padded="attention_mask" in self.inputs):
+            shape = len(call), max(len(coded[n].ids) for n in call)
+            ids, mask = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
+            for row, n in enumerate(call):
+                ids[row, : len(coded[n].ids)], mask[row, : len(coded[n].ids)] = coded[n].ids, 1
+            given = {n: ids if n == "input_ids" else mask for n in self.inputs}
+            logits = self.session.run(None, given)[0].reshape(*shape, -1)
+            for row, n in enumerate(call):
+                found = self.decoder.spans(logits[row, : len(coded[n].ids)], bioes.byte_offsets(texts[n], coded[n].offsets))
+                out[n] = text.trim(texts[n].encode(), found)
+        return out
+
+
+def length_buckets(sizes: Sequence[int], room: int, padded: bool) -> list[list[int]]:
+    """Places of the texts of ``sizes`` tokens by call, the shortest first; those without a token are left out.
+
+    A call has at most ``room`` tokens with its padding, or one text. No more than half of a text's row is padding; a model without a mask gets none, and so
+    only texts of the same size share a call.
+    """
+    calls: list[list[int]] = []
+    for n in sorted((n for n, size in enumerate(sizes) if size), key=lambda n: (sizes[n], n)):
+        least = sizes[calls[-1][0]] if calls else 0
+        fits = calls and (len(calls[-1]) + 1) * sizes[n] <= room and (sizes[n] <= 2 * least if padded else sizes[n] == least)
+        if fits:
+            calls[-1].append(n)
+        else:
+            calls.append([n])
+    return calls
 
 
 class RecentDetector:
@@ -165,7 +201,21 @@ class RecentDetector:
         if key in self.seen:
             self.seen.move_to_end(key)
             return self.seen[key]
-        found = self.seen[key] = self.detector.detect(said)
+        return self._remember(key, self.detector.detect(said))
+
+    def detect_many(self, texts: Sequence[str]) -> list[list[Span]]:
+        """The same for several texts: those not remembered go to the detector together, each distinct one once."""
+        keys = [hashlib.sha256(t.encode()).digest() for t in texts]
+        known = {k: self.seen[k] for k in keys if k in self.seen}
+        for k in known:
+            self.seen.move_to_end(k)
+        new = {k: t for k, t in zip(keys, texts) if k not in known}
+        for k, found in zip(new, detect_all(self.detector, list(new.values()))):
+            known[k] = self._remember(k, found)
+        return [known[k] for k in keys]
+
+    def _remember(self, key: bytes, found: list[Span]) -> list[Span]:
+        self.seen[key] = found
         if len(self.seen) > self.capacity:
             self.seen.popitem(last=False)
         return found

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.kernels import chunk, jsonwalk, text
 from cloakwork.operators import native
-from cloakwork.operators.detect import Detector, RuleDetector
+from cloakwork.operators.detect import Detector, RuleDetector, detect_all
 from cloakwork.operators.shared import written_once
 
 PAIRS = "array<struct<from:string,to:string>>"
@@ -46,10 +46,15 @@ class EngineConf:
 
 def find_spans(said: str, conf: EngineConf) -> list[text.Span]:
     """Merged spans of one text; an error of the detector is the caller's."""
-    if len(said.encode()) < text.SPAN_MIN:
-        return []
-    parts = chunk.split(said, conf.chunk_target, conf.chunk_overlap)
-    return chunk.merge((p, conf.detector.detect(p.text) if len(p.text.encode()) >= text.SPAN_MIN else []) for p in parts)
+    return find_all_spans([said], conf)[0]
+
+
+def find_all_spans(texts: list[str], conf: EngineConf) -> list[list[text.Span]]:
+    """The same for several texts, whose chunks go to the detector together."""
+    parts = [chunk.split(t, conf.chunk_target, conf.chunk_overlap) if len(t.encode()) >= text.SPAN_MIN else [] for t in texts]
+    asked = [p.text for own in parts for p in own if len(p.text.encode()) >= text.SPAN_MIN]
+    found = iter(detect_all(conf.detector, asked))
+    return [chunk.merge([(p, next(found) if len(p.text.encode()) >= text.SPAN_MIN else []) for p in own]) for own in parts]
 
 
 def placeholder(kind: Column, value: Column, nonce: bytes, hex_digits: int = text.HEX_DIGITS) -> Column:
@@ -68,12 +73,21 @@ def protected_blobs(said: Column) -> Column:
 class _Redactor:
     conf: EngineConf
 
-    def one(self, said: str | None) -> tuple[str | None, list[text.Pair], str]:
-        """Redacted text, pairs and status; a failure never gives the text."""
+    def all(self, texts: list[str | None]) -> list[tuple[str | None, list[text.Pair], str]]:
+        """Redacted text, pairs and status of each; a failure never gives the text, and is looked for text by text."""
+        try:
+            spans = iter(find_all_spans([t for t in texts if t is not None], self.conf))
+            found = [None if t is None else next(spans) for t in texts]
+        except Exception:
+            found = [None] * len(texts)
+        return [self.one(t, s) for t, s in zip(texts, found)]
+
+    def one(self, said: str | None, spans: list[text.Span] | None = None) -> tuple[str | None, list[text.Pair], str]:
         if said is None:
             return None, [], "ok"
         try:
-            return *text.redact(said, find_spans(said, self.conf), self.conf.nonce, self.conf.guard, self.conf.hex_digits), "ok"
+            spans = find_spans(said, self.conf) if spans is None else spans
+            return *text.redact(said, spans, self.conf.nonce, self.conf.guard, self.conf.hex_digits), "ok"
         except Exception:
             return None, [], FAILED
 
@@ -117,7 +131,7 @@ def redact_documents(docs: DataFrame, conf: EngineConf, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _Redactor(conf)
         for batch in batches:
-            out = [worker.one(t) for t in batch.column(len(rest)).to_pylist()]
+            out = worker.all(batch.column(len(rest)).to_pylist())
             pairs = pa.array([_pairs(o[1]) for o in out], pa.list_(pa.struct([("from", pa.string()), ("to", pa.string())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([o[0] for o in out], pa.string()), pairs, pa.array([o[2] for o in out])], names=[*rest, "redacted", "mapping", "status"])
 
@@ -147,7 +161,9 @@ def detect(said: Column, detector: Detector) -> Column:
 
     @F.pandas_udf(SPANS)
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [] if t is None or len(t.encode()) < text.SPAN_MIN else [dict(zip(("start", "end", "class", "score"), s)) for s in detector.detect(t)])
+        long = [t is not None and len(t.encode()) >= text.SPAN_MIN for t in column]
+        found = iter(detect_all(detector, [t for t, ask in zip(column, long) if ask]))
+        return pd.Series([[dict(zip(("start", "end", "class", "score"), s)) for s in next(found)] if ask else [] for ask in long], dtype=object)
 
     return run(said)
 

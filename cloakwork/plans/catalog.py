@@ -319,6 +319,8 @@ def stored_field_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = ["O", "B-private_person", "I-private_person", "E-private_person", "S-secret"]
 WORDS = {"of": (2, 3, -5, 0, 0), "the": (2, 0, -5, 3, 0), "und": (0, 0, -5, 0, 3)}
 OTHER = (5, 0, -5, 0, 0)
+#: What a word adds to the logits of all words of its document.
+CONTEXT = {"and": (0.7, 0, 0, 0, 0)}
 
 
 def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,6 +330,13 @@ def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "class", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
+def model_spans_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a model with an attention mask, in which every ``and`` of a document speaks against spans; documents of like length share a call."""
+    detector = OnnxDetector(*lookup_model(WORDS, OTHER, CONTEXT), LABELS)
+    found = redaction.small_batches(table(spark, sf_dir, "documents")).select("doc_id", F.inline(redaction.detect(F.col("text"), detector)))
+    return found.select("doc_id", "start", "end", "class", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
 def json_string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """String values of nested objects and arrays, in order, without keys, numbers and empty strings."""
     deep = F.array(F.array(F.struct(F.col("props").alias("event_type"), F.array(F.lit("x"), F.lit("")).alias("y"))))
@@ -420,7 +429,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         route_kinds, key_path_split, restore_modes, header_maps, request_mappings, error_bodies, tiny_texts, rule_class_counts, placeholders, placeholder_collisions, guarded_blobs,
         redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_bounds, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
         conversation_fields, anthropic_tool_fields, chat_call_fields, responses_item_fields, request_round_trip, redacted_bodies, field_log, stored_field_log, json_string_values,
-        forwarded_requests, restored_answers, sse_round_trip, sse_chat, sse_responses, viterbi_tags, model_spans, catalog_sizes, token_verify, pii_report, documents_without_findings,
+        forwarded_requests, restored_answers, sse_round_trip, sse_chat, sse_responses, viterbi_tags, model_spans, model_spans_in_context, catalog_sizes, token_verify, pii_report, documents_without_findings,
     )
     return {f.__name__: f for f in made}
 
@@ -493,6 +502,11 @@ x AS (SELECT *, lead(e) OVER (PARTITION BY doc_id ORDER BY k) AS e2 FROM pl)
 SELECT doc_id, e - 3 AS "start", e AS "end", 'secret' AS class, {_ALONE} AS score FROM x WHERE w = 'und'
 UNION ALL SELECT doc_id, e - 2, e2, 'private_person', {_MEAN} FROM x WHERE w = 'of' AND w2 = 'the'"""
 
+#: A document's `and`s (k) let `und` stand while 0.7 k < 3, and `of the` while 4 + 1.4 k < 6.
+_CONTEXT_SQL = f"""{_MODEL_SQL[: _MODEL_SQL.index("SELECT doc_id, e - 3")]}, heard AS (SELECT doc_id, 0.7 * count(*) FILTER (w = 'and') AS b FROM w GROUP BY doc_id)
+SELECT doc_id, e - 3 AS "start", e AS "end", 'secret' AS class, CAST(round(exp(3) / (exp(3) + exp(b) + 2 + exp(-5)), 4) AS DOUBLE) AS score FROM x JOIN heard USING (doc_id) WHERE w = 'und' AND b < 3
+UNION ALL SELECT doc_id, e - 2, e2, 'private_person', CAST(round(exp(3) / (exp(3) + exp(2 + b) + 2 + exp(-5)), 4) AS DOUBLE) FROM x JOIN heard USING (doc_id) WHERE w = 'of' AND w2 = 'the' AND 2 * b < 2"""
+
 
 def _body_sql(text: str, family: str) -> str:
     said = f"to_json({text})::VARCHAR"
@@ -521,6 +535,7 @@ def oracle_sql() -> dict[str, str]:
             coalesce(string_agg(class, ',' ORDER BY class), '') AS classes FROM documents LEFT JOIN spans_ USING (doc_id) GROUP BY doc_id, text""",
         "stored_field_log": _STORED_SQL,
         "model_spans": _MODEL_SQL,
+        "model_spans_in_context": _CONTEXT_SQL,
         "forwarded_requests": f"""{red}, r AS (SELECT *, doc_id % 5 <> 4 AS post, {_body_sql('text', 'doc_id % 3')} || CASE WHEN doc_id % 11 = 10 THEN ']' ELSE '' END AS asked FROM red),
             c AS (SELECT *, CASE WHEN doc_id % 7 IN (0, 1) OR doc_id % 13 = 12 THEN 401 WHEN strlen(asked) > {LIMIT} THEN 413 WHEN post AND doc_id % 11 = 10 THEN 502 ELSE 200 END AS status_code FROM r)
             SELECT doc_id, CASE WHEN post AND status_code IN (200, 502) THEN {kinds} ELSE 'passthrough' END AS kind, CAST(status_code AS INTEGER) AS status_code,
