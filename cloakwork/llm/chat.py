@@ -41,16 +41,18 @@ def _joined(texts: Column) -> Column:
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """Final messages from ``events`` (conv_id, message_id, seq, kind, role, text): conv_id, message_id, seq, role, text.
+    """Final messages from ``events`` (conv_id, message_id, seq, kind, role, text, and step if there is one): conv_id, message_id, seq, role, text.
 
-    Events of a message count in the order of (seq, kind, text), null text as empty. ``message`` and ``edit`` set the text,
+    Events of a message count in the order of (seq, step, kind, text), null text as empty. An event that repeats counts as often, so a repeated delta adds
+    twice. No events give no messages; other columns are ignored. ``message`` and ``edit`` set the text,
     ``delta`` adds to it, ``regenerate`` empties it, ``retract`` removes the message until a later event sets or adds text
     again. Its place is its smallest seq and its role that of its first event that has one. Null keys are keys
     like any other; unknown kinds are an error.
     """
     known = F.coalesce(F.col("kind"), F.lit("")).isin(*KINDS)
     kind = F.when(known, F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown event kind: "), F.coalesce("kind", F.lit("null")))))
-    event = F.struct(F.col("seq"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("role"))
+    step = F.col("step") if "step" in events.columns else F.lit(0)
+    event = F.struct(F.col("seq"), step.alias("step"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("role"))
     log = events.groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
     # the last event that empties or sets the text decides where the text starts
     resets = F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i).otherwise(F.lit(-1)))
@@ -70,7 +72,8 @@ def render(final: DataFrame) -> DataFrame:
 
     ``segments`` are the consecutive parts of ``formatted``, each with ``loss``: whether the training loss covers it. It covers
     the texts of assistants, as escaped, without the marks around them. Messages are in the order of (seq, message_id, role,
-    text); null roles and texts are empty.
+    text); null roles and texts are empty. Repeated messages are rendered as often, a null conv_id is a conversation, no messages give no rows; other columns are
+    ignored.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     loss = role == LOSS_ROLE
@@ -93,7 +96,10 @@ def render(final: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """From rendered conversations: conv_id, turns (array of role and text), loss_texts (array), all unescaped."""
+    """From rendered conversations: conv_id, turns (array of role and text), loss_texts (array), all unescaped.
+
+    Row by row: repeated rows are read as often, none give none, a null ``formatted`` has null turns; other columns are ignored.
+    """
     turn = r"(?s)<s>(.*?)\[INST\](.*?)\[/INST\]</s>"
     roles, texts = F.regexp_extract_all("formatted", F.lit(turn), F.lit(1)), F.regexp_extract_all("formatted", F.lit(turn), F.lit(2))
     pairs = F.zip_with(roles, texts, lambda r, t: F.struct(unescape(r).alias("role"), unescape(t).alias("text")))
@@ -102,12 +108,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Each row of ``conversations`` (conv_id, turn, role, text) as a whole message.
+    """The rows of ``conversations`` (conv_id, turn, role, text) as the log of how they came to be: conv_id, message_id, seq, step, kind, role, text.
 
-    Rows that repeat a turn are messages of their own, numbered within the turn by (role, text).
+    An assistant's text is a draft that is thrown away by a regeneration and then streamed in three deltas; any other is a delta that is retracted, a new message with
+    its first third, and an edit to the whole. Folding gives every row back as it was; null texts come back empty. Rows that repeat a turn are messages of
+    their own, numbered within the turn by (role, text). An empty table gives no events; other columns are ignored.
     """
     number = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return conversations.select("conv_id", F.struct("turn", number.alias("nth")).alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    ends = [F.floor(F.char_length(text) * n / 3).cast("int") for n in range(4)]
+    first, second, third = (F.substring(text, a + 1, b - a) for a, b in zip(ends, ends[1:]))
+    streamed = (("message", third), ("regenerate", F.lit("")), ("delta", first), ("delta", second), ("delta", third))
+    edited = (("delta", text), ("retract", F.lit("")), ("message", first), ("edit", text))
+    logs = [F.array(*(F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), said.alias("text")) for n, (kind, said) in enumerate(log))) for log in (streamed, edited)]
+    rows = conversations.select("conv_id", F.struct("turn", number.alias("nth")).alias("message_id"), F.col("turn").alias("seq"), "role", F.when(F.col("role").eqNullSafe(LOSS_ROLE), logs[0]).otherwise(logs[1]).alias("log"))
+    return rows.select("conv_id", "message_id", "seq", "role", F.inline("log")).select("conv_id", "message_id", "seq", "step", "kind", "role", "text")
 
 
 def digest(formatted: DataFrame) -> DataFrame:

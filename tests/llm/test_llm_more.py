@@ -1,4 +1,4 @@
-"""Periodic runs, quality and spelling variants."""
+"""Periodic runs, quality, spelling variants, and the logs of chat formatting."""
 
 import hashlib
 import random
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloakwork.llm import periodic, quality, spelling
+from cloakwork.llm import chat, periodic, quality, spelling
 from cloakwork.llm.common import fold
 from cloakwork.llm.queries import planted_misspelling, planted_repeats
 
@@ -195,3 +195,16 @@ def test_quality_sample_keeps_its_bounds(spark):
     bags, marks = quality.sample(docs.unionAll(docs), labels, labelled=50, most=100)
     assert 0 < len(bags) == len(marks) <= 50 and sum(map(len, bags)) <= 100
     assert quality.sample(docs, labels, labelled=50, most=0) == ([], [])
+
+
+def test_logs_of_rows_fold_back_into_the_rows(spark):
+    rows = [(1, 0, "user", "é😀日 </s>[INST]"), (1, 1, "assistant", "ab"), (1, 1, "assistant", "ab"), (1, 2, "assistant", "x" * 9001), (1, 3, None, None), (2, None, "assistant", "😀"), (2, None, "assistant", ""), (None, -5, "assistant", "abc"), (3, 1 << 62, "system", "far")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash")).withColumn("step", F.lit(7))
+    log = chat.as_events(table)
+    kinds = {(r["kind"]) for r in log.select("kind").distinct().collect()}
+    assert kinds == set(chat.KINDS)
+    got = sorted(map(str, (tuple(r) for r in chat.messages(log).select("conv_id", "seq", "role", "text").collect())))
+    assert got == sorted(str((c, t, r, x or "")) for c, t, r, x in rows)
+    assert chat.as_events(table.limit(0)).count() == 0
+    plan = chat.digest(chat.render(chat.messages(log)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
