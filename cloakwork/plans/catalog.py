@@ -15,7 +15,7 @@ from cloakwork.operators.redaction import EngineConf
 from cloakwork.operators.shared import shared_folder
 from cloakwork.operators.store import SpanStore
 from cloakwork.sources.lookup_model import lookup_model
-from cloakwork.sources.models import catalog_table
+from cloakwork.sources.models import CATALOG, catalog_table
 from cloakwork.streaming.restore import restore_batch
 
 NONCE = b"cloakwork-nonce!"  # fixed, so that results can be compared
@@ -139,6 +139,13 @@ def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "ord", F.col("start").cast("long").alias("start"), F.octet_length("text").cast("long").alias("n_bytes"), "hard_left", "hard_right")
 
 
+def hard_chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of texts in which two of three documents lack blanks, or blanks and line feeds, so that chunks end hard, at a character's start."""
+    said = F.when(F.col("doc_id") % 3 == 0, F.replace(F.replace("text", F.lit(" "), F.lit("é")), F.lit("\n"), F.lit("日"))).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit(" "), F.lit("é"))).otherwise(F.col("text"))
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.inline(redaction.chunks(said)))
+    return parts.select("doc_id", "ord", F.col("start").cast("long").alias("start"), F.octet_length("text").cast("long").alias("n_bytes"), "hard_left", "hard_right")
+
+
 def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document's chunks cover it without a gap, and their largest size."""
     parts = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"), redaction.chunks(F.col("text")).alias("c"))
@@ -319,6 +326,8 @@ def stored_field_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = ["O", "B-private_person", "I-private_person", "E-private_person", "S-secret"]
 WORDS = {"of": (2, 3, -5, 0, 0), "the": (2, 0, -5, 3, 0), "und": (0, 0, -5, 0, 3)}
 OTHER = (5, 0, -5, 0, 0)
+#: Dyadic, so that sums are exact.
+BIASES = bioes.Biases(4.5, -2.25, 1.125, -3.5, 2.25, -5.0)
 #: What a word adds to the logits of all words of its document.
 CONTEXT = {"and": (0.7, 0, 0, 0, 0)}
 
@@ -387,20 +396,33 @@ def sse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _put_together(_streamed(spark, sf_dir, jsonwalk.RESPONSES, event, last), "$.delta", "$.text")
 
 
-def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BIOES decoding of vectors read as logits: five tags, twelve tokens each."""
+def _n_spans(spark: SparkSession, sf_dir: str, biases: bioes.Biases) -> DataFrame:
     labels = ["O", "B-secret", "I-secret", "E-secret", "S-secret"]
 
     @F.pandas_udf("int")
     def n_spans(vectors):  # noqa: ANN001, ANN202
-        decoder = bioes.Decoder(labels)
+        decoder = bioes.Decoder(labels, biases)
         return vectors.map(lambda v: len(decoder.spans([[float(x) * 20 for x in v[5 * k : 5 * k + 5]] for k in range(12)], [(k, k + 1) for k in range(12)])))
 
     return table(spark, sf_dir, "embeddings").select("vec_id", n_spans("embedding").alias("n_spans"))
 
 
+def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIOES decoding of vectors read as logits: five tags, twelve tokens each."""
+    return _n_spans(spark, sf_dir, bioes.Biases())
+
+
+def viterbi_biased_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every kind of step calibrated."""
+    return _n_spans(spark, sf_dir, BIASES)
+
+
 def catalog_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog_table(spark).select("name", F.size("files").cast("long").alias("n_files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"]).alias("bytes"))
+    """Each model of the catalog with its size and what it has to read: English documents go to the default, all others to the multilingual one."""
+    sizes = catalog_table(spark).select("name", F.size("files").cast("long").alias("n_files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"]).alias("bytes"))
+    model = F.when(F.col("lang").eqNullSafe("en"), CATALOG[0][0]).otherwise(CATALOG[1][0])
+    read = table(spark, sf_dir, "documents").groupBy(model.alias("name")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.octet_length("text")).cast("long").alias("text_bytes"))
+    return sizes.join(read, "name", "left").select("name", "n_files", "bytes", F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"), F.coalesce("text_bytes", F.lit(0)).cast("long").alias("text_bytes"))
 
 
 def token_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,9 +449,9 @@ def documents_without_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         route_kinds, key_path_split, restore_modes, header_maps, request_mappings, error_bodies, tiny_texts, rule_class_counts, placeholders, placeholder_collisions, guarded_blobs,
-        redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_bounds, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
+        redact_documents, redact_unguarded, residual_after_guard, round_trip, chunk_bounds, hard_chunk_bounds, chunk_cover, chunk_dedup_stats, spans_by_distinct_chunk, merge_spans,
         conversation_fields, anthropic_tool_fields, chat_call_fields, responses_item_fields, request_round_trip, redacted_bodies, field_log, stored_field_log, json_string_values,
-        forwarded_requests, restored_answers, sse_round_trip, sse_chat, sse_responses, viterbi_tags, model_spans, model_spans_in_context, catalog_sizes, token_verify, pii_report, documents_without_findings,
+        forwarded_requests, restored_answers, sse_round_trip, sse_chat, sse_responses, viterbi_tags, viterbi_biased_tags, model_spans, model_spans_in_context, catalog_sizes, token_verify, pii_report, documents_without_findings,
     )
     return {f.__name__: f for f in made}
 
@@ -452,17 +474,21 @@ w AS (SELECT *, "start" + size AS "end", max("start" + size) OVER (PARTITION BY
 SELECT doc_id, "start", "end", class FROM w WHERE before_ IS NULL OR "end" > before_"""
 
 
-def _viterbi_sql(n_tokens: int = 12) -> str:
+def _viterbi_sql(biases: bioes.Biases, n_tokens: int = 12) -> str:
     """Best BIOES path over five tags (O, B, I, E, S), its score and finished spans carried for each last tag."""
 
     def logit(k: int, tag: int) -> str:
         return f"CAST(embedding[{5 * k + tag + 1}] AS DOUBLE) * 20"
 
+    def from_free(stay: float, leave: float) -> tuple[str, str]:
+        o, e, s = f"o + {stay}::DOUBLE", f"e + {leave}::DOUBLE", f"s + {leave}::DOUBLE"
+        return f"greatest({o}, {e}, {s})", f"CASE WHEN {o} >= {e} AND {o} >= {s} THEN no WHEN e >= s THEN ne ELSE ns END"
+
     ctes = [f"t0 AS (SELECT vec_id, embedding, {logit(0, 0)} AS o, {logit(0, 1)} AS b, CAST('-Infinity' AS DOUBLE) AS i, CAST('-Infinity' AS DOUBLE) AS e, {logit(0, 4)} AS s, 0 AS no, 0 AS nb, 0 AS ni, 0 AS ne, 1 AS ns FROM embeddings)"]
+    (rest, n_rest), (start, n_start) = from_free(biases.background_stay, biases.end_to_background), from_free(biases.background_to_start, biases.end_to_start)
     for k in range(1, n_tokens):
-        free, n_free = "greatest(o, e, s)", "CASE WHEN o >= e AND o >= s THEN no WHEN e >= s THEN ne ELSE ns END"
         open_, n_open = "greatest(b, i)", "CASE WHEN b >= i THEN nb ELSE ni END"
-        ctes.append(f"t{k} AS (SELECT vec_id, embedding, {free} + {logit(k, 0)} AS o, {free} + {logit(k, 1)} AS b, {open_} + {logit(k, 2)} AS i, {open_} + {logit(k, 3)} AS e, {free} + {logit(k, 4)} AS s, {n_free} AS no, {n_free} AS nb, {n_open} AS ni, {n_open} + 1 AS ne, {n_free} + 1 AS ns FROM t{k - 1})")
+        ctes.append(f"t{k} AS (SELECT vec_id, embedding, {rest} + {logit(k, 0)} AS o, {start} + {logit(k, 1)} AS b, {open_} + {biases.inside_to_continue} + {logit(k, 2)} AS i, {open_} + {biases.inside_to_end} + {logit(k, 3)} AS e, {start} + {logit(k, 4)} AS s, {n_rest} AS no, {n_start} AS nb, {n_open} AS ni, {n_open} + 1 AS ne, {n_start} + 1 AS ns FROM t{k - 1})")
     best = "greatest(o, b, i, e, s)"
     return f"WITH {', '.join(ctes)} SELECT vec_id, CAST(CASE {best} WHEN o THEN no WHEN b THEN nb WHEN i THEN ni WHEN e THEN ne ELSE ns END AS INTEGER) AS n_spans FROM t{n_tokens - 1}"
 
@@ -479,13 +505,25 @@ def _fold(guard: bool) -> str:
 
 _CUT = """CASE WHEN n - @S@ <= 4096 THEN {'e': n, 'i': length(text)} ELSE coalesce(
   list_last(list_filter(nl, lambda x: x.e > @S@ + 2048 AND x.e <= @S@ + 4096)), list_last(list_filter(sp, lambda x: x.e > @S@ + 2048 AND x.e <= @S@ + 4096)), {'e': @S@ + 4096, 'i': @I@ + 4096}) END"""
-#: Chunks by the places of line feeds and spaces, in bytes and in characters; hard ends do not occur in the test data.
+#: Chunks by the places of line feeds and spaces, in bytes and in characters; hard ends do not occur in the test data as it is.
 _CHUNKS_SQL = f"""WITH RECURSIVE ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE strlen(text) > 4096),
 p AS (SELECT doc_id, c, i, CAST(sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM ch),
 br AS (SELECT doc_id, list({{'e': e, 'i': i}} ORDER BY i) FILTER (c = chr(10)) AS nl, list({{'e': e, 'i': i}} ORDER BY i) FILTER (c = ' ') AS sp FROM p GROUP BY doc_id),
 d AS (SELECT doc_id, text, strlen(text) AS n, coalesce(nl, []) AS nl, coalesce(sp, []) AS sp FROM documents LEFT JOIN br USING (doc_id)),
 k AS (SELECT doc_id, 0 AS ord, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS si, {_CUT.replace("@S@", "0").replace("@I@", "0")} AS cut FROM d
       UNION ALL SELECT doc_id, ord + 1, cut.e, cut.i, {_CUT.replace("@S@", "cut.e").replace("@I@", "cut.i")} FROM k JOIN d USING (doc_id) WHERE cut.e < n)"""
+_SOFT = """CASE WHEN n - @S@ <= 4096 THEN n ELSE coalesce(list_last(list_filter(nl, lambda x: x > @S@ + 2048 AND x <= @S@ + 4096)), list_last(list_filter(sp, lambda x: x > @S@ + 2048 AND x <= @S@ + 4096))) END"""
+_LAST = "list_last(list_filter(ends, lambda x: x <= @S@ + 4096))"
+#: The same for texts that lack blanks: a hard end is the last character's that fits, and the next chunk begins at the first one that ends 512 bytes before or later.
+_HARD_SQL = f"""WITH RECURSIVE t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(replace(text, ' ', 'é'), chr(10), '日') WHEN 1 THEN replace(text, ' ', 'é') ELSE text END AS text FROM documents),
+ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM t WHERE strlen(text) > 4096),
+p AS (SELECT doc_id, c, i, CAST(sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM ch),
+br AS (SELECT doc_id, list(e ORDER BY i) AS ends, list(e ORDER BY i) FILTER (c = chr(10)) AS nl, list(e ORDER BY i) FILTER (c = ' ') AS sp FROM p GROUP BY doc_id),
+d AS (SELECT doc_id, strlen(text) AS n, coalesce(ends, []) AS ends, coalesce(nl, []) AS nl, coalesce(sp, []) AS sp FROM t LEFT JOIN br USING (doc_id)),
+k AS (SELECT doc_id, 0 AS ord, CAST(0 AS BIGINT) AS s, false AS hl, {_SOFT.replace("@S@", "0")} AS soft, {_LAST.replace("@S@", "0")} AS hard FROM d
+      UNION ALL SELECT doc_id, ord + 1, s2, soft IS NULL, {_SOFT.replace("@S@", "s2")}, {_LAST.replace("@S@", "s2")} FROM (
+        SELECT doc_id, ord, soft, n, nl, sp, ends, coalesce(soft, least(hard, list_filter(ends, lambda x: x >= greatest(hard - 512, s + 1))[1])) AS s2 FROM k JOIN d USING (doc_id) WHERE coalesce(soft, hard) < n))
+SELECT doc_id, ord, s AS "start", coalesce(soft, hard) - s AS n_bytes, hl AS hard_left, soft IS NULL AS hard_right FROM k"""
 #: Chunks of the texts before and after they grow; one is cached if some text had it before.
 _STORED_SQL = f"""{_CHUNKS_SQL.replace("RECURSIVE", f"RECURSIVE grown AS (SELECT doc_id, text || '{GROWTH}' || lang || '@example.org' AS text FROM documents), all_ AS (SELECT doc_id * 2 AS doc_id, text FROM documents UNION ALL SELECT doc_id * 2 + 1, text FROM grown), spans_ AS ({_SPANS_SQL.replace('documents', 'grown')}),", 1).replace("FROM documents WHERE", "FROM all_ WHERE").replace("FROM documents LEFT", "FROM all_ LEFT")},
 every AS (SELECT doc_id, substr(text, si + 1, cut.i - si) AS part FROM k JOIN d USING (doc_id)),
@@ -560,7 +598,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT event_id, ['Connection', 'TE', 'Content-Length', 'accept-encoding', 'X-Trace', 'Content-Type'][:event_id % 7] AS h FROM events)""",
         "request_mappings": """SELECT l_orderkey, "from", arg_min("to", l_linenumber) AS "to" FROM (SELECT l_orderkey, l_linenumber, CAST(min(l_partkey) % 4 AS VARCHAR) AS "from", CAST(min(l_suppkey) AS VARCHAR) AS "to" FROM lineitem GROUP BY ALL) GROUP BY ALL""",
         "spans_by_distinct_chunk": _SPANS_SQL,
-        "viterbi_tags": _viterbi_sql(),
+        "viterbi_tags": _viterbi_sql(bioes.Biases()),
         "sse_round_trip": texts,
         "error_bodies": """SELECT event_id, '{"error":{"message":"' || event_type || '"}}' AS body FROM events""",
         "tiny_texts": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) >= 3 AS detectable FROM documents",
@@ -582,7 +620,11 @@ def oracle_sql() -> dict[str, str]:
         "conversation_fields": "SELECT conv_id, turn, text FROM conversations",
         "request_round_trip": texts,
         "json_string_values": "SELECT event_id, CAST(n - 1 AS INTEGER) AS ord, vs[n] AS value FROM (SELECT event_id, [event_type, props, props, 'x'] AS vs, unnest(range(1, 5)) AS n FROM events)",
-        "catalog_sizes": "SELECT * FROM (VALUES ('openai/privacy-filter', CAST(6 AS BIGINT), CAST(837099555 AS BIGINT)), ('knowledgator/gliner-pii-small-v1.0', 5, 330429965)) t(name, n_files, bytes)",
+        "catalog_sizes": """SELECT name, n_files, bytes, count(doc_id) AS n_documents, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS text_bytes
+            FROM (VALUES ('openai/privacy-filter', CAST(6 AS BIGINT), CAST(837099555 AS BIGINT), true), ('knowledgator/gliner-pii-small-v1.0', 5, 330429965, false)) t(name, n_files, bytes, english)
+            LEFT JOIN documents ON english = coalesce(lang = 'en', false) GROUP BY ALL""",
+        "viterbi_biased_tags": _viterbi_sql(BIASES),
+        "hard_chunk_bounds": _HARD_SQL,
         "pii_report": f"{_CTE} SELECT lang, source, class, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM found GROUP BY ROLLUP (lang, source, class)",
         "documents_without_findings": f"{_CTE} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
         "token_verify": f"""SELECT c_custkey, status, CASE WHEN status IN ('ok', 'expired') THEN CAST(c_custkey AS BIGINT) END AS pid,
