@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
@@ -107,6 +108,7 @@ class OnnxDetector:
             import onnxruntime
             from tokenizers import Tokenizer
 
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # for batches of texts
             options = onnxruntime.SessionOptions()
             options.intra_op_num_threads = options.inter_op_num_threads = 1  # a task has one core
             self.session = onnxruntime.InferenceSession(self.model, options, providers=["CPUExecutionProvider"])
