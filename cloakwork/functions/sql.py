@@ -19,7 +19,7 @@ def register(spark: SparkSession, conf: EngineConf) -> None:
 
     @F.pandas_udf(f"struct<text:string,mapping:{PAIRS}>")
     def cloak_redact(said: pd.Series) -> pd.DataFrame:
-        out = [(None, []) if t is None else text.redact(t, find_spans(t, conf), conf.nonce, conf.guard, conf.hex_digits) for t in said]
+        out = [(None, []) if t is None else text.redact(t, find_spans(t, conf, conf.nested), conf.nonce, conf.guard, conf.hex_digits) for t in said]
         return pd.DataFrame({"text": [o[0] for o in out], "mapping": [[{"from": a, "to": b} for a, b in o[1]] for o in out]})
 
     @F.pandas_udf("string")

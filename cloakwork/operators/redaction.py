@@ -34,7 +34,10 @@ BATCH_ROWS = 128
 
 @dataclass(frozen=True)
 class EngineConf:
-    """What a job fixes once: the nonce is chosen on the driver, at random unless given, so retried tasks give equal placeholders."""
+    """What a job fixes once: the nonce is chosen on the driver, at random unless given, so retried tasks give equal placeholders.
+
+    A value that is found inside another span only has no pair of its own, unless ``nested`` says so; the spans that are reported are merged all the same.
+    """
 
     nonce: bytes = field(default_factory=lambda: secrets.token_bytes(NONCE_BYTES))
     detector: Detector = field(default_factory=RuleDetector)
@@ -42,19 +45,20 @@ class EngineConf:
     chunk_overlap: int = chunk.OVERLAP
     guard: bool = True
     hex_digits: int = text.HEX_DIGITS
+    nested: bool = False
 
 
-def find_spans(said: str, conf: EngineConf) -> list[text.Span]:
-    """Merged spans of one text; an error of the detector is the caller's."""
-    return find_all_spans([said], conf)[0]
+def find_spans(said: str, conf: EngineConf, nested: bool = False) -> list[text.Span]:
+    """Merged spans of one text, with ``nested`` those inside others too; an error of the detector is the caller's."""
+    return find_all_spans([said], conf, nested)[0]
 
 
-def find_all_spans(texts: list[str], conf: EngineConf) -> list[list[text.Span]]:
+def find_all_spans(texts: list[str], conf: EngineConf, nested: bool = False) -> list[list[text.Span]]:
     """The same for several texts, whose chunks go to the detector together."""
     parts = [chunk.split(t, conf.chunk_target, conf.chunk_overlap) if len(t.encode()) >= text.SPAN_MIN else [] for t in texts]
     asked = [p.text for own in parts for p in own if len(p.text.encode()) >= text.SPAN_MIN]
     found = iter(detect_all(conf.detector, asked))
-    return [chunk.merge([(p, next(found) if len(p.text.encode()) >= text.SPAN_MIN else []) for p in own]) for own in parts]
+    return [chunk.merge([(p, next(found) if len(p.text.encode()) >= text.SPAN_MIN else []) for p in own], nested) for own in parts]
 
 
 def placeholder(kind: Column, value: Column, nonce: bytes, hex_digits: int = text.HEX_DIGITS) -> Column:
@@ -76,7 +80,7 @@ class _Redactor:
     def all(self, texts: list[str | None]) -> list[tuple[str | None, list[text.Pair], str]]:
         """Redacted text, pairs and status of each; a failure never gives the text, and is looked for text by text."""
         try:
-            spans = iter(find_all_spans([t for t in texts if t is not None], self.conf))
+            spans = iter(find_all_spans([t for t in texts if t is not None], self.conf, self.conf.nested))
             found = [None if t is None else next(spans) for t in texts]
         except Exception:
             found = [None] * len(texts)
@@ -86,7 +90,7 @@ class _Redactor:
         if said is None:
             return None, [], "ok"
         try:
-            spans = find_spans(said, self.conf) if spans is None else spans
+            spans = find_spans(said, self.conf, self.conf.nested) if spans is None else spans
             return *text.redact(said, spans, self.conf.nonce, self.conf.guard, self.conf.hex_digits), "ok"
         except Exception:
             return None, [], FAILED
@@ -144,7 +148,8 @@ def _redact_natively(docs: DataFrame, conf: EngineConf, rest: list[str], text_co
     rows = rows.withColumn("hit", F.coalesce(conf.detector.might_match(said), F.lit(False)))
     whole = F.array(F.struct(F.lit(0).alias("ord"), F.lit(0).alias("start"), said.alias("text"), F.lit(False).alias("hard_left"), F.lit(False).alias("hard_right"))).cast(CHUNKS)
     parts = F.when(native.may_break(said, conf.chunk_target), native.chunks(said, conf.chunk_target, conf.chunk_overlap)).otherwise(whole)
-    pairs = native.pairs_of(native.kept_spans(native.rule_spans(parts, conf.detector.given)), conf.nonce, conf.hex_digits)
+    found = native.rule_spans(parts, conf.detector.given)
+    pairs = native.pairs_of(F.array_sort(found) if conf.nested else native.kept_spans(found), conf.nonce, conf.hex_digits)
     rows = rows.withColumn("pairs", F.when(hit, pairs))
     redacted = F.when(hit, native.folded(said, F.col("pairs"), guard=conf.guard)).otherwise(said)
     made = (redacted, F.coalesce("pairs", F.array().cast(PAIRS)), F.lit("ok"))
@@ -168,11 +173,12 @@ def detect(said: Column, detector: Detector) -> Column:
     return run(said)
 
 
-def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+def merge_spans(spans: DataFrame, keys: list[str], nested: bool = False) -> DataFrame:
     """Field spans from chunk spans, in windows.
 
     ``spans`` has ``keys``, chunk_ord, chunk_start, chunk_bytes, hard_left, hard_right, span_ord, start, end, class, score. A span inside the
-    last kept one is dropped; as starts ascend and kept ends grow, that is the largest end before it.
+    last kept one is dropped; as starts ascend and kept ends grow, that is the largest end before it. With ``nested`` only a span at the place of an
+    earlier one is dropped.
     """
     cut = (F.col("hard_right") & (F.col("end") == F.col("chunk_bytes"))) | (F.col("hard_left") & (F.col("start") == 0))
     moved = spans.where(~cut).select(*keys, "chunk_ord", "span_ord", (F.col("chunk_start") + F.col("start")).alias("start"), (F.col("chunk_start") + F.col("end")).alias("end"), "class", "score")
@@ -180,6 +186,8 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     same = Window.partitionBy(*keys, "start", "end", "class")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     best = moved.withColumn("before", before).withColumn("score", F.max("score").over(same))
+    if nested:
+        best = best.withColumn("before", F.lag("end").over(Window.partitionBy(*keys, "start", "end").orderBy("chunk_ord", "span_ord", "class")))
     return best.where(F.col("before").isNull() | (F.col("end") > F.col("before"))).select(*keys, "start", "end", "class", "score")
 
 
@@ -197,10 +205,10 @@ def chunk_rows(docs: DataFrame, conf: EngineConf, keys: list[str], text_col: str
     return parts.where(F.col("chunk_bytes") >= text.SPAN_MIN)
 
 
-def spans_of_chunks(parts: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+def spans_of_chunks(parts: DataFrame, found: DataFrame, keys: list[str], nested: bool = False) -> DataFrame:
     """Merged spans of each document from its chunks (:func:`chunk_rows`) and the spans of each hash."""
     met = parts.join(found, "hash").select("*", F.posexplode("spans").alias("span_ord", "s"))
-    return merge_spans(met.select(*keys, "chunk_ord", "chunk_start", "chunk_bytes", "hard_left", "hard_right", "span_ord", "s.*"), keys)
+    return merge_spans(met.select(*keys, "chunk_ord", "chunk_start", "chunk_bytes", "hard_left", "hard_right", "span_ord", "s.*"), keys, nested)
 
 
 def restore(said: Column, mapping: Column, guard: bool = True) -> Column:
@@ -275,7 +283,7 @@ def redact_requests(requests: DataFrame, conf: EngineConf) -> DataFrame:
         try:
             (fields, cuts), merged, texts = jsonwalk.extract_all(kind, body), {}, []
             for f in fields:
-                said, pairs = text.redact(f.text, find_spans(f.text, conf), conf.nonce, conf.guard, conf.hex_digits)
+                said, pairs = text.redact(f.text, find_spans(f.text, conf, conf.nested), conf.nonce, conf.guard, conf.hex_digits)
                 texts.append(said)
                 for value, token in pairs:
                     merged.setdefault(value, token)

@@ -62,10 +62,10 @@ class SpanStore:
         marked = parts.drop("part", "bucket").join(known.select("hash", F.lit(True).alias("cached")), "hash", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
         return marked, known.select("hash", "spans").unionByName(found.select("hash", "spans"))
 
-    def detect(self, docs: DataFrame, conf: EngineConf, keys: list[str], text_col: str = "text") -> DataFrame:
+    def detect(self, docs: DataFrame, conf: EngineConf, keys: list[str], text_col: str = "text", nested: bool = False) -> DataFrame:
         """Merged spans (``keys``, start, end, class, score), as :func:`~cloakwork.operators.redaction.detect_distinct_chunks` finds them."""
         parts, spans = self.detect_chunks(docs, conf, keys, text_col)
-        return spans_of_chunks(parts.drop("cached"), spans, keys)
+        return spans_of_chunks(parts.drop("cached"), spans, keys, nested)
 
     def report(self, docs: DataFrame, conf: EngineConf, keys: list[str], text_col: str = "text") -> DataFrame:
         """What may be logged of each text: ``keys``, field_len (bytes), spans, classes, and of its chunks how many there are, and were cached."""
@@ -83,7 +83,7 @@ class SpanStore:
         """
         rest = [c for c in docs.columns if c != text_col]
         _free(rest, ("redacted", "mapping", "status"))
-        spans = self.detect(docs, conf, keys, text_col)
+        spans = self.detect(docs, conf, keys, text_col, conf.nested)
         listed = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), F.lit(0).alias("ord"), F.lit(0).alias("n"), "class"))).alias("found"))
         data = F.col(text_col).cast("binary")
         value = lambda s: F.decode(F.substring(data, s["start"] + 1, -s["minus_end"] - s["start"]), "UTF-8")
