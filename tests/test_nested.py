@@ -31,7 +31,7 @@ def test_pairs_of_values_inside_others(spark, tmp_path, nested):
     assert [s[:2] for s in redaction.find_spans(TEXTS[2], conf)] == [(5, 23)]  # what is reported is merged
 
 
-@pytest.mark.parametrize("query", ["redact_documents", "forwarded_requests", "redacted_bodies", "redact_unguarded", "round_trip"])
+@pytest.mark.parametrize("query", ["redact_documents", "residual_after_guard", "forwarded_requests", "redacted_bodies", "redact_unguarded", "round_trip"])
 def test_queries_count_values_inside_others_as_their_sql(spark, tmp_path, query):
     docs = spark.createDataFrame([(n, t, "en", "web", 1) for n, t in zip((488, 2, 3, 5), TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
