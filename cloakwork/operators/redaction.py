@@ -104,6 +104,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, keys: list[str], per_core: int = 4) -> DataFrame:
+    """``df`` dealt over all cores by its ``keys``, for detectors that cost far more than a shuffle: a file is cut by its row groups, of which it may have but one."""
+    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _free(columns: list[str], made: tuple[str, ...]) -> None:
     """An error if a column would stand beside a made one of the same name."""
     if clash := sorted({c for c in columns if c.lower() in made}):
