@@ -34,7 +34,7 @@ def test_byte_offsets_of_wide_characters():
     assert bioes.byte_offsets(said, [(0, 1), (1, 3), (3, 4), (4, 5), (5, 5)]) == [(0, 1), (1, 6), (6, 10), (10, 11), (11, 11)]
 
 
-@pytest.mark.parametrize("query", ["model_spans_in_context"])
+@pytest.mark.parametrize("query", ["model_spans", "model_spans_in_context"])
 def test_a_file_of_one_row_group_is_dealt_over_the_cores(spark, tmp_path, query):
     rnd = random.Random(1)
     texts = [" ".join(rnd.choice(["of", "the", "und", "and", "é"]) for _ in range(rnd.randint(0, 50))) for _ in range(40)]
