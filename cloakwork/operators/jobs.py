@@ -125,5 +125,5 @@ def field_log(requests: DataFrame, conf: EngineConf, keys: list[str]) -> DataFra
 
 def stored_field_log(requests: DataFrame, conf: EngineConf, keys: list[str], store: SpanStore) -> DataFrame:
     """The same through a span store, with chunks and, of these, cached: how many the store knew, and the detector was not asked for."""
-    fields = requests.select(*keys, F.explode(extract_fields(F.col("kind"), F.col("body"))).alias("f")).select(*keys, F.col("f.ord").alias("field"), F.col("f.text").alias("text"))
+    fields = small_batches(requests).select(*keys, F.explode(extract_fields(F.col("kind"), F.col("body"))).alias("f")).select(*keys, F.col("f.ord").alias("field"), F.col("f.text").alias("text"))
     return store.report(written_once(fields), conf, [*keys, "field"])

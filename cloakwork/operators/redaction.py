@@ -198,7 +198,7 @@ def merge_spans(spans: DataFrame, keys: list[str], nested: bool = False) -> Data
 
 def detect_distinct_chunks(docs: DataFrame, conf: EngineConf, keys: list[str], text_col: str = "text") -> DataFrame:
     """Merged spans of each document, every distinct chunk detected once (before edges are judged, as those differ by place)."""
-    parts = written_once(chunk_rows(docs, conf, keys, text_col))
+    parts = written_once(chunk_rows(small_batches(docs), conf, keys, text_col))
     found = parts.groupBy("hash").agg(F.first("part").alias("part")).select("hash", detect(F.col("part"), conf.detector).alias("spans"))
     return spans_of_chunks(parts.drop("part"), found, keys)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.operators import native
-from cloakwork.operators.redaction import FAILED, PAIRS, SPANS, EngineConf, _free, chunk_rows, detect, spans_of_chunks, substitute
+from cloakwork.operators.redaction import FAILED, PAIRS, SPANS, EngineConf, _free, chunk_rows, detect, small_batches, spans_of_chunks, substitute
 from cloakwork.operators.shared import written_once
 
 BUCKETS = 64
@@ -51,7 +51,7 @@ class SpanStore:
 
         Detects each distinct unknown chunk once and appends it. A detector's error stops the run, and nothing is appended.
         """
-        chunked = chunk_rows(docs, conf, keys, text_col)
+        chunked = chunk_rows(small_batches(docs), conf, keys, text_col)
         parts = written_once(chunked.withColumn("bucket", bucket(F.col("hash"))))
         met = [r[0] for r in parts.select("bucket").distinct().collect()]  # BUCKETS numbers at most
         known = written_once(self.read(met).join(parts.select("hash").distinct(), "hash", "left_semi"))
