@@ -69,35 +69,69 @@ def words(text: str | None) -> list[str]:
     return out
 
 
-def _codes(strings: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(strings), width), pad, dtype=np.int32)
-    for n, s in enumerate(strings):
-        out[n, : len(s)] = [ord(c) for c in s]
+def word_set(text: str | None) -> set[str]:
+    """The different ones of :func:`words`: each different token is looked at once, and only runs of single letters are read in order."""
+    tokens = text.lower().split() if text else []
+    clean = {t: t if t.isalpha() else _NOISE.sub("", t) for t in set(tokens)}
+    out = {w for w in clean.values() if len(w) > 1}
+    if singles := {t for t, w in clean.items() if len(w) == 1}:
+        run: list[int] = []
+        for n in [*(n for n, t in enumerate(tokens) if t in singles), len(tokens) + 1]:
+            if run and n > run[-1] + 1:
+                spelled = [clean[tokens[k]] for k in run]
+                out.update(["".join(spelled)] if len(run) >= 3 else spelled)
+                run = []
+            run.append(n)
     return out
 
 
+def _codes(strings: list[str]) -> np.ndarray:
+    """Characters as numbers, a row for each string, zeros behind its end."""
+    return np.array(strings).view(np.uint32).reshape(len(strings), -1)
+
+
+def _may_share(s: np.ndarray, t: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For every row of ``s`` and of ``t`` whether they have characters enough in common for a subsequence of ``LENGTH``; never false where they share one.
+
+    Such a subsequence stands at ``LENGTH`` places of the row of ``t``, of which as many may repeat a bit as the row has places more than bits.
+    """
+    alphabet = np.unique(t[t > 0])
+    bits = np.zeros(int(alphabet[-1]) + 2, dtype=np.uint64)
+    bits[alphabet] = np.left_shift(np.uint64(1), (np.arange(len(alphabet)) % 64).astype(np.uint64))
+    of_s, of_t = (np.bitwise_or.reduce(bits[np.minimum(x, len(bits) - 1)], axis=1) for x in (s, t))
+    least = LENGTH - (sizes - np.bitwise_count(of_t))
+    return np.bitwise_count(of_s[None, :] & of_t[:, None]) >= least[:, None]
+
+
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """Subsequence kernel of every string of ``left`` against every one of ``right``, by dynamic programming."""
-    if not left or not right:
-        return np.zeros((len(left), len(right)), dtype=np.float32)
-    s = _codes(left, max(map(len, left)) or 1, -1)
-    t = _codes(right, max(map(len, right)) or 1, -2)
-    shape = (len(left), len(right))
+    """Subsequence kernel of every string of ``left`` against every one of ``right``, by dynamic programming over the pairs that may share a subsequence."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not left or not right or not any(left) or not any(right):
+        return out
+    longest_first = sorted(range(len(right)), key=lambda n: -len(right[n]))
+    sizes = np.array([len(right[n]) for n in longest_first])
+    s, t = _codes(left), _codes([right[n] for n in longest_first])
+    of_t, of_s = np.nonzero(_may_share(s, t, sizes))
+    s, t, width = np.ascontiguousarray(s[of_s].T), np.ascontiguousarray(t[of_t].T), t.shape[1]
+    reach = [int(np.count_nonzero(sizes[of_t] > j)) for j in range(width)]  # pairs whose right string has this character
     decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
-    width = t.shape[1]
-    total = np.zeros(shape, dtype=np.float32)
-    # prefix[i][j]: weight of common subsequences of i characters in s so far and the first j characters of t
-    prefix = [[np.ones(shape, dtype=np.float32)] * (width + 1)] + [[np.zeros(shape, dtype=np.float32) for _ in range(width + 1)] for _ in range(LENGTH - 1)]
-    for a in range(s.shape[1]):
-        equal = [(s[:, a, None] == t[None, :, j]).astype(np.float32) * square for j in range(width)]
-        for j in range(width):
-            total += equal[j] * prefix[LENGTH - 1][j]
+    total, room = np.zeros(len(of_t), dtype=np.float32), np.zeros(len(of_t), dtype=np.float32)
+    # prefix[i][j]: weight of common subsequences of i characters in s so far and the first j characters of t; one for i = 0
+    prefix = np.zeros((LENGTH, width + 1, len(of_t)), dtype=np.float32)
+    prefix[0] = 1
+    for letter in s:
+        equal = np.multiply(t == letter, square, dtype=np.float32)
+        for j, k in enumerate(reach):
+            total[:k] += np.multiply(equal[j, :k], prefix[LENGTH - 1, j, :k], out=room[:k])
         for i in range(LENGTH - 1, 0, -1):  # from above, as each needs the shorter ones before this character
-            run = np.zeros(shape, dtype=np.float32)
-            for j in range(1, width + 1):
-                run = run * decay + equal[j - 1] * prefix[i - 1][j - 1]
-                prefix[i][j] = prefix[i][j] * decay + run
-    return total
+            run = np.zeros(len(of_t), dtype=np.float32)
+            prefix[i] *= decay
+            for j, k in enumerate(reach):
+                run[:k] *= decay
+                run[:k] += np.multiply(equal[j, :k], prefix[i - 1, j, :k], out=room[:k]) if i > 1 else equal[j, :k]
+                prefix[i, j + 1, :k] += run[:k]
+    out[of_s, np.array(longest_first)[of_t]] = total
+    return out
 
 
 def similarity(strings: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
@@ -245,7 +279,7 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [" ".join(sorted(set(words(t)))) for t in batch.column("text").to_pylist()]
+            said = [" ".join(sorted(word_set(t))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(said, pa.string())], names=["doc_id", "toxic", "words"])
 
     rows = map_batches(picked.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), run, "doc_id long, toxic int, words string").collect()
@@ -267,7 +301,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(model)
         for batch in batches:
-            sets = [set(words(t)) for t in batch.column("text").to_pylist()]
+            sets = [word_set(t) for t in batch.column("text").to_pylist()]
             table.learn(sets)
             score = model.probability(np.array([table.pooled(ws) for ws in sets], dtype=np.float64).reshape(len(sets), -1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
